@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+Every analysis this package reproduces is a one-shot batch query over a daily
+snapshot fact. The trailing 30/90-day and 12-month windows are calendar filters
+relative to a reference day, not event-time windows, and there is no late
+data, watermark or per-key state to keep. A new day of facts is handled by
+appending it to the fact table and re-running the batch analyses, which read
+only the days they need (see ``shelfwise.operators.window``).
+"""
