@@ -14,6 +14,7 @@ def co_occurrence(
     item: str,
     min_support: int,
     distinct_key: str | None = None,
+    items: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs ``(item_a < item_b)`` found together in at least ``min_support`` baskets.
 
@@ -21,27 +22,24 @@ def co_occurrence(
     ``distinct_key`` is given, ``distinct_together`` (distinct values of that
     basket key among them, e.g. distinct days).
 
-    * Each basket lists an item once (``distinct`` on basket + item).
-    * Items found in fewer than ``min_support`` baskets are dropped before the
-      pair join. This is exact: a pair is never in more baskets than either of
-      its items, so no qualifying pair is lost, and rare items stop feeding
-      the join.
-    * The join is an equi-join on the basket keys with ``a < b`` as a residual
-      condition; it feeds a map-side partial aggregate on ``(a, b)``, so only
+    * ``items`` (optional, one column named ``item``) restricts the items, like
+      an inner join to an item dimension would; it is applied to the rows
+      before anything is shuffled.
+    * The rows are hash-partitioned once on the basket keys and each basket
+      lists an item once (``distinct`` reuses that partitioning). Both sides
+      of the pair join are that same exchange, so Spark reuses it and the
+      equi-join on the basket keys (with ``a < b`` as residual) runs inside
+      each partition without another shuffle.
+    * The join output feeds a map-side partial aggregate on the pair, so only
       per-task pair counts are shuffled, never the pair rows. A basket holds
-      each item at most once, so its pairs are bounded by the item count;
-      a key with very many rows is split across tasks by AQE's skew-join
-      handling.
+      each item once, so its pairs are bounded by the number of items, and a
+      basket key with very many rows is split by AQE's skew-join handling.
     """
     keys = list(basket_keys)
-    listed = baskets.select(*keys, item).distinct()
-    frequent = (
-        listed.groupBy(item)
-        .agg(F.count(F.lit(1)).alias("_baskets"))
-        .filter(F.col("_baskets") >= min_support)
-        .select(item)
-    )
-    listed = listed.join(frequent, item, "left_semi")
+    rows = baskets.select(*keys, item)
+    if items is not None:
+        rows = rows.join(items.select(item), item, "left_semi")
+    listed = rows.repartition(*[F.col(k) for k in keys]).distinct()
     left = listed.select(*keys, F.col(item).alias("item_a"))
     right = listed.select(*keys, F.col(item).alias("item_b"))
     pairs = left.join(right, keys).filter(F.col("item_a") < F.col("item_b"))

@@ -30,11 +30,14 @@ def facts_on_days(
 
     The join to the calendar decides membership, exactly as the reference's
     ``JOIN Dim_Date ... WHERE dd.Date >= ...``. Before it, the fact is also
-    filtered on ``Date_SK`` between the smallest and largest key of the chosen
-    days. That filter never drops a matching row (every matching key lies
-    between the two), and because it is a plain comparison with two scalar
-    subqueries it reaches the Parquet scan: files, row groups and (when the
-    fact is partitioned by day) directories outside the range are skipped.
+    filtered on ``Date_SK >= `` the smallest key of the chosen days. That
+    filter never drops a matching row, and because it is a plain comparison
+    with one scalar subquery it reaches the Parquet scan (``PushedFilters``):
+    files, row groups and (when the fact is partitioned by day) directories
+    before the window are skipped. Only the lower bound is used: Spark merges
+    a min and a max subquery over the same days into one struct-valued
+    subquery, and a field of it is no longer pushed to the scan. Trailing
+    windows end at the last day anyway.
 
     The calendar side is broadcast explicitly: it holds one row per day, so
     its size is bounded by the length of the calendar, not by the data.
@@ -43,6 +46,5 @@ def facts_on_days(
     fact = star.fact
     if start is not None or end is not None:
         lo = days.select(F.min("Date_SK")).scalar()
-        hi = days.select(F.max("Date_SK")).scalar()
-        fact = fact.filter(F.col("Date_SK").between(lo, hi))
+        fact = fact.filter(F.col("Date_SK") >= lo)
     return fact.join(F.broadcast(days), "Date_SK")

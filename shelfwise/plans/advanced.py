@@ -99,9 +99,11 @@ def product_affinity(
 ) -> DataFrame:
     """Top product pairs sold at the same store on the same day (each store-day is a basket)."""
     sold = star.fact.filter(F.col("Units_Sold") > 0).select("Date_SK", "Store_SK", "Product_SK")
-    # The reference joins both products to Dim_Product (inner); unknown keys drop out here already.
-    sold = sold.join(star.product.select("Product_SK"), "Product_SK", "left_semi")
-    pairs = co_occurrence(sold, ["Date_SK", "Store_SK"], "Product_SK", min_support, distinct_key="Date_SK")
+    # The reference joins both products to Dim_Product (inner): unknown keys never form a pair.
+    pairs = co_occurrence(
+        sold, ["Date_SK", "Store_SK"], "Product_SK", min_support,
+        distinct_key="Date_SK", items=star.product.select("Product_SK"),
+    )
     best = pairs.orderBy(F.col("together").desc(), "item_a", "item_b").limit(top)
     product_a = star.product.select(
         F.col("Product_SK").alias("item_a"), F.col("Product_ID").alias("Product_A"), F.col("Category").alias("Category_A")
