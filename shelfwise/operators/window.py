@@ -30,14 +30,13 @@ def facts_on_days(
 
     The join to the calendar decides membership, exactly as the reference's
     ``JOIN Dim_Date ... WHERE dd.Date >= ...``. Before it, the fact is also
-    filtered on ``Date_SK >= `` the smallest key of the chosen days. That
-    filter never drops a matching row, and because it is a plain comparison
-    with one scalar subquery it reaches the Parquet scan (``PushedFilters``):
-    files, row groups and (when the fact is partitioned by day) directories
-    before the window are skipped. Only the lower bound is used: Spark merges
-    a min and a max subquery over the same days into one struct-valued
-    subquery, and a field of it is no longer pushed to the scan. Trailing
-    windows end at the last day anyway.
+    filtered on ``Date_SK >= `` the smallest key of the chosen days, read from
+    the calendar (one small job) when the query is built. That filter never
+    drops a matching row, and as a comparison with a literal it reaches the
+    Parquet scan (``PushedFilters``): files, row groups and, when the fact is
+    partitioned by day, whole directories before the window are skipped at
+    planning time. Trailing windows end at the last day, so no upper bound is
+    needed for pruning.
 
     The calendar side is broadcast explicitly: it holds one row per day, so
     its size is bounded by the length of the calendar, not by the data.
@@ -45,6 +44,6 @@ def facts_on_days(
     days = calendar(star, start, end).select("Date_SK", *date_cols)
     fact = star.fact
     if start is not None or end is not None:
-        lo = days.select(F.min("Date_SK")).scalar()
-        fact = fact.filter(F.col("Date_SK") >= lo)
+        lo = days.agg(F.min("Date_SK")).first()[0]
+        fact = fact.filter(F.col("Date_SK") >= F.lit(lo))
     return fact.join(F.broadcast(days), "Date_SK")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +27,20 @@ class Star:
     def spark(self) -> SparkSession:
         return self.fact.sparkSession
 
-    def latest_date(self) -> Column:
-        """``MAX(Date)`` of the calendar as a scalar subquery (no job is run here)."""
-        return self.date.select(F.max("Date")).scalar()
+    @cached_property
+    def last_day(self) -> dt.date | None:
+        """``MAX(Date)`` of the calendar, resolved once per star (one small job on the date dimension)."""
+        return self.date.agg(F.max("Date")).first()[0]
 
     def as_of(self, as_of: dt.date | str | Column | None = None) -> Column:
-        """The reference date of an analysis: given, or the last calendar day."""
+        """The reference date of an analysis: given, or the last calendar day.
+
+        It is a literal rather than a scalar subquery, so every filter derived
+        from it is known when the query is planned (static pruning, no
+        subquery jobs inside each analysis).
+        """
         if as_of is None:
-            return self.latest_date()
+            return F.lit(self.last_day)
         if isinstance(as_of, Column):
             return as_of
         return F.lit(as_of).cast("date")
@@ -59,17 +66,18 @@ def write_star(
 ) -> Star:
     """Write the four tables as Parquet under ``path`` and return them re-read.
 
-    The fact is range-partitioned on (Date_SK, Store_SK) and sorted inside each
-    file, so every file covers a contiguous run of days: the trailing-window
-    analyses then skip files and row groups through Parquet min/max statistics.
-    Ranging on the store as well splits one very large day over several files.
+    The fact is range-partitioned on the grain (Date_SK, Store_SK, Product_SK)
+    and sorted inside each file, so every file covers a contiguous run of days:
+    the trailing-window analyses then skip files and row groups through Parquet
+    min/max statistics. The grain is unique, so even a single very large day
+    (or day and store) is split evenly over several files.
     ``partition_by="Date_SK"`` additionally writes one directory per day, which
     lets Spark prune whole directories at scale.
     """
     spark = star.spark
     n = fact_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fact = star.fact.select(*schema.FACT.fieldNames())
-    fact = fact.repartitionByRange(n, "Date_SK", "Store_SK").sortWithinPartitions(*GRAIN)
+    fact = fact.repartitionByRange(n, *GRAIN).sortWithinPartitions(*GRAIN)
     writer = fact.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
