@@ -37,6 +37,8 @@ def build_session(
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app_name)
     settings = dict(DEFAULT_CONF)
+    # Local mode runs everything in the driver JVM; takes effect when this call starts the JVM.
+    settings["spark.driver.memory"] = os.environ.get("SHELFWISE_DRIVER_MEMORY", "16g")
     settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
     settings.update(conf or {})
     for key, value in settings.items():

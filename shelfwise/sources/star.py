@@ -51,8 +51,8 @@ class Star:
 
 def read_star(spark: SparkSession, path: str) -> Star:
     """Read a star written by :func:`write_star` (explicit schemas, no inference)."""
-    frames = {
-        name: spark.read.schema(struct).parquet(f"{path}/{name}")
+    frames = {  # a partition column is read back last; keep the declared order
+        name: spark.read.schema(struct).parquet(f"{path}/{name}").select(*struct.fieldNames())
         for name, struct in schema.TABLES.items()
     }
     return Star(**frames)
