@@ -7,6 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Baskets with more rows than this have their pairs formed in blocks (see co_occurrence).
+HOT_BASKET_ITEMS = 4096
+
+
+def _listed(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """Each basket's items once, hash-partitioned on the basket keys."""
+    return rows.repartition(*[F.col(k) for k in keys]).distinct()
+
+
+def _pairs_in_partition(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
+    listed = _listed(rows, keys, item)
+    left = listed.select(*keys, F.col(item).alias("item_a"))
+    right = listed.select(*keys, F.col(item).alias("item_b"))
+    return left.join(right, keys).filter(F.col("item_a") < F.col("item_b")).select(*keys, "item_a", "item_b")
+
+
+def _pairs_in_blocks(rows: DataFrame, keys: list[str], item: str, block_items: int) -> DataFrame:
+    listed = _listed(rows, keys, item)
+    sizes = listed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_items"))
+    big = listed.join(sizes, keys).withColumn(
+        "_blocks", F.ceil(F.col("_items") / F.lit(block_items)).cast("int")
+    )
+    block = F.pmod(F.xxhash64(F.col(item)), F.col("_blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = big.select(*keys, F.col(item).alias("item_a"), block.alias("_i"), every.alias("_j"))
+    right = big.select(*keys, F.col(item).alias("item_b"), every.alias("_i"), block.alias("_j"))
+    return (
+        left.join(right, [*keys, "_i", "_j"])
+        .filter(F.col("item_a") < F.col("item_b"))
+        .select(*keys, "item_a", "item_b")
+    )
+
 
 def co_occurrence(
     baskets: DataFrame,
@@ -15,6 +47,7 @@ def co_occurrence(
     min_support: int,
     distinct_key: str | None = None,
     items: DataFrame | None = None,
+    hot_basket_items: int = HOT_BASKET_ITEMS,
 ) -> DataFrame:
     """Pairs ``(item_a < item_b)`` found together in at least ``min_support`` baskets.
 
@@ -26,23 +59,37 @@ def co_occurrence(
       an inner join to an item dimension would; it is applied to the rows
       before anything is shuffled.
     * The rows are hash-partitioned once on the basket keys and each basket
-      lists an item once (``distinct`` reuses that partitioning). Both sides
-      of the pair join are that same exchange, so Spark reuses it and the
-      equi-join on the basket keys (with ``a < b`` as residual) runs inside
-      each partition without another shuffle.
-    * The join output feeds a map-side partial aggregate on the pair, so only
-      per-task pair counts are shuffled, never the pair rows. A basket holds
-      each item once, so its pairs are bounded by the number of items, and a
-      basket key with very many rows is split by AQE's skew-join handling.
+      lists an item once (``distinct`` reuses that partitioning), so a basket
+      of ``k`` items yields ``k(k-1)/2`` pairs however many rows it had.
+      Both sides of the self-join are that same exchange, so the equi-join on
+      the basket keys (``a < b`` as residual) adds no shuffle.
+    * Hot baskets: the rows per basket are counted first (combined map-side,
+      one small job when this is called). A basket with more than
+      ``hot_basket_items`` rows does not get all its pairs formed in one task:
+      with ``k`` distinct items and ``f = ceil(k / hot_basket_items)``, item
+      ``a`` goes to left block ``h(a) mod f`` and item ``b`` to right block
+      ``h(b) mod f``, each row is copied to the ``f`` blocks of the other side,
+      and task ``(basket, i, j)`` forms the pairs between left block ``i`` and
+      right block ``j``. Every pair is formed by exactly one of the ``f * f``
+      tasks. When no basket is that large the plan has no such branch.
+    * Pair rows feed a map-side partial aggregate, so only per-task pair
+      counts are shuffled.
     """
     keys = list(basket_keys)
     rows = baskets.select(*keys, item)
     if items is not None:
         rows = rows.join(items.select(item), item, "left_semi")
-    listed = rows.repartition(*[F.col(k) for k in keys]).distinct()
-    left = listed.select(*keys, F.col(item).alias("item_a"))
-    right = listed.select(*keys, F.col(item).alias("item_b"))
-    pairs = left.join(right, keys).filter(F.col("item_a") < F.col("item_b"))
+
+    per_basket = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    largest = per_basket.agg(F.max("_rows")).first()[0] or 0
+    if largest <= hot_basket_items:
+        pairs = _pairs_in_partition(rows, keys, item)
+    else:
+        hot = per_basket.filter(F.col("_rows") > hot_basket_items).select(*keys)
+        pairs = _pairs_in_partition(rows.join(hot, keys, "left_anti"), keys, item).unionByName(
+            _pairs_in_blocks(rows.join(hot, keys, "left_semi"), keys, item, hot_basket_items)
+        )
+
     aggs = [F.count(F.lit(1)).alias("together")]
     if distinct_key is not None:
         aggs.append(F.count_distinct(distinct_key).alias("distinct_together"))

@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.functions import exact_mean, exact_ratio, int_avg
@@ -42,13 +43,14 @@ def test_cumulative_share_matches_single_window_with_ties(spark):
     assert _sorted(dist.select(*cols)) == _sorted(single.select(*cols))
 
 
-def test_co_occurrence_matches_brute_force(spark):
+@pytest.mark.parametrize("hot", [4096, 3, 1])
+def test_co_occurrence_matches_brute_force(spark, hot):
     rng = random.Random(11)
     rows = sorted({(d, s, rng.randint(1, 9)) for d in range(30) for s in range(3) for _ in range(rng.randint(0, 5))})
     rows += rows[:10]  # repeated basket lines count once
     df = spark.createDataFrame(rows, "day int, store int, item int")
     got = {(r.item_a, r.item_b): (r.together, r.distinct_together)
-           for r in co_occurrence(df, ["day", "store"], "item", 4, distinct_key="day").collect()}
+           for r in co_occurrence(df, ["day", "store"], "item", 4, distinct_key="day", hot_basket_items=hot).collect()}
     baskets = defaultdict(set)
     for d, s, i in rows:
         baskets[(d, s)].add(i)
