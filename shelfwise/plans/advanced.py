@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import band, count_if, int_avg, lookup
 from shelfwise.operators import co_occurrence, cumulative_share, facts_on_days, with_store
+from shelfwise.operators.basket import HOT_BASKET_ITEMS
 from shelfwise.plans.stock import DateLike
 from shelfwise.sources.star import Star
 
@@ -95,14 +96,23 @@ def abc_reports(star: Star, **kwargs) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def product_affinity(
-    star: Star, min_support: int = 5, strong: int = 20, moderate: int = 10, top: int = 50
+    star: Star,
+    min_support: int = 5,
+    strong: int = 20,
+    moderate: int = 10,
+    top: int = 50,
+    hot_basket_items: int = HOT_BASKET_ITEMS,
 ) -> DataFrame:
-    """Top product pairs sold at the same store on the same day (each store-day is a basket)."""
+    """Top product pairs sold at the same store on the same day (each store-day is a basket).
+
+    ``hot_basket_items``: store-days with more rows than this form their pairs
+    in blocks spread over several tasks (see ``co_occurrence``).
+    """
     sold = star.fact.filter(F.col("Units_Sold") > 0).select("Date_SK", "Store_SK", "Product_SK")
     # The reference joins both products to Dim_Product (inner): unknown keys never form a pair.
     pairs = co_occurrence(
         sold, ["Date_SK", "Store_SK"], "Product_SK", min_support,
-        distinct_key="Date_SK", items=star.product.select("Product_SK"),
+        distinct_key="Date_SK", items=star.product.select("Product_SK"), hot_basket_items=hot_basket_items,
     )
     best = pairs.orderBy(F.col("together").desc(), "item_a", "item_b").limit(top)
     product_a = star.product.select(

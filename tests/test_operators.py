@@ -80,3 +80,23 @@ def test_decimal_rounding_is_half_up_on_exact_values(spark):
         F.round(F.lit(Decimal("1.025")), 2).alias("a"), F.round(F.lit(Decimal("-2.5")), 0).alias("b")
     ).collect()
     assert row.a == Decimal("1.03") and row.b == Decimal("-3")
+
+
+def test_affinity_block_path_gives_the_same_top_pairs(spark):
+    from shelfwise import load_star, plans
+
+    star = load_star(spark, f"{TESTDATA}/sf0.01")
+    default = plans.product_affinity(star).collect()
+    blocks = plans.product_affinity(star, hot_basket_items=1).collect()
+    assert [tuple(r) for r in default] == [tuple(r) for r in blocks] and len(default) == 50
+
+
+def test_abc_reports_share_one_classification(spark):
+    from shelfwise import load_star, plans
+
+    star = load_star(spark, f"{TESTDATA}/sf0.01")
+    abc, report, summary = plans.abc_reports(star)
+    assert abc.is_cached
+    assert report.count() == abc.count()
+    assert sum(r.Number_of_Products for r in summary.collect()) == abc.count()
+    abc.unpersist()
