@@ -123,7 +123,7 @@ Q["q05_inventory_value"] = _VALUE_BY_REGION.format(name="Total_Inventory_Value")
 Q["q06_obsolete_stock"] = _RANKED_LATEST + """
 , last_sale AS (SELECT product_sk, MAX(cal_date) AS last_day FROM fx WHERE sold > 0 GROUP BY product_sk),
 held AS (SELECT product_sk, SUM(stock * price_c) AS value_c FROM newest GROUP BY product_sk)
-SELECT p.product_id AS Product_ID, p.category AS Category, l.last_day AS Last_Sale_Date,
+SELECT p.product_id AS Product_ID, p.category AS Category, CAST(l.last_day AS VARCHAR) AS Last_Sale_Date,
        CAST(h.value_c AS DOUBLE) / 100 AS Obsolete_Value,
        CAST(DATE '2002-05-01' - l.last_day AS BIGINT) AS Days_Since_Last_Sale
 FROM dim_product p JOIN held h USING (product_sk) LEFT JOIN last_sale l USING (product_sk)
