@@ -37,10 +37,15 @@ def test_cumulative_share_matches_single_window_with_ties(spark):
     rng = random.Random(7)
     rows = [(i, Decimal(rng.choice([5, 5, 5, 3, 10, 20, 20, 1]) * rng.randint(1, 3))) for i in range(600)]
     df = spark.createDataFrame(rows, "sk long, value decimal(12,2)")
-    dist = cumulative_share(df, "value", "sk", partitions=7)
+    dist = cumulative_share(df, "value", "sk", partitions=7, single_task_rows=None)
     single = cumulative_share_single(df, "value", "sk")
+    checked = cumulative_share(df, "value", "sk", partitions=7, single_task_rows=100)  # 600 rows: distributed
+    small = cumulative_share(df, "value", "sk", single_task_rows=1000)  # under the bound: one window
     cols = ["sk", "value", "rank", "total_count", "grand_total", "running_total"]
-    assert _sorted(dist.select(*cols)) == _sorted(single.select(*cols))
+    expected = _sorted(single.select(*cols))
+    assert _sorted(dist.select(*cols)) == expected
+    assert _sorted(checked.select(*cols)) == expected
+    assert _sorted(small.select(*cols)) == expected
 
 
 @pytest.mark.parametrize("hot", [4096, 3, 1])
