@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.session import scratch_root
 from shelfwise.sources.star import Star, write_star
@@ -21,6 +22,17 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
+def _ship_day(lineitem: DataFrame) -> F.Column:
+    """Calendar day of ``l_shipdate``, the same whatever the session time zone.
+
+    Timestamps without a zone are cut to their own date; zone-aware ones (the
+    Parquet value is UTC) are cut to their UTC date.
+    """
+    if isinstance(lineitem.schema["l_shipdate"].dataType, T.TimestampType):
+        return F.date_from_unix_date(F.floor(F.unix_seconds(F.col("l_shipdate")) / 86400).cast("int"))
+    return F.col("l_shipdate").cast("date")
+
+
 def _date_sk(day: F.Column) -> F.Column:
     return (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).cast("int")
 
@@ -50,7 +62,7 @@ def derive_star(spark: SparkSession, sf_dir: str) -> Star:
         F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)).alias("Category"),
     )
 
-    ship_day = F.col("l_shipdate").cast("date")
+    ship_day = _ship_day(lineitem)
     date = (
         lineitem.select(ship_day.alias("Date"))
         .distinct()
@@ -73,7 +85,7 @@ def derive_star(spark: SparkSession, sf_dir: str) -> Star:
             F.col("s_nationkey").cast("int").alias("Store_SK"),
             "Product_SK",
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-            "l_discount", "l_returnflag", "l_shipdate", "p_retailprice",
+            "l_discount", "l_returnflag", F.month(ship_day).alias("ship_month"), "p_retailprice",
         )
     )
     qty = F.col("l_quantity").cast("int")
@@ -86,7 +98,7 @@ def derive_star(spark: SparkSession, sf_dir: str) -> Star:
         F.max("p_retailprice").cast("decimal(10,2)").alias("Price"),
         F.sum(qty + F.col("l_linenumber") - 4).cast("decimal(10,2)").alias("Demand_Forecast"),
         F.max("l_discount").cast("decimal(4,2)").alias("Discount"),
-        F.max(F.when(F.month("l_shipdate").isin(11, 12), 1).otherwise(0)).cast("int").alias("Holiday_Promotion"),
+        F.max(F.when(F.col("ship_month").isin(11, 12), 1).otherwise(0)).cast("int").alias("Holiday_Promotion"),
     )
     return Star(fact=fact, store=store, product=product, date=date)
 
