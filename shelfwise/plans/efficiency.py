@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import band, exact_mean, exact_ratio, int_avg
 from shelfwise.operators import facts_on_days, latest_per_key, with_product, with_store, with_store_product
+from shelfwise.operators.latest import day_order
 from shelfwise.plans.stock import DateLike, _value_by_region_category
 from shelfwise.sources.star import Star
 
@@ -83,7 +84,7 @@ def month_end_inventory_value(star: Star) -> DataFrame:
     """Total stock value at each month's last record of every product x store."""
     dated = facts_on_days(star, date_cols=("Date", "Year", "Month"))
     month_end = latest_per_key(
-        dated, ["Product_SK", "Store_SK", "Year", "Month"], ["Date", "Date_SK"], ["Inventory_Level", "Price"]
+        dated, ["Product_SK", "Store_SK", "Year", "Month"], day_order(), ["Inventory_Level", "Price"]
     )
     return (
         month_end.groupBy("Year", "Month")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import band, int_avg
 from shelfwise.operators import facts_on_days, latest_per_key, with_product, with_store, with_store_product
+from shelfwise.operators.latest import day_order
 from shelfwise.sources.star import Star
 
 DateLike = dt.date | str | Column | None
@@ -48,7 +49,7 @@ def stock_by_region_category(star: Star, as_of: DateLike = None) -> DataFrame:
 def latest_stock(star: Star, values=("Inventory_Level",), keys=("Store_SK", "Product_SK")) -> DataFrame:
     """Most recent fact values per key, ordered by calendar date (any date)."""
     dated = facts_on_days(star, date_cols=("Date",))
-    return latest_per_key(dated, list(keys), ["Date", "Date_SK"], list(values))
+    return latest_per_key(dated, list(keys), day_order(), list(values))
 
 
 def latest_stock_by_location(star: Star) -> DataFrame:

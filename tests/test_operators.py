@@ -18,6 +18,7 @@ from shelfwise.operators import (
     latest_per_key,
     latest_per_key_ranked,
 )
+from shelfwise.operators.latest import day_order
 from shelfwise.sources.tpch import derive_star
 from tests.conftest import TESTDATA
 
@@ -29,7 +30,7 @@ def _sorted(df):
 def test_latest_per_key_matches_row_number(spark):
     star = derive_star(spark, f"{TESTDATA}/sf0.01")
     dated = star.fact.join(star.date.select("Date_SK", "Date"), "Date_SK")
-    args = (["Store_SK", "Product_SK"], ["Date", "Date_SK"], ["Inventory_Level", "Price"])
+    args = (["Store_SK", "Product_SK"], day_order(), ["Inventory_Level", "Price"])
     assert _sorted(latest_per_key(dated, *args)) == _sorted(latest_per_key_ranked(dated, *args))
 
 
@@ -105,3 +106,13 @@ def test_abc_reports_share_one_classification(spark):
     assert report.count() == abc.count()
     assert sum(r.Number_of_Products for r in summary.collect()) == abc.count()
     abc.unpersist()
+
+
+def test_day_order_is_lexicographic(spark):
+    import datetime as dt
+
+    rows = [(dt.date(1969, 12, 31), -5), (dt.date(1969, 12, 31), 7), (dt.date(1970, 1, 1), -2**31),
+            (dt.date(2001, 11, 4), 20011104), (dt.date(2001, 11, 4), 2**31 - 1), (dt.date(2001, 11, 5), 0)]
+    df = spark.createDataFrame(rows, "Date date, Date_SK int")
+    got = [(r.Date, r.Date_SK) for r in df.orderBy(day_order()).collect()]
+    assert got == sorted(rows)
