@@ -63,8 +63,10 @@ def co_occurrence(
       of ``k`` items yields ``k(k-1)/2`` pairs however many rows it had.
       Both sides of the self-join are that same exchange, so the equi-join on
       the basket keys (``a < b`` as residual) adds no shuffle.
-    * Hot baskets: the rows per basket are counted first (combined map-side,
-      one small job when this is called). A basket with more than
+    * Hot baskets: when ``items`` has at most ``hot_basket_items`` rows no
+      basket can exceed that many distinct items and nothing is measured;
+      otherwise the rows per basket are counted first (combined map-side, one
+      small job when this is called). A basket with more than
       ``hot_basket_items`` rows does not get all its pairs formed in one task:
       with ``k`` distinct items and ``f = ceil(k / hot_basket_items)``, item
       ``a`` goes to left block ``h(a) mod f`` and item ``b`` to right block
@@ -81,7 +83,12 @@ def co_occurrence(
         rows = rows.join(items.select(item), item, "left_semi")
 
     per_basket = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    largest = per_basket.agg(F.max("_rows")).first()[0] or 0
+    # A basket lists each allowed item once, so a small item set bounds every
+    # basket without looking at the baskets; otherwise measure the largest one.
+    if items is not None and items.count() <= hot_basket_items:
+        largest = 0
+    else:
+        largest = per_basket.agg(F.max("_rows")).first()[0] or 0
     if largest <= hot_basket_items:
         pairs = _pairs_in_partition(rows, keys, item)
     else:
