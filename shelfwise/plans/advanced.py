@@ -55,8 +55,9 @@ def abc_classification(
         running_col="Running_Revenue_Total",
     )
     share = F.col("Running_Revenue_Total") / F.col("Grand_Total_Revenue") * 100
+    pct = F.col("Revenue_Cumulative_Percent")
     return ranked.withColumn("Revenue_Cumulative_Percent", share).withColumn(
-        "ABC_Class", band([(F.col("Revenue_Cumulative_Percent") <= a, "A"), (F.col("Revenue_Cumulative_Percent") <= b, "B")], "C")
+        "ABC_Class", band([(pct <= a, "A"), (pct <= b, "B")], "C")
     )
 
 
@@ -115,14 +116,18 @@ def product_affinity(
         distinct_key="Date_SK", items=star.product.select("Product_SK"), hot_basket_items=hot_basket_items,
     )
     best = pairs.orderBy(F.col("together").desc(), "item_a", "item_b").limit(top)
-    product_a = star.product.select(
-        F.col("Product_SK").alias("item_a"), F.col("Product_ID").alias("Product_A"), F.col("Category").alias("Category_A")
-    )
-    product_b = star.product.select(
-        F.col("Product_SK").alias("item_b"), F.col("Product_ID").alias("Product_B"), F.col("Category").alias("Category_B")
-    )
+    def role(side: str):  # the product dimension in the role of product A or B
+        return star.product.select(
+            F.col("Product_SK").alias(f"item_{side.lower()}"),
+            F.col("Product_ID").alias(f"Product_{side}"),
+            F.col("Category").alias(f"Category_{side}"),
+        )
+
+    product_a, product_b = role("A"), role("B")
     together = F.col("together")
-    strength = band([(together >= strong, "STRONG AFFINITY"), (together >= moderate, "MODERATE AFFINITY")], "WEAK AFFINITY")
+    strength = band(
+        [(together >= strong, "STRONG AFFINITY"), (together >= moderate, "MODERATE AFFINITY")], "WEAK AFFINITY"
+    )
     bundle = F.when(F.col("Category_A") != F.col("Category_B"), F.lit("Cross-Category Opportunity")).otherwise(
         F.lit("Same Category Bundle")
     )

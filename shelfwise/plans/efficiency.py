@@ -36,7 +36,9 @@ def inventory_turnover(
     ratio = F.when(F.col("_int_level") > 0, exact_ratio("_units", "_int_level")).otherwise(F.lit(Decimal(0)))
     per_pair = per_pair.filter(F.col("_mean_level") > 0).withColumn("_ratio", ratio)
     r = F.col("_ratio")
-    movement = band([(r > fast, "FAST MOVING"), (r > moderate, "MODERATE MOVING"), (r > 0, "SLOW MOVING")], "NOT MOVING")
+    movement = band(
+        [(r > fast, "FAST MOVING"), (r > moderate, "MODERATE MOVING"), (r > 0, "SLOW MOVING")], "NOT MOVING"
+    )
     advice = band(
         [(r > fast, "INCREASE STOCK"), ((r < reduce_below) & (r > 0), "REDUCE STOCK")],
         "MAINTAIN CURRENT LEVELS",

@@ -19,13 +19,14 @@ def stock_status_current(star: Star, as_of: DateLike = None, critical: int = 10,
     """Stock per store and product on the reference day, banded into four statuses."""
     day = star.as_of(as_of)
     rows = with_store_product(facts_on_days(star, day, day), star)
+    level = F.col("Inventory_Level")
     status = band(
-        [(F.col("Inventory_Level") == 0, "OUT OF STOCK"), (F.col("Inventory_Level") <= critical, "CRITICAL LOW"), (F.col("Inventory_Level") <= low, "LOW STOCK")],
+        [(level == 0, "OUT OF STOCK"), (level <= critical, "CRITICAL LOW"), (level <= low, "LOW STOCK")],
         "ADEQUATE",
     )
     return rows.select(
         "Store_ID", "Region", "Product_ID", "Category",
-        F.col("Inventory_Level").alias("Current_Stock"), status.alias("Stock_Status"),
+        level.alias("Current_Stock"), status.alias("Stock_Status"),
     ).orderBy("Region", "Category", "Current_Stock", "Store_ID", "Product_ID")
 
 
@@ -87,7 +88,8 @@ def low_days_of_supply(star: Star, threshold: int = 7, no_sales: int = 9999) ->
 
 def _latest_value(star: Star) -> DataFrame:
     current = latest_stock(star, values=("Inventory_Level", "Price"))
-    return current.select("Store_SK", "Product_SK", (F.col("Inventory_Level") * F.col("Price")).alias("Inventory_Value"))
+    value = F.col("Inventory_Level") * F.col("Price")
+    return current.select("Store_SK", "Product_SK", value.alias("Inventory_Value"))
 
 
 def _value_by_region_category(star: Star, name: str) -> DataFrame:

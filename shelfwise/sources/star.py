@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -81,10 +82,17 @@ def write_star(
     writer = fact.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(f"{path}/fact")
-    for name in ("store", "product", "date"):
+
+    def write_dimension(name: str) -> None:
         frame = getattr(star, name).select(*schema.TABLES[name].fieldNames())
         frame.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    # The four writes are independent jobs; submitted together they share the cluster.
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        jobs = [pool.submit(writer.parquet, f"{path}/fact")]
+        jobs += [pool.submit(write_dimension, name) for name in ("store", "product", "date")]
+        for job in jobs:
+            job.result()
     return read_star(spark, path)
 
 
