@@ -57,14 +57,22 @@ def inventory_turnover(
     )
 
 
-def days_on_hand(star: Star) -> DataFrame:
-    """Stock-weighted days of inventory on hand by region and category, whole history."""
+def days_on_hand(star: Star, unique_grain: bool = False) -> DataFrame:
+    """Stock-weighted days of inventory on hand by region and category, whole history.
+
+    The number of days per product x store is ``COUNT(DISTINCT Date_SK)``,
+    which makes Spark shuffle one row per (product, store, day), i.e. the whole
+    fact. For a star whose grain :func:`~shelfwise.sources.star.validate` found
+    unique, ``unique_grain=True`` counts rows instead: the same number, with
+    the aggregation combined map-side.
+    """
+    days = F.count("Date_SK") if unique_grain else F.count_distinct("Date_SK")
     per_pair = (
         star.fact.groupBy("Product_SK", "Store_SK")
         .agg(
             F.avg(F.col("Inventory_Level").cast("decimal(10,2)")).alias("Avg_Stock"),
             F.sum(F.col("Units_Sold")).alias("Total_Sold"),
-            F.count_distinct("Date_SK").alias("Num_Days"),
+            days.alias("Num_Days"),
         )
         .filter(F.col("Total_Sold") > 0)
     )

@@ -64,3 +64,9 @@ def test_regional_stock_per_store_is_integer_division(spark):
     rows = {r.Region: r for r in plans.regional_efficiency(b.build(spark)).collect()}
     assert rows["WEST"].Avg_Inventory_Per_Store == 3  # 7 div 2
     assert rows["WEST"].Number_of_Stores == 2
+
+
+def test_days_on_hand_unique_grain_shortcut(star):
+    exact = sorted(tuple(r) for r in plans.days_on_hand(star).collect())
+    fast = sorted(tuple(r) for r in plans.days_on_hand(star, unique_grain=True).collect())
+    assert exact == fast
