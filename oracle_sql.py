@@ -130,18 +130,31 @@ FROM dim_product p JOIN held h USING (product_sk) LEFT JOIN last_sale l USING (p
 WHERE h.value_c > 0 AND DATE '2002-05-01' - COALESCE(l.last_day, DATE '1900-01-01') > 180
 """
 
+# CEILING(mean*7 + 2*sd) exactly: the smallest c with c*n - 7s >= 0 and (c*n - 7s)^2 (n-1) >= 4 n (n q - s^2).
 Q["q07_reorder_point"] = f"""
 , recent AS (
-    SELECT product_sk, store_sk, SUM(sold) AS s, COUNT(sold) AS n, stddev_samp(sold) AS sd
+    SELECT product_sk, store_sk, CAST(SUM(sold) AS HUGEINT) AS s, CAST(COUNT(sold) AS HUGEINT) AS n,
+           SUM(CAST(sold AS HUGEINT) * sold) AS q
     FROM fx WHERE cal_date >= (SELECT d FROM last_day) - 90 GROUP BY product_sk, store_sk
+), guessed AS (
+    SELECT r.*, CASE WHEN n >= 2 THEN CAST(CEIL(CAST(s AS DOUBLE) / n * 7
+                     + 2 * SQRT(CAST(n * q - s * s AS DOUBLE) / (n * (n - 1)))) AS HUGEINT) END AS g
+    FROM recent r
+), reorder AS (
+    SELECT x.*, CASE WHEN n = 1 THEN 7 * s
+        WHEN (g - 1) * n - 7 * s >= 0
+             AND ((g - 1) * n - 7 * s) * ((g - 1) * n - 7 * s) * (n - 1) >= 4 * n * (n * q - s * s) THEN g - 1
+        WHEN g * n - 7 * s >= 0 AND (g * n - 7 * s) * (g * n - 7 * s) * (n - 1) >= 4 * n * (n * q - s * s) THEN g
+        ELSE g + 1 END AS reorder_point
+    FROM guessed x
 )
 SELECT p.product_id AS Product_ID, p.category AS Category, st.store_id AS Store_ID, st.region AS Region,
        {_dbl(_half_up('r.s', 'r.n', 2), 2)} AS Avg_Daily_Sales,
-       CAST(CEIL(CAST(r.s AS DOUBLE) / r.n * 7 + 2 * COALESCE(r.sd, 0)) AS BIGINT) AS Suggested_Reorder_Point,
-       CAST(CEIL(CAST(r.s AS DOUBLE) / r.n * 14) AS BIGINT) AS Suggested_Max_Stock,
+       CAST(r.reorder_point AS BIGINT) AS Suggested_Reorder_Point,
+       CAST((14 * r.s + r.n - 1) // r.n AS BIGINT) AS Suggested_Max_Stock,
        CASE WHEN r.s > 10 * r.n THEN 'HIGH VELOCITY' WHEN r.s > 3 * r.n THEN 'MEDIUM VELOCITY'
             ELSE 'LOW VELOCITY' END AS Product_Velocity
-FROM recent r JOIN dim_product p USING (product_sk) JOIN dim_store st USING (store_sk)
+FROM reorder r JOIN dim_product p USING (product_sk) JOIN dim_store st USING (store_sk)
 WHERE r.s > 0
 """
 
@@ -239,21 +252,32 @@ Q["q15_demand_trend_forecast"] = f"""
            m.month_start BETWEEN b.prev_from AND b.prev_to AS is_prev
     FROM months m, bounds b
 ), trend AS (
-    SELECT product_sk, store_sk, SUM(m) AS sm, COUNT(m) AS k, stddev_samp(m) AS sd,
+    SELECT product_sk, store_sk, SUM(m) AS sm, COUNT(m) AS k, SUM(CAST(m AS HUGEINT) * m) AS qm,
            SUM(CASE WHEN is_recent THEN m END) // COUNT(CASE WHEN is_recent THEN m END) AS rec,
            SUM(CASE WHEN is_prev THEN m END) // COUNT(CASE WHEN is_prev THEN m END) AS prev
     FROM flagged GROUP BY product_sk, store_sk
+), spread AS (  -- ROUND(STDEV(m), 0) exactly: largest r with (2r-1)^2 k(k-1) <= 4 (k qm - sm^2)
+    SELECT t.*, 4 * (CAST(k AS HUGEINT) * qm - CAST(sm AS HUGEINT) * sm) AS v4,
+           CAST(k AS HUGEINT) * (k - 1) AS kk,
+           CASE WHEN k >= 2 THEN CAST(FLOOR(SQRT(CAST(4 * (k * qm - sm * sm) AS DOUBLE) / (k * (k - 1))) / 2 + 0.5)
+                AS HUGEINT) END AS g
+    FROM trend t
+), volatility AS (
+    SELECT x.*, CASE WHEN k < 2 THEN 0
+        WHEN g > 0 AND (2 * g - 1) * (2 * g - 1) * kk > v4 THEN g - 1
+        WHEN (2 * g + 1) * (2 * g + 1) * kk <= v4 THEN g + 1 ELSE g END AS sd_round
+    FROM spread x
 )
 SELECT p.product_id AS Product_ID, p.category AS Category, st.store_id AS Store_ID, st.region AS Region,
        CAST({_half_up('t.sm', 't.k', 0)} AS DOUBLE) AS Avg_Monthly_Sales,
-       ROUND(COALESCE(t.sd, 0), 0) AS Sales_Volatility,
+       CAST(t.sd_round AS DOUBLE) AS Sales_Volatility,
        CAST(COALESCE(t.rec, 0) AS BIGINT) AS Recent_3_Month_Avg,
        CAST(COALESCE(t.prev, 0) AS BIGINT) AS Previous_3_Month_Avg,
        CASE WHEN 10 * COALESCE(t.rec, 0) > 11 * COALESCE(t.prev, 0) THEN 'GROWING'
             WHEN 10 * COALESCE(t.rec, 0) < 9 * COALESCE(t.prev, 0) THEN 'DECLINING' ELSE 'STABLE' END AS Trend_Direction,
        CAST(CASE WHEN t.rec IS NOT NULL THEN (12 * t.rec + 5) // 10
                  ELSE (12 * t.sm + 5 * t.k) // (10 * t.k) END AS DOUBLE) AS Forecast_Next_Month
-FROM trend t JOIN dim_product p USING (product_sk) JOIN dim_store st USING (store_sk)
+FROM volatility t JOIN dim_product p USING (product_sk) JOIN dim_store st USING (store_sk)
 WHERE t.sm > 0
 """
 

@@ -43,6 +43,70 @@ def exact_ratio(num: ColumnOrName, den: ColumnOrName) -> Column:
     return _col(num).cast("decimal(20,0)") / F.nullif(_col(den), F.lit(0)).cast("decimal(20,0)")
 
 
+def _big(c: Column) -> Column:
+    return c.cast("decimal(38,0)")
+
+
+def moment_sums(c: ColumnOrName, prefix: str) -> list[Column]:
+    """``count``, ``sum`` and ``sum of squares`` of an integer column (exact), as aggregates.
+
+    They give the sample variance exactly: ``(n*q - s*s) / (n*(n-1))``.
+    """
+    c = _col(c)
+    return [
+        F.count(c).alias(f"{prefix}_n"),
+        _big(F.sum(c)).alias(f"{prefix}_s"),
+        F.sum(_big(c) * _big(c)).alias(f"{prefix}_q"),
+    ]
+
+
+def rounded_sample_sd(prefix: str) -> Column:
+    """``ROUND(COALESCE(STDEV(x), 0), 0)`` from :func:`moment_sums`, exactly (half up).
+
+    A floating ``stddev_samp`` depends on the order partial results are merged
+    in, so a deviation of exactly k + 0.5 could round either way. Here a
+    double estimate is corrected with integer arithmetic: the result is the
+    largest r with ``(2r - 1)^2 * n(n-1) <= 4 * (n*q - s*s)``.
+    """
+    n, s, q = (F.col(f"{prefix}_{k}") for k in "nsq")
+    num4 = _big(F.lit(4)) * (_big(n) * q - s * s)
+    den = _big(n) * _big(n - 1)
+    guess = _big(F.floor(F.sqrt(num4.cast("double") / F.nullif(den, _big(F.lit(0))).cast("double")) / 2 + 0.5))
+    low = _big(F.lit(2)) * guess - 1
+    high = _big(F.lit(2)) * guess + 1
+    exact = (
+        F.when((guess > 0) & (low * low * den > num4), guess - 1)
+        .when(high * high * den <= num4, guess + 1)
+        .otherwise(guess)
+    )
+    return F.when(n >= 2, exact).otherwise(_big(F.lit(0)))
+
+
+def ceil_mean_plus_sd(prefix: str, mean_factor: int, sd_factor: int) -> Column:
+    """``CEILING(mean * a + b * COALESCE(STDEV(x), 0))`` from :func:`moment_sums`, exactly.
+
+    The smallest integer c with ``c*n - a*s >= 0`` and
+    ``(c*n - a*s)^2 * (n-1) >= b^2 * n * (n*q - s*s)``; a double estimate is
+    corrected by one step either way. With one value the deviation is 0.
+    """
+    n, s, q = (F.col(f"{prefix}_{k}") for k in "nsq")
+    bn = _big(n)
+    spread = _big(F.lit(sd_factor * sd_factor)) * bn * (bn * q - s * s)
+
+    def fits(c: Column) -> Column:
+        gap = c * bn - _big(F.lit(mean_factor)) * s
+        return (gap >= 0) & (gap * gap * (bn - 1) >= spread)
+
+    pairs = F.nullif(bn * (bn - 1), _big(F.lit(0)))
+    variance = (bn * q - s * s).cast("double") / pairs.cast("double")
+    estimate = s.cast("double") / F.nullif(bn, _big(F.lit(0))).cast("double") * mean_factor
+    estimate = estimate + sd_factor * F.sqrt(variance)
+    guess = _big(F.ceil(estimate))
+    exact = F.when(fits(guess - 1), guess - 1).when(fits(guess), guess).otherwise(guess + 1)
+    single = _big(F.ceil(_big(F.lit(mean_factor)) * s / bn))
+    return F.when(n >= 2, exact).when(n == 1, single)
+
+
 def round_half_up(c: ColumnOrName, digits: int = 0) -> Column:
     """``ROUND(x, n)``; exact half-away-from-zero when ``x`` is a decimal."""
     return F.round(_col(c), digits)
@@ -76,11 +140,14 @@ def stockout_flag(level: ColumnOrName) -> Column:
 
 __all__ = [
     "band",
+    "ceil_mean_plus_sd",
     "count_if",
     "exact_mean",
     "exact_ratio",
     "int_avg",
     "lookup",
+    "moment_sums",
     "round_half_up",
+    "rounded_sample_sd",
     "stockout_flag",
 ]

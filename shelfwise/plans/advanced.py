@@ -24,7 +24,12 @@ ABC_STRATEGY = {
 
 
 def abc_classification(
-    star: Star, as_of: DateLike = None, window_days: int = 90, a: int = 80, b: int = 95
+    star: Star,
+    as_of: DateLike = None,
+    window_days: int = 90,
+    a: int = 80,
+    b: int = 95,
+    single_task_rows: int | None = 100_000,
 ) -> DataFrame:
     """Pareto A/B/C classes by revenue over the window (rows with sales).
 
@@ -33,6 +38,7 @@ def abc_classification(
     total. Columns: Product_SK, Total_Revenue, Total_Units_Sold,
     Avg_Inventory_Level, Revenue_Rank, Total_Products, Grand_Total_Revenue,
     Running_Revenue_Total, Revenue_Cumulative_Percent, ABC_Class.
+    ``single_task_rows``: see ``cumulative_share`` (None = always distributed).
     """
     start = F.date_sub(star.as_of(as_of), window_days)
     revenue = (
@@ -53,6 +59,7 @@ def abc_classification(
         count_col="Total_Products",
         total_col="Grand_Total_Revenue",
         running_col="Running_Revenue_Total",
+        single_task_rows=single_task_rows,
     )
     share = F.col("Running_Revenue_Total") / F.col("Grand_Total_Revenue") * 100
     pct = F.col("Revenue_Cumulative_Percent")

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import band, exact_mean, int_avg
+from shelfwise.functions import band, exact_mean, int_avg, moment_sums, rounded_sample_sd
 from shelfwise.operators import facts_on_days, with_product, with_store_product
 from shelfwise.plans.stock import DateLike
 from shelfwise.sources.star import Star
@@ -47,7 +47,7 @@ def demand_trend_forecast(
     m = F.col("_units")
     trend = monthly.groupBy("Product_SK", "Store_SK").agg(
         exact_mean(m).alias("_mean"),
-        F.stddev_samp(m).alias("_sd"),
+        *moment_sums(m, "_m"),
         int_avg(F.when(F.col("_recent"), m)).alias("_recent_mean"),
         int_avg(F.when(F.col("_previous"), m)).alias("_previous_mean"),
     )
@@ -64,7 +64,7 @@ def demand_trend_forecast(
         .select(
             "Product_ID", "Category", "Store_ID", "Region",
             F.round("_mean", 0).alias("Avg_Monthly_Sales"),
-            F.round(F.coalesce(F.col("_sd"), F.lit(0.0)), 0).alias("Sales_Volatility"),
+            rounded_sample_sd("_m").cast("double").alias("Sales_Volatility"),
             F.round(recent, 0).alias("Recent_3_Month_Avg"),
             F.round(previous, 0).alias("Previous_3_Month_Avg"),
             direction.alias("Trend_Direction"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import band, exact_mean
+from shelfwise.functions import band, ceil_mean_plus_sd, exact_mean, moment_sums
 from shelfwise.operators import facts_on_days, with_store_product
 from shelfwise.plans.stock import DateLike
 from shelfwise.sources.star import Star
@@ -24,28 +24,25 @@ def reorder_point(
     """Per product x store: reorder point = mean x lead time + z x sd, max stock = mean x ``max_days``.
 
     Mean and sample sd of daily units over the days since ``as_of - window_days``.
-    The reorder arithmetic is in floating point like the reference's ``FLOAT``
-    mean; the displayed mean is the exact mean rounded half up to 2 places.
+    Both ceilings are computed exactly from the count, sum and sum of squares
+    (a floating sd would make a result that is exactly an integer land on
+    either side of it, depending on how partial results were merged). The
+    displayed mean is the exact mean rounded half up to 2 places.
     """
     start = F.date_sub(star.as_of(as_of), window_days)
     units = F.col("Units_Sold")
     stats = (
         facts_on_days(star, start)
         .groupBy("Product_SK", "Store_SK")
-        .agg(
-            F.avg(units.cast("double")).alias("_mean"),
-            exact_mean(units).alias("_exact_mean"),
-            F.stddev_samp(units).alias("_sd"),
-        )
+        .agg(exact_mean(units).alias("_exact_mean"), *moment_sums(units, "_u"))
     )
-    mean = F.col("_mean")
     exact = F.col("_exact_mean")
     rows = with_store_product(stats.filter(exact > 0), star)
     velocity = band([(exact > high, "HIGH VELOCITY"), (exact > medium, "MEDIUM VELOCITY")], "LOW VELOCITY")
     return rows.select(
         "Product_ID", "Category", "Store_ID", "Region",
         F.round(exact, 2).alias("Avg_Daily_Sales"),
-        F.ceil(mean * lead_days + z * F.coalesce(F.col("_sd"), F.lit(0.0))).alias("Suggested_Reorder_Point"),
-        F.ceil(mean * max_days).alias("Suggested_Max_Stock"),
+        ceil_mean_plus_sd("_u", lead_days, z).cast("bigint").alias("Suggested_Reorder_Point"),
+        ceil_mean_plus_sd("_u", max_days, 0).cast("bigint").alias("Suggested_Max_Stock"),
         velocity.alias("Product_Velocity"),
     ).orderBy(F.col("Avg_Daily_Sales").desc(), "Product_ID", "Store_ID")

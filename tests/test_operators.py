@@ -116,3 +116,34 @@ def test_day_order_is_lexicographic(spark):
     df = spark.createDataFrame(rows, "Date date, Date_SK int")
     got = [(r.Date, r.Date_SK) for r in df.orderBy(day_order()).collect()]
     assert got == sorted(rows)
+
+
+def test_exact_sd_rounding_and_ceiling_match_exact_arithmetic(spark):
+    import math
+    from fractions import Fraction
+
+    from shelfwise.functions import ceil_mean_plus_sd, moment_sums, rounded_sample_sd
+
+    rng = random.Random(5)
+    groups = [[rng.randint(0, 30) for _ in range(rng.randint(1, 9))] for _ in range(400)]
+    groups += [[0, 1, 2], [2, 2, 2], [7], [0, 3], [1, 4, 4, 1], [10, 12, 14, 10, 12, 14]]  # exact sds and ceilings
+    rows = [(g, x) for g, values in enumerate(groups) for x in values]
+    df = spark.createDataFrame(rows, "g int, x int").repartition(7)
+    got = {r.g: (r.sd, r.cap) for r in df.groupBy("g").agg(*moment_sums("x", "_x"))
+           .select("g", rounded_sample_sd("_x").alias("sd"), ceil_mean_plus_sd("_x", 7, 2).alias("cap")).collect()}
+
+    def isqrt_floor(fr: Fraction) -> int:  # floor(sqrt(fr))
+        return math.isqrt(fr.numerator * fr.denominator) // fr.denominator
+
+    for g, values in enumerate(groups):
+        n, s = len(values), sum(values)
+        var = Fraction(n * sum(v * v for v in values) - s * s, n * (n - 1)) if n > 1 else Fraction(0)
+        r = 0
+        while Fraction((2 * r + 1) ** 2, 4) <= var:  # half up: largest r with (r - 1/2)^2 <= var
+            r += 1
+        c = math.ceil(Fraction(7 * s, n))
+        while not (c - Fraction(7 * s, n) >= 0 and (c - Fraction(7 * s, n)) ** 2 >= 4 * var):
+            c += 1
+        while c - 1 - Fraction(7 * s, n) >= 0 and (c - 1 - Fraction(7 * s, n)) ** 2 >= 4 * var:
+            c -= 1
+        assert got[g] == (r, c), (values, got[g], (r, c), isqrt_floor(var))
