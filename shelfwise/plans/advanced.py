@@ -181,11 +181,12 @@ def regional_efficiency(star: Star, as_of: DateLike = None, window_days: int = 3
     )
     rate = F.col("Inventory_Turnover_Rate")
     out = F.col("Stockout_Rate_Percent")
+    d = lambda x: F.lit(Decimal(x))  # noqa: E731  (exact decimal thresholds)
     rating = band(
         [
-            ((rate > 0.5) & (out < 5), "EXCELLENT"),
-            ((rate > 0.3) & (out < 10), "GOOD"),
-            ((rate > 0.2) | (out < 15), "AVERAGE"),
+            ((rate > d("0.5")) & (out < 5), "EXCELLENT"),
+            ((rate > d("0.3")) & (out < 10), "GOOD"),
+            ((rate > d("0.2")) | (out < 15), "AVERAGE"),
         ],
         "NEEDS IMPROVEMENT",
     )

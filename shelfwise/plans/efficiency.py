@@ -36,6 +36,7 @@ def inventory_turnover(
     ratio = F.when(F.col("_int_level") > 0, exact_ratio("_units", "_int_level")).otherwise(F.lit(Decimal(0)))
     per_pair = per_pair.filter(F.col("_mean_level") > 0).withColumn("_ratio", ratio)
     r = F.col("_ratio")
+    fast, moderate, reduce_below = (F.lit(Decimal(str(x))) for x in (fast, moderate, reduce_below))
     movement = band(
         [(r > fast, "FAST MOVING"), (r > moderate, "MODERATE MOVING"), (r > 0, "SLOW MOVING")], "NOT MOVING"
     )
