@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import band, int_avg
@@ -66,16 +66,30 @@ def low_days_of_supply(star: Star, threshold: int = 7, no_sales: int = 9999) ->
     """Store x product rows whose latest stock covers fewer than ``threshold`` days of mean sales.
 
     Mean daily sales are per product over all stores and days with sales.
+    One pass over the fact: per store x product the latest stock and the
+    selling rows' sum and count, then the product's mean from a window over
+    those rows (one row per store x product, not per fact row). The calendar is
+    left-joined because the mean, as in the original, counts every fact row,
+    while the latest stock only considers days known to the calendar.
     """
-    velocity = (
-        star.fact.filter(F.col("Units_Sold") > 0)
-        .groupBy("Product_SK")
-        .agg(F.avg(F.col("Units_Sold").cast("decimal(10,2)")).alias("Avg_Daily_Sales"))
+    units = F.col("Units_Sold")
+    selling = F.when(units > 0, units)
+    dated = star.fact.join(F.broadcast(star.date.select("Date_SK", "Date")), "Date_SK", "left")
+    per_pair = dated.groupBy("Store_SK", "Product_SK").agg(
+        F.max_by("Inventory_Level", day_order()).alias("Inventory_Level"),
+        F.sum(selling).alias("_sold"),
+        F.count(selling).alias("_selling_rows"),
+    )
+    product = Window.partitionBy("Product_SK")
+    mean = F.sum("_sold").over(product).cast("decimal(20,2)") / F.nullif(
+        F.sum("_selling_rows").over(product), F.lit(0)
+    )
+    current = per_pair.withColumn("Avg_Daily_Sales", mean.cast("decimal(14,6)")).filter(
+        F.col("Avg_Daily_Sales").isNotNull()  # products that never sold drop out, as with the inner join
     )
-    current = latest_stock(star)
     avg_sales = F.col("Avg_Daily_Sales")
     supply = F.col("Inventory_Level") / avg_sales
-    rows = with_store_product(current.join(velocity, "Product_SK"), star, ("Region",), ("Product_ID", "Category"))
+    rows = with_store_product(current, star, ("Region",), ("Product_ID", "Category"))
     return (
         rows.filter((F.col("Inventory_Level") > 0) & (supply < threshold))
         .select(
@@ -114,18 +128,22 @@ def obsolete_stock(star: Star, as_of: DateLike = None, days: int = 180) -> DataF
     defaults to today accordingly.
     """
     today = F.current_date() if as_of is None else star.as_of(as_of)
-    last_sale = (
+    # One pass: per product x store the latest stock value and the last day with sales.
+    order = day_order()
+    per_pair = (
         facts_on_days(star, date_cols=("Date",))
-        .filter(F.col("Units_Sold") > 0)
-        .groupBy("Product_SK")
-        .agg(F.max("Date").alias("Last_Sale_Date"))
+        .groupBy("Product_SK", "Store_SK")
+        .agg(
+            F.max_by("Inventory_Level", order).alias("_level"),
+            F.max_by("Price", order).alias("_price"),
+            F.max(F.when(F.col("Units_Sold") > 0, F.col("Date"))).alias("_last_sale"),
+        )
     )
-    stock_value = _latest_value(star).groupBy("Product_SK").agg(F.sum("Inventory_Value").alias("Obsolete_Value"))
-    rows = (
-        star.product.select("Product_SK", "Product_ID", "Category")
-        .join(stock_value, "Product_SK")
-        .join(last_sale, "Product_SK", "left")
+    per_product = per_pair.groupBy("Product_SK").agg(
+        F.sum(F.col("_level") * F.col("_price")).alias("Obsolete_Value"),
+        F.max("_last_sale").alias("Last_Sale_Date"),
     )
+    rows = star.product.select("Product_SK", "Product_ID", "Category").join(per_product, "Product_SK")
     gap = F.datediff(today, F.coalesce(F.col("Last_Sale_Date"), F.lit(dt.date(1900, 1, 1))))
     return (
         rows.filter((F.col("Obsolete_Value") > 0) & (gap > days))
