@@ -16,11 +16,30 @@ def _listed(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
     return rows.repartition(*[F.col(k) for k in keys]).distinct()
 
 
-def _pairs_in_partition(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
-    listed = _listed(rows, keys, item)
-    left = listed.select(*keys, F.col(item).alias("item_a"))
-    right = listed.select(*keys, F.col(item).alias("item_b"))
-    return left.join(right, keys).filter(F.col("item_a") < F.col("item_b")).select(*keys, "item_a", "item_b")
+def _pairs_per_basket(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """Pairs of each basket from its sorted item set, in one pass (no self-join).
+
+    ``collect_set`` is combined map-side and holds one basket's distinct items
+    (bounded: larger baskets take the block path); each item is paired with the
+    items after it, so every pair appears once with ``item_a < item_b``.
+    """
+    basket = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("_items"))
+    items = F.col("_items")
+    size = F.size(items)
+    pairs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), size - 1),
+            lambda i: F.transform(
+                F.slice(items, i + 1, size - i),
+                lambda b: F.struct(F.element_at(items, i).alias("item_a"), b.alias("item_b")),
+            ),
+        )
+    )
+    return (
+        basket.filter(size >= 2)
+        .select(*keys, F.explode(pairs).alias("_pair"))
+        .select(*keys, "_pair.item_a", "_pair.item_b")
+    )
 
 
 def _pairs_in_blocks(rows: DataFrame, keys: list[str], item: str, block_items: int) -> DataFrame:
@@ -58,11 +77,11 @@ def co_occurrence(
     * ``items`` (optional, one column named ``item``) restricts the items, like
       an inner join to an item dimension would; it is applied to the rows
       before anything is shuffled.
-    * The rows are hash-partitioned once on the basket keys and each basket
-      lists an item once (``distinct`` reuses that partitioning), so a basket
-      of ``k`` items yields ``k(k-1)/2`` pairs however many rows it had.
-      Both sides of the self-join are that same exchange, so the equi-join on
-      the basket keys (``a < b`` as residual) adds no shuffle.
+    * Each basket's distinct items are gathered once (a sorted ``collect_set``
+      per basket, combined map-side, one shuffle on the basket keys) and its
+      ``k(k-1)/2`` pairs are formed from that array with built-in array
+      functions, however many rows the basket had. One pass over the input;
+      no self-join (Spark would scan and shuffle the input once per side).
     * Hot baskets: when ``items`` has at most ``hot_basket_items`` rows no
       basket can exceed that many distinct items and nothing is measured;
       otherwise the rows per basket are counted first (combined map-side, one
@@ -90,10 +109,10 @@ def co_occurrence(
     else:
         largest = per_basket.agg(F.max("_rows")).first()[0] or 0
     if largest <= hot_basket_items:
-        pairs = _pairs_in_partition(rows, keys, item)
+        pairs = _pairs_per_basket(rows, keys, item)
     else:
         hot = per_basket.filter(F.col("_rows") > hot_basket_items).select(*keys)
-        pairs = _pairs_in_partition(rows.join(hot, keys, "left_anti"), keys, item).unionByName(
+        pairs = _pairs_per_basket(rows.join(hot, keys, "left_anti"), keys, item).unionByName(
             _pairs_in_blocks(rows.join(hot, keys, "left_semi"), keys, item, hot_basket_items)
         )
 
