@@ -50,13 +50,16 @@ def _big(c: Column) -> Column:
 def moment_sums(c: ColumnOrName, prefix: str) -> list[Column]:
     """``count``, ``sum`` and ``sum of squares`` of an integer column (exact), as aggregates.
 
-    They give the sample variance exactly: ``(n*q - s*s) / (n*(n-1))``.
+    They give the sample variance exactly: ``(n*q - s*s) / (n*(n-1))``. The
+    per-row work stays in ``bigint`` (codegen'd, combined map-side; with ANSI
+    mode an overflow fails instead of wrapping); only the per-group results
+    are widened to ``decimal(38,0)`` by the formulas below.
     """
-    c = _col(c)
+    c = _col(c).cast("long")
     return [
         F.count(c).alias(f"{prefix}_n"),
-        _big(F.sum(c)).alias(f"{prefix}_s"),
-        F.sum(_big(c) * _big(c)).alias(f"{prefix}_q"),
+        F.sum(c).alias(f"{prefix}_s"),
+        F.sum(c * c).alias(f"{prefix}_q"),
     ]
 
 
@@ -68,7 +71,7 @@ def rounded_sample_sd(prefix: str) -> Column:
     double estimate is corrected with integer arithmetic: the result is the
     largest r with ``(2r - 1)^2 * n(n-1) <= 4 * (n*q - s*s)``.
     """
-    n, s, q = (F.col(f"{prefix}_{k}") for k in "nsq")
+    n, s, q = (_big(F.col(f"{prefix}_{k}")) for k in "nsq")
     num4 = _big(F.lit(4)) * (_big(n) * q - s * s)
     den = _big(n) * _big(n - 1)
     guess = _big(F.floor(F.sqrt(num4.cast("double") / F.nullif(den, _big(F.lit(0))).cast("double")) / 2 + 0.5))
@@ -89,8 +92,8 @@ def ceil_mean_plus_sd(prefix: str, mean_factor: int, sd_factor: int) -> Column:
     ``(c*n - a*s)^2 * (n-1) >= b^2 * n * (n*q - s*s)``; a double estimate is
     corrected by one step either way. With one value the deviation is 0.
     """
-    n, s, q = (F.col(f"{prefix}_{k}") for k in "nsq")
-    bn = _big(n)
+    n, s, q = (_big(F.col(f"{prefix}_{k}")) for k in "nsq")
+    bn = n
     spread = _big(F.lit(sd_factor * sd_factor)) * bn * (bn * q - s * s)
 
     def fits(c: Column) -> Column:
