@@ -69,3 +69,9 @@ def test_basket_pairs_read_the_fact_once_without_broadcasts():
         assert not re.search(r"^Left keys \[\d+\]: \[Date_SK", text, re.M)  # no join on the basket keys
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(64 * 1024 * 1024))
+
+
+@pytest.mark.parametrize("key", sorted(ANALYSES))
+def test_each_analysis_scans_the_fact_once(star, key):
+    text = plan_text(ANALYSES[key](star, **entry_mod.PARAMS.get(key, {})))
+    assert len(re.findall(r"^Location: InMemoryFileIndex \[[^\]]*/fact\]", text, re.M)) == 1
