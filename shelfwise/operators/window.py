@@ -44,6 +44,13 @@ def facts_on_days(
     days = calendar(star, start, end).select("Date_SK", *date_cols)
     fact = star.fact
     if start is not None or end is not None:
-        lo = days.agg(F.min("Date_SK")).first()[0]
+        key = ("first_date_sk", str(start), str(end))
+        cacheable = "current_" not in key[1] + key[2]  # a window built on a literal day
+        if cacheable and key in star.resolved:
+            lo = star.resolved[key]
+        else:
+            lo = days.agg(F.min("Date_SK")).first()[0]
+            if cacheable:
+                star.resolved[key] = lo
         fact = fact.filter(F.col("Date_SK") >= F.lit(lo))
     return fact.join(F.broadcast(days), "Date_SK")

@@ -33,6 +33,11 @@ class Star:
         """``MAX(Date)`` of the calendar, resolved once per star (one small job on the date dimension)."""
         return self.date.agg(F.max("Date")).first()[0]
 
+    @cached_property
+    def resolved(self) -> dict:
+        """Scalars derived from the calendar (e.g. a window's first date key), kept per star."""
+        return {}
+
     def as_of(self, as_of: dt.date | str | Column | None = None) -> Column:
         """The reference date of an analysis: given, or the last calendar day.
 
