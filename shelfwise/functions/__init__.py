@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -63,51 +63,59 @@ def moment_sums(c: ColumnOrName, prefix: str) -> list[Column]:
     ]
 
 
-def rounded_sample_sd(prefix: str) -> Column:
-    """``ROUND(COALESCE(STDEV(x), 0), 0)`` from :func:`moment_sums`, exactly (half up).
+def with_rounded_sample_sd(df: DataFrame, prefix: str, out: str) -> DataFrame:
+    """Add ``out`` = ``ROUND(COALESCE(STDEV(x), 0), 0)`` from :func:`moment_sums`, exactly (half up).
 
     A floating ``stddev_samp`` depends on the order partial results are merged
     in, so a deviation of exactly k + 0.5 could round either way. Here a
     double estimate is corrected with integer arithmetic: the result is the
-    largest r with ``(2r - 1)^2 * n(n-1) <= 4 * (n*q - s*s)``.
+    largest r with ``(2r - 1)^2 * n(n-1) <= 4 * (n*q - s*s)``. Intermediate
+    values are separate columns, each computed once per group.
     """
     n, s, q = (_big(F.col(f"{prefix}_{k}")) for k in "nsq")
-    num4 = _big(F.lit(4)) * (_big(n) * q - s * s)
-    den = _big(n) * _big(n - 1)
-    guess = _big(F.floor(F.sqrt(num4.cast("double") / F.nullif(den, _big(F.lit(0))).cast("double")) / 2 + 0.5))
-    low = _big(F.lit(2)) * guess - 1
-    high = _big(F.lit(2)) * guess + 1
+    df = df.withColumn("_sd_v4", _big(F.lit(4)) * (n * q - s * s)).withColumn("_sd_pairs", n * (n - 1))
+    v4, pairs = F.col("_sd_v4"), F.col("_sd_pairs")
+    estimate = F.sqrt(v4.cast("double") / F.nullif(pairs, _big(F.lit(0))).cast("double")) / 2 + 0.5
+    df = df.withColumn("_sd_guess", _big(F.floor(estimate)))
+    guess = F.col("_sd_guess")
+    low, high = _big(F.lit(2)) * guess - 1, _big(F.lit(2)) * guess + 1
     exact = (
-        F.when((guess > 0) & (low * low * den > num4), guess - 1)
-        .when(high * high * den <= num4, guess + 1)
+        F.when((guess > 0) & (low * low * pairs > v4), guess - 1)
+        .when(high * high * pairs <= v4, guess + 1)
         .otherwise(guess)
     )
-    return F.when(n >= 2, exact).otherwise(_big(F.lit(0)))
+    df = df.withColumn(out, F.when(n >= 2, exact).otherwise(_big(F.lit(0))))
+    return df.drop("_sd_v4", "_sd_pairs", "_sd_guess")
 
 
-def ceil_mean_plus_sd(prefix: str, mean_factor: int, sd_factor: int) -> Column:
-    """``CEILING(mean * a + b * COALESCE(STDEV(x), 0))`` from :func:`moment_sums`, exactly.
+def with_ceil_mean_plus_sd(df: DataFrame, prefix: str, out: str, mean_factor: int, sd_factor: int) -> DataFrame:
+    """Add ``out`` = ``CEILING(mean * a + b * COALESCE(STDEV(x), 0))`` from :func:`moment_sums`, exactly.
 
     The smallest integer c with ``c*n - a*s >= 0`` and
     ``(c*n - a*s)^2 * (n-1) >= b^2 * n * (n*q - s*s)``; a double estimate is
     corrected by one step either way. With one value the deviation is 0.
+    Intermediate values are separate columns, each computed once per group.
     """
     n, s, q = (_big(F.col(f"{prefix}_{k}")) for k in "nsq")
-    bn = n
-    spread = _big(F.lit(sd_factor * sd_factor)) * bn * (bn * q - s * s)
+    tag = f"_{out}"
+    df = df.withColumn(f"{tag}_spread", _big(F.lit(sd_factor * sd_factor)) * n * (n * q - s * s)).withColumn(
+        f"{tag}_as", _big(F.lit(mean_factor)) * s
+    )
+    spread, a_s = F.col(f"{tag}_spread"), F.col(f"{tag}_as")
+    variance = (n * q - s * s).cast("double") / F.nullif(n * (n - 1), _big(F.lit(0))).cast("double")
+    estimate = s.cast("double") / F.nullif(n, _big(F.lit(0))).cast("double") * mean_factor
+    df = df.withColumn(f"{tag}_guess", _big(F.ceil(estimate + sd_factor * F.sqrt(variance))))
+    guess = F.col(f"{tag}_guess")
+    df = df.withColumn(f"{tag}_below", guess * n - n - a_s).withColumn(f"{tag}_at", guess * n - a_s)
+    below, at = F.col(f"{tag}_below"), F.col(f"{tag}_at")  # c*n - a*s for c = guess - 1 and c = guess
 
-    def fits(c: Column) -> Column:
-        gap = c * bn - _big(F.lit(mean_factor)) * s
-        return (gap >= 0) & (gap * gap * (bn - 1) >= spread)
+    def fits(gap: Column) -> Column:
+        return (gap >= 0) & (gap * gap * (n - 1) >= spread)
 
-    pairs = F.nullif(bn * (bn - 1), _big(F.lit(0)))
-    variance = (bn * q - s * s).cast("double") / pairs.cast("double")
-    estimate = s.cast("double") / F.nullif(bn, _big(F.lit(0))).cast("double") * mean_factor
-    estimate = estimate + sd_factor * F.sqrt(variance)
-    guess = _big(F.ceil(estimate))
-    exact = F.when(fits(guess - 1), guess - 1).when(fits(guess), guess).otherwise(guess + 1)
-    single = _big(F.ceil(_big(F.lit(mean_factor)) * s / bn))
-    return F.when(n >= 2, exact).when(n == 1, single)
+    exact = F.when(fits(below), guess - 1).when(fits(at), guess).otherwise(guess + 1)
+    single = _big(F.ceil(a_s / F.nullif(n, _big(F.lit(0)))))
+    df = df.withColumn(out, F.when(n >= 2, exact).when(n == 1, single))
+    return df.drop(f"{tag}_spread", f"{tag}_as", f"{tag}_guess", f"{tag}_below", f"{tag}_at")
 
 
 def round_half_up(c: ColumnOrName, digits: int = 0) -> Column:
@@ -143,7 +151,7 @@ def stockout_flag(level: ColumnOrName) -> Column:
 
 __all__ = [
     "band",
-    "ceil_mean_plus_sd",
+    "with_ceil_mean_plus_sd",
     "count_if",
     "exact_mean",
     "exact_ratio",
@@ -151,6 +159,6 @@ __all__ = [
     "lookup",
     "moment_sums",
     "round_half_up",
-    "rounded_sample_sd",
+    "with_rounded_sample_sd",
     "stockout_flag",
 ]

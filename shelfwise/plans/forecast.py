@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import band, exact_mean, int_avg, moment_sums, rounded_sample_sd
+from shelfwise.functions import band, exact_mean, int_avg, moment_sums, with_rounded_sample_sd
 from shelfwise.operators import facts_on_days, with_product, with_store_product
 from shelfwise.plans.stock import DateLike
 from shelfwise.sources.star import Star
@@ -51,6 +51,7 @@ def demand_trend_forecast(
         int_avg(F.when(F.col("_recent"), m)).alias("_recent_mean"),
         int_avg(F.when(F.col("_previous"), m)).alias("_previous_mean"),
     )
+    trend = with_rounded_sample_sd(trend, "_m", "_sd_round")
     recent = F.coalesce(F.col("_recent_mean"), F.lit(0))
     previous = F.coalesce(F.col("_previous_mean"), F.lit(0))
     direction = band(
@@ -64,7 +65,7 @@ def demand_trend_forecast(
         .select(
             "Product_ID", "Category", "Store_ID", "Region",
             F.round("_mean", 0).alias("Avg_Monthly_Sales"),
-            rounded_sample_sd("_m").cast("double").alias("Sales_Volatility"),
+            F.col("_sd_round").cast("double").alias("Sales_Volatility"),
             F.round(recent, 0).alias("Recent_3_Month_Avg"),
             F.round(previous, 0).alias("Previous_3_Month_Avg"),
             direction.alias("Trend_Direction"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import band, ceil_mean_plus_sd, exact_mean, moment_sums
+from shelfwise.functions import band, exact_mean, moment_sums, with_ceil_mean_plus_sd
 from shelfwise.operators import facts_on_days, with_store_product
 from shelfwise.plans.stock import DateLike
 from shelfwise.sources.star import Star
@@ -37,12 +37,14 @@ def reorder_point(
         .agg(exact_mean(units).alias("_exact_mean"), *moment_sums(units, "_u"))
     )
     exact = F.col("_exact_mean")
-    rows = with_store_product(stats.filter(exact > 0), star)
+    stats = with_ceil_mean_plus_sd(stats.filter(exact > 0), "_u", "_reorder", lead_days, z)
+    stats = with_ceil_mean_plus_sd(stats, "_u", "_max_stock", max_days, 0)
+    rows = with_store_product(stats, star)
     velocity = band([(exact > high, "HIGH VELOCITY"), (exact > medium, "MEDIUM VELOCITY")], "LOW VELOCITY")
     return rows.select(
         "Product_ID", "Category", "Store_ID", "Region",
         F.round(exact, 2).alias("Avg_Daily_Sales"),
-        ceil_mean_plus_sd("_u", lead_days, z).cast("bigint").alias("Suggested_Reorder_Point"),
-        ceil_mean_plus_sd("_u", max_days, 0).cast("bigint").alias("Suggested_Max_Stock"),
+        F.col("_reorder").cast("bigint").alias("Suggested_Reorder_Point"),
+        F.col("_max_stock").cast("bigint").alias("Suggested_Max_Stock"),
         velocity.alias("Product_Velocity"),
     ).orderBy(F.col("Avg_Daily_Sales").desc(), "Product_ID", "Store_ID")

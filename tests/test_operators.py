@@ -122,15 +122,16 @@ def test_exact_sd_rounding_and_ceiling_match_exact_arithmetic(spark):
     import math
     from fractions import Fraction
 
-    from shelfwise.functions import ceil_mean_plus_sd, moment_sums, rounded_sample_sd
+    from shelfwise.functions import moment_sums, with_ceil_mean_plus_sd, with_rounded_sample_sd
 
     rng = random.Random(5)
     groups = [[rng.randint(0, 30) for _ in range(rng.randint(1, 9))] for _ in range(400)]
     groups += [[0, 1, 2], [2, 2, 2], [7], [0, 3], [1, 4, 4, 1], [10, 12, 14, 10, 12, 14]]  # exact sds and ceilings
     rows = [(g, x) for g, values in enumerate(groups) for x in values]
     df = spark.createDataFrame(rows, "g int, x int").repartition(7)
-    got = {r.g: (r.sd, r.cap) for r in df.groupBy("g").agg(*moment_sums("x", "_x"))
-           .select("g", rounded_sample_sd("_x").alias("sd"), ceil_mean_plus_sd("_x", 7, 2).alias("cap")).collect()}
+    sums = df.groupBy("g").agg(*moment_sums("x", "_x"))
+    sums = with_ceil_mean_plus_sd(with_rounded_sample_sd(sums, "_x", "sd"), "_x", "cap", 7, 2)
+    got = {r.g: (r.sd, r.cap) for r in sums.select("g", "sd", "cap").collect()}
 
     def isqrt_floor(fr: Fraction) -> int:  # floor(sqrt(fr))
         return math.isqrt(fr.numerator * fr.denominator) // fr.denominator
