@@ -118,6 +118,18 @@ def with_ceil_mean_plus_sd(df: DataFrame, prefix: str, out: str, mean_factor: in
     return df.drop(f"{tag}_spread", f"{tag}_as", f"{tag}_guess", f"{tag}_below", f"{tag}_at")
 
 
+def mean_of_parts(total: ColumnOrName, count: ColumnOrName, total_type: str, result_type: str) -> Column:
+    """A mean rebuilt from partial sums and counts, typed like Spark's ``avg`` of a decimal.
+
+    ``avg(decimal(p,s))`` keeps ``sum / count`` as ``decimal(p+4, s+4)``,
+    rounded half up; the same value from pre-aggregated parts is
+    ``sum(parts) / sum(counts)`` cast to that type (NULL for no values).
+    """
+    return (
+        F.sum(total).cast(total_type) / F.nullif(F.sum(count), F.lit(0)).cast("decimal(20,0)")
+    ).cast(result_type)
+
+
 def round_half_up(c: ColumnOrName, digits: int = 0) -> Column:
     """``ROUND(x, n)``; exact half-away-from-zero when ``x`` is a decimal."""
     return F.round(_col(c), digits)
@@ -157,6 +169,7 @@ __all__ = [
     "exact_ratio",
     "int_avg",
     "lookup",
+    "mean_of_parts",
     "moment_sums",
     "round_half_up",
     "with_rounded_sample_sd",

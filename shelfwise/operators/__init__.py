@@ -1,7 +1,7 @@
 """Reusable DataFrame operators shared by the analyses."""
 
 from shelfwise.operators.basket import co_occurrence
-from shelfwise.operators.dims import with_product, with_store, with_store_product
+from shelfwise.operators.dims import dimension_is_large, with_product, with_store, with_store_product
 from shelfwise.operators.latest import day_order, latest_per_key, latest_per_key_ranked
 from shelfwise.operators.ranking import cumulative_share, cumulative_share_single
 from shelfwise.operators.window import calendar, facts_on_days
@@ -10,6 +10,7 @@ __all__ = [
     "calendar",
     "co_occurrence",
     "day_order",
+    "dimension_is_large",
     "cumulative_share",
     "cumulative_share_single",
     "facts_on_days",

@@ -7,8 +7,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import band, exact_mean, int_avg, moment_sums, with_rounded_sample_sd
-from shelfwise.operators import facts_on_days, with_product, with_store_product
+from shelfwise.functions import band, exact_mean, int_avg, mean_of_parts, moment_sums, with_rounded_sample_sd
+from shelfwise.operators import dimension_is_large, facts_on_days, with_product, with_store, with_store_product
 from shelfwise.plans.stock import DateLike
 from shelfwise.sources.star import Star
 
@@ -74,64 +74,126 @@ def demand_trend_forecast(
     )
 
 
-def holiday_promotion_impact(star: Star) -> DataFrame:
-    """Sales, revenue and price on promotion rows vs regular rows, by category (rows with sales)."""
-    rows = with_product(star.fact.filter(F.col("Units_Sold") > 0), star, "Category")
+def _int_avg_of_parts(total: str, count: str) -> F.Column:
+    """T-SQL ``AVG(int)`` rebuilt from partial sums and counts: ``sum div count``."""
+    return F.call_function("div", F.sum(total), F.nullif(F.sum(count), F.lit(0)))
+
+
+def holiday_promotion_impact(star: Star, aggregate_first: bool | None = None) -> DataFrame:
+    """Sales, revenue and price on promotion rows vs regular rows, by category (rows with sales).
+
+    ``aggregate_first`` (default: when the product dimension is large) sums
+    per product key and flag before joining the product categories.
+    """
+    units, price = F.col("Units_Sold"), F.col("Price")
+    sold = star.fact.filter(units > 0)
+    if aggregate_first is None:
+        aggregate_first = dimension_is_large(star)
+    if aggregate_first:
+        per_key = sold.groupBy("Product_SK", "Holiday_Promotion").agg(
+            F.count(F.lit(1)).alias("_rows"), F.sum(units).alias("_u"), F.count(units).alias("_un"),
+            F.sum(units * price).alias("_r"), F.sum(price).alias("_p"), F.count(price).alias("_pn"),
+        )
+        rows = with_product(per_key, star, "Category")
+        aggs = [
+            F.sum("_rows"), F.sum("_u"), _int_avg_of_parts("_u", "_un"), F.sum("_r").cast("decimal(31,2)"),
+            mean_of_parts("_p", "_pn", "decimal(20,2)", "decimal(14,6)"),
+        ]
+    else:
+        rows = with_product(sold, star, "Category")
+        aggs = [F.count(F.lit(1)), F.sum(units), int_avg(units), F.sum(units * price), F.avg(price)]
+    names = ["Number_of_Days", "Total_Units_Sold", "Avg_Daily_Sales", "Total_Revenue", "Avg_Price"]
     flag = F.col("Holiday_Promotion")
     return (
         rows.groupBy("Holiday_Promotion", "Category")
-        .agg(
-            F.count(F.lit(1)).alias("Number_of_Days"),
-            F.sum(F.col("Units_Sold")).alias("Total_Units_Sold"),
-            int_avg(F.col("Units_Sold")).alias("Avg_Daily_Sales"),
-            F.sum(F.col("Units_Sold") * F.col("Price")).alias("Total_Revenue"),
-            F.avg("Price").alias("Avg_Price"),
-        )
+        .agg(*[a.alias(n) for a, n in zip(aggs, names)])
         .select(
             F.when(flag == 1, F.lit("HOLIDAY/PROMOTION")).otherwise(F.lit("REGULAR")).alias("Day_Type"),
-            "Category", "Number_of_Days", "Total_Units_Sold", "Avg_Daily_Sales", "Total_Revenue", "Avg_Price",
+            "Category", *names,
         )
         .orderBy(F.col("Day_Type"), F.col("Total_Revenue").desc(), F.col("Category"))
     )
 
 
-def forecast_mape(star: Star) -> DataFrame:
-    """Mean absolute percentage error of the demand forecast per product (rows with sales)."""
-    rows = with_product(star.fact.filter(F.col("Units_Sold") > 0), star, "Product_ID", "Category")
-    ape = F.abs(F.col("Units_Sold") - F.col("Demand_Forecast")) / F.nullif(F.col("Units_Sold"), F.lit(0))
+def forecast_mape(star: Star, aggregate_first: bool | None = None) -> DataFrame:
+    """Mean absolute percentage error of the demand forecast per product (rows with sales).
+
+    ``aggregate_first`` (default: when the product dimension is large) sums
+    the per-row errors per product key before joining the product names.
+    """
+    units = F.col("Units_Sold")
+    sold = star.fact.filter(units > 0)
+    ape = F.abs(units - F.col("Demand_Forecast")) / F.nullif(units, F.lit(0))
+    if aggregate_first is None:
+        aggregate_first = dimension_is_large(star)
+    if aggregate_first:
+        per_key = sold.groupBy("Product_SK").agg(F.sum(ape).alias("_e"), F.count(ape).alias("_en"))
+        rows = with_product(per_key, star, "Product_ID", "Category")
+        mean = mean_of_parts("_e", "_en", "decimal(34,13)", "decimal(28,17)")
+    else:
+        rows = with_product(sold, star, "Product_ID", "Category")
+        mean = F.avg(ape)
     return (
         rows.groupBy("Product_ID", "Category")
-        .agg((F.avg(ape) * 100).alias("MAPE"))
+        .agg((mean * 100).alias("MAPE"))
         .filter(F.col("MAPE").isNotNull())
         .orderBy(F.col("MAPE").desc(), F.col("Product_ID"))
     )
 
 
-def forecast_unit_variance(star: Star) -> DataFrame:
-    """Forecast minus actual units by category and region; positive means over-forecast."""
-    rows = with_store_product(star.fact, star, ("Region",), ("Category",))
+def forecast_unit_variance(star: Star, aggregate_first: bool | None = None) -> DataFrame:
+    """Forecast minus actual units by category and region; positive means over-forecast.
+
+    ``aggregate_first`` (default: when the product dimension is large) sums
+    per region and product key before joining the product categories.
+    """
+    units, forecast = F.col("Units_Sold"), F.col("Demand_Forecast")
+    if aggregate_first is None:
+        aggregate_first = dimension_is_large(star)
+    if aggregate_first:
+        per_key = (
+            with_store(star.fact, star, "Region")
+            .groupBy("Region", "Product_SK")
+            .agg(F.sum(forecast).alias("_f"), F.sum(units).alias("_u"))
+        )
+        rows = with_product(per_key, star, "Category")
+        totals = [F.sum("_f").cast("decimal(20,2)"), F.sum("_u")]
+    else:
+        rows = with_store_product(star.fact, star, ("Region",), ("Category",))
+        totals = [F.sum(forecast), F.sum(units)]
     variance = F.col("Total_Forecasted_Units") - F.col("Total_Sold_Units")
     return (
         rows.groupBy("Category", "Region")
-        .agg(
-            F.sum("Demand_Forecast").alias("Total_Forecasted_Units"),
-            F.sum(F.col("Units_Sold")).alias("Total_Sold_Units"),
-        )
+        .agg(totals[0].alias("Total_Forecasted_Units"), totals[1].alias("Total_Sold_Units"))
         .select("Category", "Region", "Total_Forecasted_Units", "Total_Sold_Units", variance.alias("Unit_Variance"))
         .orderBy(F.abs(F.col("Unit_Variance")).desc(), "Category", "Region")
     )
 
 
-def discount_impact(star: Star) -> DataFrame:
-    """Mean units with and without discount (integer means) and mean discount, by category."""
-    discount = F.col("Discount")
-    rows = with_product(star.fact, star, "Category")
-    return (
-        rows.groupBy("Category")
-        .agg(
-            int_avg(F.when(discount > 0, F.col("Units_Sold"))).alias("Avg_Sales_With_Discount"),
-            int_avg(F.when(discount == 0, F.col("Units_Sold"))).alias("Avg_Sales_Without_Discount"),
-            F.avg(F.when(discount > 0, discount)).alias("Avg_Discount_Percent"),
+def discount_impact(star: Star, aggregate_first: bool | None = None) -> DataFrame:
+    """Mean units with and without discount (integer means) and mean discount, by category.
+
+    ``aggregate_first`` (default: when the product dimension is large) sums
+    per product key before joining the product categories.
+    """
+    discount, units = F.col("Discount"), F.col("Units_Sold")
+    with_disc, without_disc = F.when(discount > 0, units), F.when(discount == 0, units)
+    disc = F.when(discount > 0, discount)
+    if aggregate_first is None:
+        aggregate_first = dimension_is_large(star)
+    if aggregate_first:
+        per_key = star.fact.groupBy("Product_SK").agg(
+            F.sum(with_disc).alias("_ws"), F.count(with_disc).alias("_wn"),
+            F.sum(without_disc).alias("_os"), F.count(without_disc).alias("_on"),
+            F.sum(disc).alias("_ds"), F.count(disc).alias("_dn"),
         )
-        .orderBy("Category")
-    )
+        rows = with_product(per_key, star, "Category")
+        aggs = [
+            _int_avg_of_parts("_ws", "_wn"), _int_avg_of_parts("_os", "_on"),
+            mean_of_parts("_ds", "_dn", "decimal(14,2)", "decimal(8,6)"),
+        ]
+    else:
+        rows = with_product(star.fact, star, "Category")
+        aggs = [int_avg(with_disc), int_avg(without_disc), F.avg(disc)]
+    names = ["Avg_Sales_With_Discount", "Avg_Sales_Without_Discount", "Avg_Discount_Percent"]
+    return rows.groupBy("Category").agg(*[a.alias(n) for a, n in zip(aggs, names)]).orderBy("Category")
