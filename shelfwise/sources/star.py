@@ -69,6 +69,7 @@ def write_star(
     path: str,
     fact_files: int | None = None,
     partition_by: str | None = None,
+    max_rows_per_file: int = 8_000_000,
 ) -> Star:
     """Write the four tables as Parquet under ``path`` and return them re-read.
 
@@ -78,13 +79,16 @@ def write_star(
     min/max statistics. The grain is unique, so even a single very large day
     (or day and store) is split evenly over several files.
     ``partition_by="Date_SK"`` additionally writes one directory per day, which
-    lets Spark prune whole directories at scale.
+    lets Spark prune whole directories at scale. ``fact_files`` is the number of
+    range partitions (default: the shuffle partitions); each of them is cut
+    into files of at most ``max_rows_per_file`` rows, so file sizes stay
+    bounded however large the fact is.
     """
     spark = star.spark
     n = fact_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fact = star.fact.select(*schema.FACT.fieldNames())
     fact = fact.repartitionByRange(n, *GRAIN).sortWithinPartitions(*GRAIN)
-    writer = fact.write.mode("overwrite")
+    writer = fact.write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file)
     if partition_by:
         writer = writer.partitionBy(partition_by)
 
