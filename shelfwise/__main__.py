@@ -3,6 +3,7 @@
     python -m shelfwise --star /warehouse/star q14_revenue_by_region_category --show 20
     python -m shelfwise --tpch /root/testdata/sf0.01 q20_abc_classification --out /tmp/abc
     python -m shelfwise --list
+    python -m shelfwise --star /warehouse/star --validate
 
 ``--star`` reads a star written by ``write_star``; ``--tpch`` builds one from
 TPC-H-like tables. ``--as-of YYYY-MM-DD`` sets the reference day of the
@@ -29,8 +30,20 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--out", help="write the result here as Parquet")
     parser.add_argument("--show", type=int, default=20, help="rows to print when --out is not given")
     parser.add_argument("--list", action="store_true", help="list the analysis keys")
+    parser.add_argument("--validate", action="store_true", help="print the star's integrity report")
     args = parser.parse_args(argv)
 
+    if args.validate:
+        if not (args.star or args.tpch):
+            parser.error("give --star or --tpch")
+        from shelfwise.session import build_session
+        from shelfwise.sources import load_star, read_star, validate
+
+        spark = build_session()
+        star = read_star(spark, args.star) if args.star else load_star(spark, args.tpch)
+        validate(star).show(truncate=False)
+        spark.stop()
+        return 0
     if args.list or not args.analysis:
         print("\n".join(ANALYSES))
         return 0
