@@ -23,6 +23,9 @@ class Star:
     store: DataFrame
     product: DataFrame
     date: DataFrame
+    # True when the fact is known to hold one row per (Date_SK, Store_SK, Product_SK),
+    # e.g. built by a group-by on the grain or checked with ``validate``.
+    unique_grain: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -55,13 +58,17 @@ class Star:
         return {"fact": self.fact, "store": self.store, "product": self.product, "date": self.date}
 
 
-def read_star(spark: SparkSession, path: str) -> Star:
-    """Read a star written by :func:`write_star` (explicit schemas, no inference)."""
+def read_star(spark: SparkSession, path: str, unique_grain: bool = False) -> Star:
+    """Read a star written by :func:`write_star` (explicit schemas, no inference).
+
+    ``unique_grain=True`` declares that the fact holds one row per grain key
+    (for instance after :func:`validate` reported no duplicates).
+    """
     frames = {  # a partition column is read back last; keep the declared order
         name: spark.read.schema(struct).parquet(f"{path}/{name}").select(*struct.fieldNames())
         for name, struct in schema.TABLES.items()
     }
-    return Star(**frames)
+    return Star(**frames, unique_grain=unique_grain)
 
 
 def write_star(
@@ -102,7 +109,7 @@ def write_star(
         jobs += [pool.submit(write_dimension, name) for name in ("store", "product", "date")]
         for job in jobs:
             job.result()
-    return read_star(spark, path)
+    return read_star(spark, path, unique_grain=star.unique_grain)
 
 
 def validate(star: Star) -> DataFrame:

@@ -100,7 +100,8 @@ def derive_star(spark: SparkSession, sf_dir: str) -> Star:
         F.max("l_discount").cast("decimal(4,2)").alias("Discount"),
         F.max(F.when(F.col("ship_month").isin(11, 12), 1).otherwise(0)).cast("int").alias("Holiday_Promotion"),
     )
-    return Star(fact=fact, store=store, product=product, date=date)
+    # The fact is a group-by on the grain, so the grain is unique by construction.
+    return Star(fact=fact, store=store, product=product, date=date, unique_grain=True)
 
 
 _CACHE: dict[tuple[str, str], Star] = {}
