@@ -9,18 +9,9 @@ from shelfwise.functions import band, exact_mean, int_avg, lookup
 from shelfwise.operators import facts_on_days, with_store_product
 from shelfwise.plans.stock import DateLike
 from shelfwise.sources.star import Star
+from shelfwise.plans.labels import ACTIONS, ADVICE, DEFAULT_ADVICE
 
 
-# Action labels in priority order, and the advice text for each.
-ACTIONS = ["URGENT_RESTOCK", "INCREASE_STOCK", "REDUCE_STOCK", "CONSIDER_DISCONTINUE", "MAINTAIN"]
-ADVICE = {
-    "URGENT_RESTOCK": "Order immediately to prevent lost sales",
-    "INCREASE_STOCK": "Increase inventory levels to prevent stockouts",
-    "REDUCE_STOCK": "Liquidate or transfer excess stock",
-    "CONSIDER_DISCONTINUE": "Evaluate product viability for this location",
-}
-DEFAULT_ADVICE = "Current stock levels are appropriate"
-
 
 def action_plan(
     star: Star,
@@ -51,14 +42,15 @@ def action_plan(
         )
     )
     level, sales, days = F.col("_level"), F.col("Recent_Sales"), F.col("_days")
+    urgent, increase, reduce, discontinue, maintain = ACTIONS
     action = band(
         [
-            ((level == 0) & (sales > 0), "URGENT_RESTOCK"),
-            (level * days < cover_low * sales, "INCREASE_STOCK"),
-            ((level * days > cover_high * sales) & (sales < slow_sales), "REDUCE_STOCK"),
-            ((sales == 0) & (level > high_stock), "CONSIDER_DISCONTINUE"),
+            ((level == 0) & (sales > 0), urgent),
+            (level * days < cover_low * sales, increase),
+            ((level * days > cover_high * sales) & (sales < slow_sales), reduce),
+            ((sales == 0) & (level > high_stock), discontinue),
         ],
-        "MAINTAIN",
+        maintain,
     )
     rows = with_store_product(per_pair.withColumn("Action_Required", action), star, ("Region",), ("Category",))
     priority = band([(F.col("Action_Required") == a, str(i)) for i, a in enumerate(ACTIONS[:-1], 1)], "5")

@@ -13,15 +13,9 @@ from shelfwise.operators import co_occurrence, cumulative_share, facts_on_days,
 from shelfwise.operators.basket import HOT_BASKET_ITEMS
 from shelfwise.plans.stock import DateLike
 from shelfwise.sources.star import Star
+from shelfwise.plans.labels import ABC_CLASSES, ABC_STRATEGY, AFFINITY, BUNDLE, PERFORMANCE
 
 
-# The management strategy text per ABC class.
-ABC_STRATEGY = {
-    "A": "TIGHT CONTROL - Daily monitoring, safety stock",
-    "B": "MODERATE CONTROL - Weekly monitoring",
-    "C": "LOOSE CONTROL - Monthly review, minimize stock",
-}
-
 
 def abc_classification(
     star: Star,
@@ -64,7 +58,7 @@ def abc_classification(
     share = F.col("Running_Revenue_Total") / F.col("Grand_Total_Revenue") * 100
     pct = F.col("Revenue_Cumulative_Percent")
     return ranked.withColumn("Revenue_Cumulative_Percent", share).withColumn(
-        "ABC_Class", band([(pct <= a, "A"), (pct <= b, "B")], "C")
+        "ABC_Class", band([(pct <= a, ABC_CLASSES[0]), (pct <= b, ABC_CLASSES[1])], ABC_CLASSES[2])
     )
 
 
@@ -132,12 +126,10 @@ def product_affinity(
 
     product_a, product_b = role("A"), role("B")
     together = F.col("together")
-    strength = band(
-        [(together >= strong, "STRONG AFFINITY"), (together >= moderate, "MODERATE AFFINITY")], "WEAK AFFINITY"
-    )
-    bundle = F.when(F.col("Category_A") != F.col("Category_B"), F.lit("Cross-Category Opportunity")).otherwise(
-        F.lit("Same Category Bundle")
-    )
+    strong_label, moderate_label, weak_label = AFFINITY
+    strength = band([(together >= strong, strong_label), (together >= moderate, moderate_label)], weak_label)
+    cross, same = BUNDLE
+    bundle = F.when(F.col("Category_A") != F.col("Category_B"), F.lit(cross)).otherwise(F.lit(same))
     return (
         best.join(product_a, "item_a")
         .join(product_b, "item_b")
@@ -182,13 +174,14 @@ def regional_efficiency(star: Star, as_of: DateLike = None, window_days: int = 3
     rate = F.col("Inventory_Turnover_Rate")
     out = F.col("Stockout_Rate_Percent")
     d = lambda x: F.lit(Decimal(x))  # noqa: E731  (exact decimal thresholds)
+    excellent, good, average, needs_improvement = PERFORMANCE
     rating = band(
         [
-            ((rate > d("0.5")) & (out < 5), "EXCELLENT"),
-            ((rate > d("0.3")) & (out < 10), "GOOD"),
-            ((rate > d("0.2")) | (out < 15), "AVERAGE"),
+            ((rate > d("0.5")) & (out < 5), excellent),
+            ((rate > d("0.3")) & (out < 10), good),
+            ((rate > d("0.2")) | (out < 15), average),
         ],
-        "NEEDS IMPROVEMENT",
+        needs_improvement,
     )
     # One row per region: the ranking windows see a handful of rows.
     return compared.select(

@@ -12,6 +12,7 @@ from shelfwise.operators import facts_on_days, latest_per_key, with_product, wit
 from shelfwise.operators.latest import day_order
 from shelfwise.plans.stock import DateLike, _value_by_region_category
 from shelfwise.sources.star import Star
+from shelfwise.plans.labels import MOVEMENT, TURNOVER_ADVICE
 
 
 def inventory_turnover(
@@ -37,13 +38,10 @@ def inventory_turnover(
     per_pair = per_pair.filter(F.col("_mean_level") > 0).withColumn("_ratio", ratio)
     r = F.col("_ratio")
     fast, moderate, reduce_below = (F.lit(Decimal(str(x))) for x in (fast, moderate, reduce_below))
-    movement = band(
-        [(r > fast, "FAST MOVING"), (r > moderate, "MODERATE MOVING"), (r > 0, "SLOW MOVING")], "NOT MOVING"
-    )
-    advice = band(
-        [(r > fast, "INCREASE STOCK"), ((r < reduce_below) & (r > 0), "REDUCE STOCK")],
-        "MAINTAIN CURRENT LEVELS",
-    )
+    fast_moving, moderate_moving, slow_moving, not_moving = MOVEMENT
+    movement = band([(r > fast, fast_moving), (r > moderate, moderate_moving), (r > 0, slow_moving)], not_moving)
+    increase, reduce, maintain = TURNOVER_ADVICE
+    advice = band([(r > fast, increase), ((r < reduce_below) & (r > 0), reduce)], maintain)
     return (
         with_store_product(per_pair, star)
         .orderBy(r.desc(), "Product_ID", "Store_ID")

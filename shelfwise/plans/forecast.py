@@ -11,6 +11,7 @@ from shelfwise.functions import band, exact_mean, int_avg, mean_of_parts, moment
 from shelfwise.operators import dimension_is_large, facts_on_days, with_product, with_store, with_store_product
 from shelfwise.plans.stock import DateLike
 from shelfwise.sources.star import Star
+from shelfwise.plans.labels import DAY_TYPE, TREND
 
 
 def demand_trend_forecast(
@@ -54,9 +55,10 @@ def demand_trend_forecast(
     trend = with_rounded_sample_sd(trend, "_m", "_sd_round")
     recent = F.coalesce(F.col("_recent_mean"), F.lit(0))
     previous = F.coalesce(F.col("_previous_mean"), F.lit(0))
+    growing, declining, stable = TREND
     direction = band(
-        [(recent > previous * F.lit(Decimal(up)), "GROWING"), (recent < previous * F.lit(Decimal(down)), "DECLINING")],
-        "STABLE",
+        [(recent > previous * F.lit(Decimal(up)), growing), (recent < previous * F.lit(Decimal(down)), declining)],
+        stable,
     )
     basis = F.coalesce(F.col("_recent_mean").cast("decimal(38,18)"), F.col("_mean"), F.lit(Decimal(0)))
     return (
@@ -108,7 +110,7 @@ def holiday_promotion_impact(star: Star, aggregate_first: bool | None = None) ->
         rows.groupBy("Holiday_Promotion", "Category")
         .agg(*[a.alias(n) for a, n in zip(aggs, names)])
         .select(
-            F.when(flag == 1, F.lit("HOLIDAY/PROMOTION")).otherwise(F.lit("REGULAR")).alias("Day_Type"),
+            F.when(flag == 1, F.lit(DAY_TYPE[0])).otherwise(F.lit(DAY_TYPE[1])).alias("Day_Type"),
             "Category", *names,
         )
         .orderBy(F.col("Day_Type"), F.col("Total_Revenue").desc(), F.col("Category"))

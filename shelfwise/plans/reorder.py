@@ -9,6 +9,7 @@ from shelfwise.functions import band, exact_mean, moment_sums, with_ceil_mean_pl
 from shelfwise.operators import facts_on_days, with_store_product
 from shelfwise.plans.stock import DateLike
 from shelfwise.sources.star import Star
+from shelfwise.plans.labels import VELOCITY
 
 
 def reorder_point(
@@ -40,7 +41,8 @@ def reorder_point(
     stats = with_ceil_mean_plus_sd(stats.filter(exact > 0), "_u", "_reorder", lead_days, z)
     stats = with_ceil_mean_plus_sd(stats, "_u", "_max_stock", max_days, 0)
     rows = with_store_product(stats, star)
-    velocity = band([(exact > high, "HIGH VELOCITY"), (exact > medium, "MEDIUM VELOCITY")], "LOW VELOCITY")
+    fast, steady, slow = VELOCITY
+    velocity = band([(exact > high, fast), (exact > medium, steady)], slow)
     return rows.select(
         "Product_ID", "Category", "Store_ID", "Region",
         F.round(exact, 2).alias("Avg_Daily_Sales"),

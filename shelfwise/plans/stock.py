@@ -11,6 +11,7 @@ from shelfwise.functions import band, int_avg
 from shelfwise.operators import facts_on_days, latest_per_key, with_product, with_store, with_store_product
 from shelfwise.operators.latest import day_order
 from shelfwise.sources.star import Star
+from shelfwise.plans.labels import STOCK_STATUS
 
 DateLike = dt.date | str | Column | None
 
@@ -20,10 +21,8 @@ def stock_status_current(star: Star, as_of: DateLike = None, critical: int = 10,
     day = star.as_of(as_of)
     rows = with_store_product(facts_on_days(star, day, day), star)
     level = F.col("Inventory_Level")
-    status = band(
-        [(level == 0, "OUT OF STOCK"), (level <= critical, "CRITICAL LOW"), (level <= low, "LOW STOCK")],
-        "ADEQUATE",
-    )
+    out, critical_low, low_stock, adequate = STOCK_STATUS
+    status = band([(level == 0, out), (level <= critical, critical_low), (level <= low, low_stock)], adequate)
     return rows.select(
         "Store_ID", "Region", "Product_ID", "Category",
         level.alias("Current_Stock"), status.alias("Stock_Status"),

@@ -11,6 +11,7 @@ from shelfwise.functions import band, stockout_flag
 from shelfwise.operators import facts_on_days, with_product
 from shelfwise.plans.stock import DateLike
 from shelfwise.sources.star import Star
+from shelfwise.plans.labels import SUPPLIER_ACTION, SUPPLIER_RATING
 
 
 def supplier_scorecard(star: Star, as_of: DateLike = None, window_days: int = 90) -> DataFrame:
@@ -27,10 +28,10 @@ def supplier_scorecard(star: Star, as_of: DateLike = None, window_days: int = 90
         ),
     )
     rate = F.col("Stockout_Rate_Percent")
-    rating = band([(rate < 2, "EXCELLENT"), (rate < 5, "GOOD"), (rate < 10, "NEEDS IMPROVEMENT")], "POOR")
-    action = band(
-        [(rate > 10, "FIND ALTERNATIVE SUPPLIERS"), (rate > 5, "NEGOTIATE BETTER TERMS")], "MAINTAIN RELATIONSHIP"
-    )
+    excellent, good, needs_improvement, poor = SUPPLIER_RATING
+    rating = band([(rate < 2, excellent), (rate < 5, good), (rate < 10, needs_improvement)], poor)
+    find_other, negotiate, keep = SUPPLIER_ACTION
+    action = band([(rate > 10, find_other), (rate > 5, negotiate)], keep)
     return metrics.select(
         F.col("Category").alias("Supplier_Category"),
         "Products_Supplied",
