@@ -248,9 +248,9 @@ Q["q15_demand_trend_forecast"] = f"""
     FROM fx WHERE cal_date >= (SELECT first_day FROM bounds)
     GROUP BY product_sk, store_sk, cal_year, cal_month
 ), flagged AS (
-    SELECT m.*, m.month_start >= b.recent_from AS is_recent,
-           m.month_start BETWEEN b.prev_from AND b.prev_to AS is_prev
-    FROM months m, bounds b
+    SELECT m.*, m.month_start >= (SELECT recent_from FROM bounds) AS is_recent,
+           m.month_start BETWEEN (SELECT prev_from FROM bounds) AND (SELECT prev_to FROM bounds) AS is_prev
+    FROM months m
 ), trend AS (
     SELECT product_sk, store_sk, SUM(m) AS sm, COUNT(m) AS k, SUM(CAST(m AS HUGEINT) * m) AS qm,
            SUM(CASE WHEN is_recent THEN m END) // COUNT(CASE WHEN is_recent THEN m END) AS rec,
