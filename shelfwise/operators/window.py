@@ -30,13 +30,13 @@ def facts_on_days(
 
     The join to the calendar decides membership, exactly as the reference's
     ``JOIN Dim_Date ... WHERE dd.Date >= ...``. Before it, the fact is also
-    filtered on ``Date_SK >= `` the smallest key of the chosen days, read from
-    the calendar (one small job) when the query is built. That filter never
-    drops a matching row, and as a comparison with a literal it reaches the
-    Parquet scan (``PushedFilters``): files, row groups and, when the fact is
-    partitioned by day, whole directories before the window are skipped at
-    planning time. Trailing windows end at the last day, so no upper bound is
-    needed for pruning.
+    filtered on ``Date_SK`` between the smallest and (when ``end`` is given)
+    the largest key of the chosen days, read from the calendar (one small job,
+    remembered per star) when the query is built. That filter never drops a
+    matching row, and as a comparison with literals it reaches the Parquet
+    scan (``PushedFilters``): files, row groups and, when the fact is
+    partitioned by day, whole directories outside the window are skipped at
+    planning time.
 
     The calendar side is broadcast explicitly: it holds one row per day, so
     its size is bounded by the length of the calendar, not by the data.
@@ -44,13 +44,15 @@ def facts_on_days(
     days = calendar(star, start, end).select("Date_SK", *date_cols)
     fact = star.fact
     if start is not None or end is not None:
-        key = ("first_date_sk", str(start), str(end))
+        key = ("date_sk_range", str(start), str(end))
         cacheable = "current_" not in key[1] + key[2]  # a window built on a literal day
         if cacheable and key in star.resolved:
-            lo = star.resolved[key]
+            lo, hi = star.resolved[key]
         else:
-            lo = days.agg(F.min("Date_SK")).first()[0]
+            lo, hi = days.agg(F.min("Date_SK"), F.max("Date_SK")).first()
             if cacheable:
-                star.resolved[key] = lo
+                star.resolved[key] = (lo, hi)
         fact = fact.filter(F.col("Date_SK") >= F.lit(lo))
+        if end is not None:
+            fact = fact.filter(F.col("Date_SK") <= F.lit(hi))
     return fact.join(F.broadcast(days), "Date_SK")
