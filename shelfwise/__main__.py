@@ -36,13 +36,12 @@ def main(argv: list[str] | None = None) -> int:
     if args.validate:
         if not (args.star or args.tpch):
             parser.error("give --star or --tpch")
-        from shelfwise.session import build_session
-        from shelfwise.sources import load_star, read_star, validate
+        from shelfwise.sources import validate
 
-        spark = build_session()
-        star = read_star(spark, args.star) if args.star else load_star(spark, args.tpch)
+        spark, star, started = _open(args)
         validate(star).show(truncate=False)
-        spark.stop()
+        if started:
+            spark.stop()
         return 0
     if args.list or not args.analysis:
         print("\n".join(ANALYSES))
@@ -52,11 +51,7 @@ def main(argv: list[str] | None = None) -> int:
     if not (args.star or args.tpch):
         parser.error("give --star or --tpch")
 
-    from shelfwise.session import build_session
-    from shelfwise.sources import load_star, read_star
-
-    spark = build_session()
-    star = read_star(spark, args.star) if args.star else load_star(spark, args.tpch)
+    spark, star, started = _open(args)
     fn = ANALYSES[args.analysis]
     kwargs = {}
     if args.as_of:
@@ -69,9 +64,23 @@ def main(argv: list[str] | None = None) -> int:
         print(f"wrote {args.out}")
     else:
         result.show(args.show, truncate=False)
-    spark.stop()
+    if started:
+        spark.stop()
     return 0
 
 
+def _open(args: argparse.Namespace):
+    """Session and star; the session is stopped at the end only if this call started it."""
+    from pyspark.sql import SparkSession
+
+    from shelfwise.session import build_session
+    from shelfwise.sources import load_star, read_star
+
+    started = SparkSession.getActiveSession() is None
+    spark = build_session()
+    star = read_star(spark, args.star) if args.star else load_star(spark, args.tpch)
+    return spark, star, started
+
+
 if __name__ == "__main__":
     sys.exit(main())
