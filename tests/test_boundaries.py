@@ -155,6 +155,9 @@ def test_demand_trend_month_groups_depend_on_the_day(spark):
     first = plans.demand_trend_forecast(star, as_of=D(2024, 6, 1)).collect()[0]
     # 1st: recent = Mar-Jun (1034 div 4), previous = Dec-Feb (30 div 3).
     assert (first.Recent_3_Month_Avg, first.Previous_3_Month_Avg, first.Trend_Direction) == (258, 10, "GROWING")
+    last = plans.demand_trend_forecast(star, as_of=D(2024, 5, 31)).collect()[0]
+    # 31st: months start >= 2024-02-29 (clamped) are recent: Mar-Jun; previous: Dec-Jan (10 div 2); Feb in neither.
+    assert (last.Recent_3_Month_Avg, last.Previous_3_Month_Avg, last.Trend_Direction) == (258, 5, "GROWING")
 
 
 def test_demand_trend_ratio_edges(spark):
