@@ -333,3 +333,15 @@ def test_validate_reports_duplicates_and_orphans(spark):
     assert report["fact_grain_duplicates"] == 2
     assert report["fact_orphan_Product_SK"] == 1
     assert sum(report.values()) == 3
+
+
+def test_regional_rating_each_band(spark):
+    b = StarBuilder(D(2024, 6, 1), LAST)
+    b.stores += [(3, "S3", "NORTH"), (4, "S4", "SOUTH")]
+    b.product(1)
+    b.fact(days_before(1), 1, 1, level=0, units=0)    # EAST: no stock, turnover NULL, stockouts 100 %
+    b.fact(days_before(1), 2, 1, level=10, units=6)   # WEST: 0.6 and 0 %
+    b.fact(days_before(1), 3, 1, level=10, units=4)   # NORTH: 0.4 and 0 %
+    b.fact(days_before(1), 4, 1, level=10, units=1)   # SOUTH: 0.1, but stockouts under 15 %
+    rating = {r.Region: r.Performance_Rating for r in plans.regional_efficiency(b.build(spark)).collect()}
+    assert rating == {"EAST": "NEEDS IMPROVEMENT", "WEST": "EXCELLENT", "NORTH": "GOOD", "SOUTH": "AVERAGE"}
