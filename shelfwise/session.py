@@ -48,17 +48,24 @@ def build_session(
     return spark
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for written intermediate tables.
+def scratch_root(spark: SparkSession, scratch: str | None = None) -> str:
+    """Folder for written intermediate tables, shared by the driver and all executors.
 
-    On a cluster this is the directory named by ``spark.checkpoint.dir``; only
-    when the session has none (local tests) a private temporary one is set.
+    ``scratch`` if given, else ``spark.checkpoint.dir``, else the directory set
+    with ``SparkContext.setCheckpointDir``. Without any of these a session in
+    local mode (one process, as in tests) gets a private temporary folder; a
+    session on a cluster gets an error, because a machine-local folder there
+    would lose rows.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = scratch or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="shelfwise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+        master = context.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(
+                "No shared scratch folder: start the session with spark.checkpoint.dir, call "
+                "SparkContext.setCheckpointDir, or pass scratch= a folder that all executors can write."
+            )
+        root = tempfile.mkdtemp(prefix="shelfwise-scratch-")
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
