@@ -9,13 +9,13 @@ from __future__ import annotations
 
 _TOP_K = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS a
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS a
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.a, c.a), z -> z[1] * z[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.a, c.a), lambda z: z[1] * z[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id
   WHERE q.vec_id % 50 = 0
 ), ranked AS (
@@ -35,14 +35,14 @@ WITH RECURSIVE words AS (
   SELECT doc_id, list_distinct(CASE
     WHEN len(w) = 0 THEN []
     WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
   FROM words
 ), grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 pairs AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n_x, any_value(b.n) AS n_y, count(*) AS both
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n_x, any_value(b.n) AS n_y, count(*) AS shared
   FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
   GROUP BY ALL
-), linked AS (SELECT x, y FROM pairs WHERE 100 * both >= 90 * (n_x + n_y - both)),
+), linked AS (SELECT x, y FROM pairs WHERE 100 * shared >= 90 * (n_x + n_y - shared)),
 edges AS (SELECT x, y FROM linked UNION SELECT y, x FROM linked),
 reach AS (
   SELECT doc_id AS a, doc_id AS b FROM sets
@@ -68,7 +68,7 @@ cdf AS (
   FROM cdf WHERE k < ceil(mean + 12 * sqrt(mean) + 30)
 ), lists AS (SELECT source, any_value(parts) AS parts, list(c ORDER BY k) AS cdf FROM cdf GROUP BY source),
 drawn AS (
-  SELECT d.*, list_sum(list_transform(range(1, l.parts + 1), j -> len(list_filter(l.cdf, c -> c <=
+  SELECT d.*, list_sum(list_transform(range(1, l.parts + 1), lambda j: len(list_filter(l.cdf, lambda c: c <=
     ('0x' || substr(md5('17:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || CAST(j AS VARCHAR)), 1, 13))::BIGINT
     / 4503599627370496.0)))) AS copies
   FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source
@@ -130,11 +130,11 @@ FROM lows
 
 _EMBEDDINGS = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS a
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), linked AS (
   SELECT p.vec_id AS x, q.vec_id AS y FROM v p JOIN v q ON p.vec_id <> q.vec_id
   WHERE list_cosine_similarity(p.a, q.a) >= 0.95
