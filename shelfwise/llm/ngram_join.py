@@ -56,6 +56,7 @@ from shelfwise.llm.common import keep
 from shelfwise.llm.components import connected_components
 
 GROWTH = 1.5  # largest size of a level over that of the level below
+COARSE = 64  # groups of the points in the trees; pairs that pass are bounded once more on their fine points
 LEAF = 64  # points per leaf
 CHUNK = 128  # documents verified beside one centre in one go
 
@@ -151,11 +152,19 @@ def root_keys(grams: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
 # -- points --------------------------------------------------------------------
 
 
-def count_vector(grams: np.ndarray) -> bytes:
-    """Numbers of n-grams per group; a power of two of groups, at least as many as n-grams."""
-    groups = 1 << max(3, int(len(grams)).bit_length())
+def count_vector(grams: np.ndarray, groups: int) -> bytes:
+    """Numbers of n-grams per group; ``groups`` is a power of two."""
     counts = np.bincount((grams & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return counts.astype("<u2").tobytes()
+    return counts.astype("<u4" if len(grams) >= 1 << 16 else "<u2").tobytes()
+
+
+def fine_groups(size: int) -> int:
+    """Groups of the fine point of a set: a power of two, about as many as n-grams."""
+    return max(COARSE, 1 << max(0, size.bit_length() - 1))
+
+
+def _open_point(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if size >= 1 << 16 else "<u2").astype(np.int64)
 
 
 def _fold(points: np.ndarray, groups: int) -> np.ndarray:
@@ -166,8 +175,9 @@ def _fold(points: np.ndarray, groups: int) -> np.ndarray:
     return points
 
 
-def shared_at_most(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+def shared_at_most(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """Bound on the common n-grams of two sets of sizes n_a and n_b from their points."""
+    x, y = _open_point(a, n_a), _open_point(b, n_b)
     groups = min(len(x), len(y))
     return int(np.minimum(_fold(x, groups), _fold(y, groups)).sum())
 
@@ -188,10 +198,11 @@ def _describe(words: int, threshold: tuple[int, int]):
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(digests, pa.binary()),
-                    pa.array([count_vector(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([count_vector(s, COARSE) for s in sets], pa.binary()),
+                    pa.array([count_vector(s, fine_groups(len(s))) for s in sets], pa.binary()),
                     pa.array([root_keys(s, threshold) for s in sets], pa.list_(pa.int32())),
                 ],
-                ["doc_id", "n", "digest", "point", "keys"],
+                ["doc_id", "n", "digest", "point", "fine", "keys"],
             )
 
     return run
@@ -226,7 +237,7 @@ def _bounded(threshold: tuple[int, int]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = zip(f["n_a"], f["point_a"], f["n_b"], f["point_b"])
-            ok = [reaches(shared_at_most(x, y), a, b, threshold) for a, x, b, y in rows]
+            ok = [reaches(shared_at_most(x, a, y, b), a, b, threshold) for a, x, b, y in rows]
             yield f.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
     return run
@@ -235,62 +246,106 @@ def _bounded(threshold: tuple[int, int]):
 # -- leaves ----------------------------------------------------------------------
 
 
-def _make_leaves(size: int):
-    """Rows sorted by key, n and point become leaves: up to ``size`` points of one key with their bounding box."""
-    columns = ["key", "leaf", "docs", "groups_of", "sizes", "points", "n_min", "n_max"]
+TREE = (
+    "a long, b long, key int, leaf long, docs binary, components binary, sizes binary, points binary, "
+    "n_min long, n_max long"
+)
+
+
+def _pairs_within(docs, components, sizes, points, threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one leaf that are not connected yet and that the summed minima allow."""
+    i, j = np.triu_indices(len(docs), 1)
+    apart = components[i] != components[j]
+    i, j = i[apart], j[apart]
+    shared = np.minimum(points[i], points[j]).sum(axis=1)
+    ok = reaches(shared, sizes[i], sizes[j], threshold)
+    return docs[i[ok]], docs[j[ok]]
 
-    def leaf(f: pd.DataFrame) -> tuple:
-        points = [np.frombuffer(p, "<u2") for p in f["point"]]
-        groups = min(map(len, points))
-        stacked = np.stack([_fold(p, groups) for p in points]).astype("<u2")
-        return (
-            f["key"].iloc[0], int(f["doc"].iloc[0]), f["doc"].to_numpy("<i8").tobytes(),
-            f["component"].to_numpy("<i8").tobytes(), f["n"].to_numpy("<i8").tobytes(), stacked.tobytes(),
-            int(f["n"].min()), int(f["n"].max()),
-        )
+
+def _trees(threshold: tuple[int, int], size: int):
+    """Rows sorted by key, n and point become trees.
+
+    A root with at most ``size`` points is a single leaf and is joined at once:
+    rows with ``a, b``. A larger root, or one that may go on in another
+    partition, becomes leaves of up to ``size`` points: the other columns.
+    """
+    columns = [c.split()[0] for c in TREE.split(", ")]
+
+    def leaf(key, docs, components, sizes, points) -> tuple:
+        packed = (x.astype("<i8").tobytes() for x in (docs, components, sizes, points))
+        return (None, None, key, int(docs[0]), *packed, int(sizes.min()), int(sizes.max()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for frame in frames:
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            starts = np.flatnonzero(np.concatenate([[True], frame["key"].to_numpy()[1:] != frame["key"].to_numpy()[:-1]]))
-            cuts = [s + i for s, e in zip(starts, [*starts[1:], len(frame)]) for i in range(0, e - s, size)]
-            if cuts:
-                yield pd.DataFrame(
-                    [leaf(frame.iloc[s:e]) for s, e in zip(cuts[:-1], cuts[1:])], columns=columns
-                )
-                rest = frame.iloc[cuts[-1] :]
-        if rest is not None and len(rest):
-            yield pd.DataFrame([leaf(rest)], columns=columns)
+        rest, first, cut_key = None, True, None
+        for frame in _with_last(frames):
+            if frame is not None:
+                rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if rest is None or not len(rest):
+                continue
+            keys = rest["key"].to_numpy()
+            docs, components, sizes = (rest[c].to_numpy() for c in ("doc", "component", "n"))
+            points = np.stack([_open_point(p, n) for p, n in zip(rest["point"], sizes)])
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            rows: list[tuple] = []
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            done = 0
+            for s, e in zip(starts, [*starts[1:], len(keys)]):
+                last = e == len(keys)
+                if last and frame is not None and e - s <= size:
+                    break  # it may go on in the next frame
+                part = (docs[s:e], components[s:e], sizes[s:e], points[s:e])
+                if first or last or e - s > size or keys[s] == cut_key:
+                    stop = s + (e - s) // size * size if last and frame is not None else e
+                    for i in range(s, stop, size):
+                        rows.append(leaf(int(keys[s]), *(x[i : min(i + size, stop)] for x in (docs, components, sizes, points))))
+                    done, cut_key = stop, keys[s]
+                else:
+                    found.append(_pairs_within(*part, threshold))
+                    done = e
+                first = False
+            rest = rest.iloc[done:]
+            if found:
+                a, b = (np.concatenate(side) for side in zip(*found))
+                rows += [(int(x), int(y), *[None] * (len(columns) - 2)) for x, y in zip(a, b)]
+            if rows:
+                out = pd.DataFrame(rows, columns=columns)
+                numbers = ["a", "b", "key", "leaf", "n_min", "n_max"]
+                yield out.astype(dict.fromkeys(numbers, "Int64"))
 
     return run
 
 
+def _with_last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    """The frames, and None after them."""
+    yield from frames
+    yield None
+
+
 def _join_leaves(threshold: tuple[int, int]):
     """Pairs of points of two leaves that are not connected yet and that the summed minima allow."""
 
-    def open_leaf(docs, groups_of, sizes, points):
-        docs = np.frombuffer(docs, "<i8")
-        return docs, np.frombuffer(groups_of, "<i8"), np.frombuffer(sizes, "<i8"), np.frombuffer(points, "<u2").reshape(len(docs), -1)
+    def open_leaf(docs, components, sizes, points):
+        docs, components, sizes, points = (np.frombuffer(x, "<i8") for x in (docs, components, sizes, points))
+        return docs, components, sizes, points.reshape(len(docs), -1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for row in f.itertuples(index=False):
-                docs_a, of_a, n_a, a = open_leaf(row.docs, row.groups_of, row.sizes, row.points)
-                docs_b, of_b, n_b, b = open_leaf(row.docs_2, row.groups_of_2, row.sizes_2, row.points_2)
-                groups = min(a.shape[1], b.shape[1])
-                a, b = _fold(a, groups), _fold(b, groups)
+                one = open_leaf(row.docs, row.components, row.sizes, row.points)
+                if row.leaf == row.leaf_2:
+                    found.append(_pairs_within(*one, threshold))
+                    continue
+                docs_a, of_a, n_a, a = one
+                docs_b, of_b, n_b, b = open_leaf(row.docs_2, row.components_2, row.sizes_2, row.points_2)
                 box = np.minimum(a.max(axis=0), b.max(axis=0)).sum()
                 if not reaches(int(box), int(n_a.min()), int(n_b.min()), threshold):
                     continue
                 for i in range(len(docs_a)):
-                    todo = np.flatnonzero((of_b != of_a[i]) & (docs_b > docs_a[i] if row.leaf == row.leaf_2 else True))
-                    if len(todo):
-                        shared = np.minimum(b[todo], a[i]).sum(axis=1, dtype=np.int64)
-                        todo = todo[reaches(shared, n_a[i], n_b[todo], threshold)]
-                    if len(todo):
-                        found.append((np.full(len(todo), docs_a[i]), docs_b[todo]))
+                    todo = np.flatnonzero(of_b != of_a[i])
+                    shared = np.minimum(b[todo], a[i]).sum(axis=1)
+                    todo = todo[reaches(shared, n_a[i], n_b[todo], threshold)]
+                    found.append((np.full(len(todo), docs_a[i]), docs_b[todo]))
             if found:
                 a, b = (np.concatenate(side) for side in zip(*found))
                 yield pd.DataFrame({"a": a, "b": b})
@@ -318,7 +373,9 @@ def _verify(words: int, threshold: tuple[int, int]):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+def verified(
+    docs: DataFrame, pairs: DataFrame, words: int, threshold: tuple[int, int], scratch: str | None = None
+) -> DataFrame:
     """Links ``u, v`` among ``pairs (a, b)``, decided on the n-grams of ``docs (doc_id, text)``.
 
     The partners of one document are verified in chunks, so that its text is
@@ -328,27 +385,43 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: tuple[int
     dealt = pairs.join(chunks, "a").select(
         "a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("doc")
     )
-    wanted = dealt.union(dealt.select("a", "chunk", F.col("a").alias("doc")).distinct())
+    # Written, so that Spark knows its size: only texts that are wanted travel if the list is small enough to be
+    # broadcast, and else both sides are shuffled.
+    wanted = keep(dealt.union(dealt.select("a", "chunk", F.col("a").alias("doc")).distinct()), "wanted", scratch)
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
-    return texts.join(wanted.hint("shuffle_hash"), "doc").groupBy("a", "chunk").applyInPandas(_verify(words, threshold), "u long, v long")
+    return texts.join(wanted, "doc").groupBy("a", "chunk").applyInPandas(_verify(words, threshold), "u long, v long")
 
 
 # -- the operator ------------------------------------------------------------------
 
 
+def _allowed(pairs: DataFrame, points: DataFrame, column: str, threshold: tuple[int, int]) -> DataFrame:
+    """Those of ``pairs (a, b)`` that the points ``doc, n, <column>`` allow."""
+
+    def of(x: str) -> DataFrame:
+        return points.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"point_{x}"))
+
+    with_points = pairs.join(of("b"), "b").join(of("a"), "a")
+    return with_points.mapInPandas(_bounded(threshold), "a long, b long").distinct()
+
+
 def links(
-    docs: DataFrame, described: DataFrame, words: int, threshold: tuple[int, int], scratch: str | None = None
-) -> DataFrame:
+    docs: DataFrame, sets: DataFrame, holders: DataFrame, words: int, threshold: tuple[int, int],
+    scratch: str | None = None,
+) -> DataFrame:
     """Links between different sets that connect all documents the threshold connects.
 
-    ``described``: one row per distinct set (a written table).
+    ``sets``: from ``_describe`` (a written table); ``holders (doc_id, digest)``:
+    the row that stands for each distinct set.
     """
-    entered = described.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
+    distinct_sets = sets.join(holders.hint("shuffle_hash"), ["doc_id", "digest"], "left_semi")
+    entered = distinct_sets.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
     # A document has many keys, so even a key that a third of the documents carry is a small part of these
     # rows; its run streams through the task.
     runs = entered.repartition("key").sortWithinPartitions("key")
     shared = keep(runs.mapInArrow(_shared_only, "key int, doc long").distinct(), "roots", scratch)
-    points = described.select(F.col("doc_id").alias("doc"), "n", "point")
+    points = keep(distinct_sets.select(F.col("doc_id").alias("doc"), "n", "point"), "points", scratch)
+    fine = sets.select(F.col("doc_id").alias("doc"), "n", "fine")
 
     # The centre of a root is the document with the largest sum of neighbours over its roots.
     crowd = shared.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"))
@@ -360,9 +433,9 @@ def links(
         .select("key", (-F.col("top.doc")).alias("a"))
     )
     to_centre = shared.join(centre, "key").filter("a <> doc").select("a", F.col("doc").alias("b")).distinct()
-    of = lambda x: points.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"point_{x}"))
-    allowed = to_centre.join(of("b"), "b").join(of("a"), "a").mapInPandas(_bounded(threshold), "a long, b long")
-    first = keep(verified(docs, keep(allowed, "centre-pairs", scratch), words, threshold), "links", scratch)
+    near = keep(_allowed(to_centre, points, "point", threshold), "centre-pairs", scratch)
+    near = keep(_allowed(near, fine, "fine", threshold), "centre-pairs", scratch)
+    first = keep(verified(docs, near, words, threshold, scratch), "links", scratch)
 
     component = connected_components(first, scratch).withColumnRenamed("node", "doc")
     known = shared.join(component, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
@@ -370,30 +443,31 @@ def links(
     open_roots = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     members = known.join(open_roots.select("key"), "key", "left_semi").join(points, "doc")
     order = ["key", "n", "point", "doc"]
-    leaves = keep(
+    trees = keep(
         members.select("key", "doc", "component", "n", "point")
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .mapInPandas(
-            _make_leaves(LEAF),
-            "key int, leaf long, docs binary, groups_of binary, sizes binary, points binary, n_min long, n_max long",
-        ),
-        "leaves",
+        .mapInPandas(_trees(threshold, LEAF), TREE),
+        "trees",
         scratch,
     )
+    leaves = trees.filter("leaf is not null").drop("a", "b")
     others = leaves.select("key", *[F.col(c).alias(f"{c}_2") for c in leaves.columns if c != "key"])
     t, whole = threshold
-    near = (
-        (F.col("leaf") == F.col("leaf_2"))
-        | ((F.col("n_min") < F.col("n_min_2")) | ((F.col("n_min") == F.col("n_min_2")) & (F.col("leaf") < F.col("leaf_2"))))
-    ) & (F.col("n_max") * whole >= F.col("n_min_2") * t) & (F.col("n_max_2") * whole >= F.col("n_min") * t)
-    candidates = leaves.join(others, "key").filter(near).mapInPandas(_join_leaves(threshold), "a long, b long")
+    # Each pair of leaves once, and only if their sizes allow a link.
+    once = (F.col("n_min") < F.col("n_min_2")) | (
+        (F.col("n_min") == F.col("n_min_2")) & (F.col("leaf") <= F.col("leaf_2"))
+    )
+    sizes = (F.col("n_max") * whole >= F.col("n_min_2") * t) & (F.col("n_max_2") * whole >= F.col("n_min") * t)
+    between = leaves.join(others, "key").filter(once & sizes).mapInPandas(_join_leaves(threshold), "a long, b long")
+    candidates = trees.filter("a is not null").select("a", "b").union(between)
     rest = keep(
         candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", scratch
     )
+    rest = keep(_allowed(rest, fine, "fine", threshold), "pairs", scratch)
     if rest.isEmpty():
         return first
-    second = keep(verified(docs, rest, words, threshold), "links", scratch)
+    second = keep(verified(docs, rest, words, threshold, scratch), "links", scratch)
     return first.union(second)
 
 
@@ -406,14 +480,12 @@ def near_duplicates(
     |union|``; ``component_id`` is the smallest ``doc_id`` that links reach.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n long, digest binary, point binary, keys array<int>"
+    schema = "doc_id long, n long, digest binary, point binary, fine binary, keys array<int>"
     described = keep(docs.mapInArrow(_describe(words, threshold), schema), "sets", scratch)
     nodes = described.filter("n > 0 and doc_id is not null")
     copies = keep(nodes.groupBy("digest").agg(F.min("doc_id").alias("holder")), "copies", scratch)
     holders = copies.select(F.col("holder").alias("doc_id"), "digest")
-    # One row per distinct set. A repeated row would only add equal keys.
-    distinct_sets = nodes.join(holders.hint("shuffle_hash"), ["doc_id", "digest"], "left_semi")
-    between = links(docs, keep(distinct_sets, "distinct-sets", scratch), words, threshold, scratch)
+    between = links(docs, nodes, holders, words, threshold, scratch)
     # A document's copies hang on the holder of its set; a document id with several texts joins their sets.
     by_copy = nodes.join(copies, "digest").select("doc_id", "holder").filter("doc_id <> holder")
     everything = between.union(by_copy.select(F.col("doc_id").alias("u"), F.col("holder").alias("v")))
