@@ -53,11 +53,10 @@ def repetition_rates(docs: DataFrame, weights: DataFrame, by: str, size: float |
         F.col(f"`{by}`").alias("__mix_target"), F.col("weight").cast("double").alias("weight")
     ).filter("weight > 0")
     joined = counts.join(wanted, F.col("__mix_source").eqNullSafe(F.col("__mix_target"))).drop("__mix_target")
-    totals = joined.agg(F.sum("weight").alias("w"), F.sum("n").alias("present"))
-    everything = F.col("present") if size is None else F.lit(float(size))
-    return joined.join(F.broadcast(totals)).select(  # one row of totals
-        "__mix_source", (F.col("weight") / F.col("w") * everything / F.col("n")).alias("rate")
-    )
+    weight, present = joined.agg(F.sum("weight"), F.sum("n")).first()
+    wanted_size = float(present or 0) if size is None else float(size)
+    rate = F.col("weight") / F.lit(float(weight or 1)) * F.lit(wanted_size) / F.col("n")
+    return joined.select("__mix_source", rate.alias("rate"))
 
 
 def with_distribution(rates: DataFrame) -> DataFrame:

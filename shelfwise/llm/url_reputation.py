@@ -72,9 +72,13 @@ def _rules_by_host(hosts: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFr
     )
 
 
-def match_rules(parsed: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """Add ``rule`` and ``rule_verdict`` of the longest fitting rule; ``rules``: (verdict, "host/path")."""
-    own = _rules_by_host(parsed.select("host").distinct(), rules)
+def match_rules(parsed: DataFrame, rules: Sequence[tuple[str, str]], scratch: str | None = None) -> DataFrame:
+    """Add ``rule`` and ``rule_verdict`` of the longest fitting rule; ``rules``: (verdict, "host/path").
+
+    The rules per host are written first: joined from a table and not from an
+    aggregate, a hot host's pages can be split.
+    """
+    own = keep(_rules_by_host(parsed.select("host").distinct(), rules), "host-rules", scratch)
     fitting = F.filter("own", lambda r: F.startswith(F.col("path"), r["rule_path"]))
     longest = F.reduce(
         fitting,
@@ -152,7 +156,7 @@ def judge(
     ``bad_low`` is the lower posterior bound of the bad share that the method
     went by, null where a rule decided or nothing is known.
     """
-    matched = keep(match_rules(parse(pages), rules), "matched", scratch)
+    matched = keep(match_rules(parse(pages), rules, scratch), "matched", scratch)
     outcomes = matched.groupBy("host").agg(
         F.count_if(F.col("rule_verdict") == "block").alias("bad"), F.count("rule_verdict").alias("n")
     )
@@ -160,7 +164,8 @@ def judge(
     known = outcomes.select("host", domain_of("host").alias("domain"), suffix_of("host").alias("suffix"))
     for level in LEVELS:
         known = known.join(tables[level].select(level, F.col("low").alias(f"{level}_low")), level, "left")
-    known = known.select("host", F.coalesce("host_low", "domain_low", "suffix_low").alias("low")).filter("low is not null")
+    known = known.select("host", F.coalesce("host_low", "domain_low", "suffix_low").alias("low"))
+    known = keep(known.filter("low is not null"), "reputation", scratch)
     low = F.when(F.col("rule").isNull(), F.col("low"))
     verdict = F.coalesce("rule_verdict", F.when(low > threshold, F.lit("block")).otherwise(F.lit("allow")))
     return matched.join(known, "host", "left").select(
