@@ -18,15 +18,52 @@ from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
-MEMO_WORDS = 600_000  # words remembered by one Python worker; then it starts afresh
+MEMO_WORDS = 250_000  # words in each of the two generations that a Python worker remembers
+GROUP_CHARS = 1 << 20  # texts split into words at a time
+SLICE = 10_000  # words given to the library at a time
 
 
-class ByteBpeEncoder:
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in groups of about ``GROUP_CHARS`` characters: a text's words take far more memory than the text."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= GROUP_CHARS:
+            yield texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
+MARKS = ".,;:!?"
+
+
+class _WordMemo:
+    """What is known about words, in two generations: words in use pass on to the next, the others are forgotten."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.memo: dict = {}
+        self.before: dict = {}
+
+    def unknown(self, words: list[list[str]]) -> list[str]:
+        """The distinct words that are not known; all others are in ``memo`` afterwards."""
+        if len(self.memo) > self.size:
+            self.before, self.memo = self.memo, {}
+        missing = set().union(*words).difference(self.memo)
+        known = missing.intersection(self.before)
+        self.memo.update((w, self.before[w]) for w in known)
+        return list(missing.difference(known))
+
+
+class ByteBpeEncoder(_WordMemo):
     """Ids of texts by a ``tokenizers`` file, as packed little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+        super().__init__(memo_words)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -45,24 +82,34 @@ class ByteBpeEncoder:
             and spec.get("padding") is None
         )
         self.specials = [t["content"] for t in spec.get("added_tokens") or []]
-        self.memo_words = memo_words
-        self.memo: dict[str, bytes | None] = {}
+        self.marks = {m: self._pack([m])[0] for m in MARKS}
 
     def _pack(self, texts: list[str]) -> list[bytes]:
-        encodings = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [_pack_ids(e.ids) for e in encodings]
+        out: list[bytes] = []
+        for i in range(0, len(texts), SLICE):
+            encodings = self.tokenizer.encode_batch_fast(texts[i : i + SLICE], add_special_tokens=False)
+            out += [_pack_ids(e.ids) for e in encodings]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._pack(texts)
-        words = [t.split(" ") for t in texts]
-        if len(self.memo) > self.memo_words:
-            self.memo.clear()
-        new = list(set().union(*(w[1:] for w in words)).difference(self.memo)) if words else []
+        return [ids for group in _groups(texts) for ids in self._encode_group(group)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words that follow a space, or None for words that may not be taken alone."""
+        self.memo.update(dict.fromkeys(words))
+        # Letters and one mark after them are two words to the pre-tokenizer; the letters serve all marks.
+        marked = [w for w in words if w[-1:] in MARKS and w[:-1].isalpha()]
+        plain = set(words).difference(marked).union(w[:-1] for w in marked)
         # A word with white space at its ends, or no characters, borders on a run of white space.
-        fit = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        self.memo.update(dict.fromkeys(new))
+        fit = [w for w in plain if w and not self.memo.get(w) and not w[0].isspace() and not w[-1].isspace()]
         self.memo.update(zip(fit, self._pack([" " + w for w in fit])))
+        self.memo.update((w, self.memo[w[:-1]] + self.marks[w[-1]]) for w in marked)
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        words = [t.split(" ") for t in texts]
+        self._learn(self.unknown([w[1:] for w in words]))
         look_up = self.memo.__getitem__
         out: list[bytes | None] = []
         firsts = self._pack([w[0] for w in words])
@@ -87,18 +134,17 @@ def _pack_ids(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
-class PieceCounter:
+class PieceCounter(_WordMemo):
     """Token counts of texts by a sentencepiece model."""
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+        super().__init__(memo_words)
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         plain = self.model.encode("  a b  c　", out_type=str)  # neither trimmed, folded nor joined
         self.by_word = all("▁" not in p.lstrip("▁") for p in pieces) and "".join(plain) == "▁▁▁a▁b▁▁c　"
-        self.memo_words = memo_words
-        self.memo: dict[str, int] = {}
 
     def _counts(self, texts: list[str]) -> list[int]:
         return [len(ids) for ids in self.model.encode(texts, num_threads=1)] if texts else []
@@ -106,10 +152,11 @@ class PieceCounter:
     def count(self, texts: list[str]) -> list[int]:
         if not self.by_word:
             return self._counts(texts)
+        return [n for group in _groups(texts) for n in self._count_group(group)]
+
+    def _count_group(self, texts: list[str]) -> list[int]:
         words = [t.split(" ") for t in texts]
-        if len(self.memo) > self.memo_words:
-            self.memo.clear()
-        new = list(set().union(*words).difference(self.memo)) if words else []
+        new = self.unknown(words)
         self.memo.update(zip(new, self._counts(new)))
         look_up = self.memo.__getitem__
         out, whole = [], []
