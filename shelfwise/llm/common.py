@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,10 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     the hot keys. ``df`` should be cheap to count (a written table).
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: what Python makes of a text is many times its size, so few are opened at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

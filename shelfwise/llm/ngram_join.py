@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import keep
+from shelfwise.llm.common import keep, sliced
 from shelfwise.llm.components import connected_components
 
 GROWTH = 1.5  # largest size of a level over that of the level below
@@ -190,7 +190,7 @@ def reaches(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int,
 
 def _describe(words: int, threshold: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [ngram_set(t, words) for t in batch.column("text").to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(

@@ -40,7 +40,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import keep, scratch_path
+from shelfwise.llm.common import keep, scratch_path, sliced
 from shelfwise.llm.tokens import byte_bpe
 
 MASK_DELTA = 0xA282EAD8
@@ -101,7 +101,7 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 def _write_shard(folder: str, tokenizer_path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch in batches:
+        for batch in sliced(batches):
             if encoder is None:
                 encoder = byte_bpe(tokenizer_path)
                 width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import scratch_path
+from shelfwise.llm.common import scratch_path, sliced
 from shelfwise.llm.tokens import byte_bpe, piece_counter
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -39,7 +39,7 @@ def tokenizer_digest(path: str) -> str:
 
 def _count_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             if path.endswith(".model"):
                 counts = piece_counter(path).count(texts)

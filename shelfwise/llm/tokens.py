@@ -21,7 +21,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-MEMO_WORDS = 800_000  # words in each of the two generations that a Python worker remembers
+MEMO_WORDS = 500_000  # words in each of the two generations that a Python worker remembers
 GROUP_CHARS = 1 << 20  # texts split into words at a time
 SLICE = 10_000  # words given to the library at a time
 

@@ -47,13 +47,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import sliced
+
 PREFIX = 4
 DISCOUNT = 0.75
 BACKOFF = 10.0
 BUCKETS = 1 << 20  # of words; as many again hold word beginnings
 FOLDS = 5
 CALIBRATION = 8192
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000  # words that a task remembers; then it starts afresh
 STRIPPED = bytes(b for b in range(33, 127) if not chr(b).isalnum())  # ASCII punctuation
 FEATURES = 6
 
@@ -68,8 +70,6 @@ class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > MEMO_WORDS:
-            self.clear()
         bare = word.strip(STRIPPED)
         if bare:
             start = bare.decode("utf-8", "replace")[:PREFIX].encode()
@@ -80,25 +80,24 @@ class _Buckets(dict):
         return code
 
 
-_buckets = _Buckets()
-
-
-def expressions(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def expressions(text: str | None, known: _Buckets) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the text's words, and of their beginnings (numbered after all words)."""
+    if len(known) > MEMO_WORDS:
+        known.clear()
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    codes = np.fromiter(map(_buckets.__getitem__, words), dtype=np.int64, count=len(words))
+    codes = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
     codes = codes[codes >= 0]
     return codes >> 32, (codes & 0xFFFFFFFF) + BUCKETS
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts per bucket and class of a task's texts."""
-    totals = None
-    for batch in batches:
+    totals, known = None, _Buckets()
+    for batch in sliced(batches):
         texts = batch.column("text").to_pylist()
         for text, toxic, weight in zip(texts, batch.column("toxic").to_pylist(), batch.column("weight").to_pylist()):
             totals = np.zeros((2, 2 * BUCKETS)) if totals is None else totals
-            for buckets in expressions(text):
+            for buckets in expressions(text, known):
                 totals[toxic, np.unique(buckets)] += weight
     if totals is not None:
         seen = np.flatnonzero(totals.any(axis=0))
@@ -108,10 +107,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def features(text: str | None, ratios: np.ndarray) -> list[float]:
+def features(text: str | None, ratios: np.ndarray, known: _Buckets) -> list[float]:
     """Best, mean of the best three, and mean log-likelihood ratio; of words, then of beginnings."""
     out: list[float] = []
-    for buckets in expressions(text):
+    for buckets in expressions(text, known):
         x = ratios[buckets]
         if len(x):
             best = np.sort(np.partition(x, len(x) - 3)[-3:] if len(x) > 3 else x)
@@ -130,10 +129,10 @@ class ToxicityModel:
     bias: float = 0.0
     share: float = 0.0  # of toxic training labels: the score if there is no model
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | None, known: _Buckets) -> float:
         if self.ratios is None:
             return self.share
-        z = (np.array(features(text, self.ratios)) - self.centre) / self.scale @ self.weights + self.bias
+        z = (np.array(features(text, self.ratios, known)) - self.centre) / self.scale @ self.weights + self.bias
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -160,8 +159,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 10
 
 def _feature_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [features(t, model.value.ratios) for t in batch.column("text").to_pylist()]
+        known = _Buckets()
+        for batch in sliced(batches):
+            rows = [features(t, model.value.ratios, known) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"]
             )
@@ -232,8 +232,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 def _score_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [model.value.score(t) for t in batch.column("text").to_pylist()]
+        known = _Buckets()
+        for batch in sliced(batches):
+            scores = [model.value.score(t, known) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "__score"]
             )
