@@ -73,11 +73,10 @@ def _open(args: argparse.Namespace):
     """Session and star; the session is stopped at the end only if this call started it."""
     from pyspark.sql import SparkSession
 
-    from shelfwise.session import build_session
     from shelfwise.sources import load_star, read_star
 
     started = SparkSession.getActiveSession() is None
-    spark = build_session()
+    spark = SparkSession.builder.appName("shelfwise").getOrCreate()  # master and settings as submitted
     star = read_star(spark, args.star) if args.star else load_star(spark, args.tpch)
     return spark, star, started
 

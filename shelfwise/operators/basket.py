@@ -7,56 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Baskets with more rows than this have their pairs formed in blocks (see co_occurrence).
-HOT_BASKET_ITEMS = 4096
-
-
-def _listed(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
-    """Each basket's items once, hash-partitioned on the basket keys."""
-    return rows.repartition(*[F.col(k) for k in keys]).distinct()
-
-
-def _pairs_per_basket(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
-    """Pairs of each basket from its sorted item set, in one pass (no self-join).
-
-    ``collect_set`` is combined map-side and holds one basket's distinct items
-    (bounded: larger baskets take the block path); each item is paired with the
-    items after it, so every pair appears once with ``item_a < item_b``.
-    """
-    basket = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("_items"))
-    items = F.col("_items")
-    size = F.size(items)
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), size - 1),
-            lambda i: F.transform(
-                F.slice(items, i + 1, size - i),
-                lambda b: F.struct(F.element_at(items, i).alias("item_a"), b.alias("item_b")),
-            ),
-        )
-    )
-    return (
-        basket.filter(size >= 2)
-        .select(*keys, F.explode(pairs).alias("_pair"))
-        .select(*keys, "_pair.item_a", "_pair.item_b")
+# Items of a basket whose pairs are formed by one row of work (see co_occurrence).
+BLOCK_ITEMS = 256
+
+
+def _pairs(rows: DataFrame, keys: list[str], item: str, block_items: int) -> DataFrame:
+    """Pairs ``item_a < item_b`` of each basket from its sorted item set, in one pass over the rows."""
+    baskets = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("_items"))
+    last_block = F.floor((F.size("_items") - 2) / block_items).cast("int")
+    blocks = (
+        baskets.filter(F.size("_items") >= 2)
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), last_block)))
+        .repartition(*keys, "_block")
     )
-
-
-def _pairs_in_blocks(rows: DataFrame, keys: list[str], item: str, block_items: int) -> DataFrame:
-    listed = _listed(rows, keys, item)
-    sizes = listed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_items"))
-    big = listed.join(sizes, keys).withColumn(
-        "_blocks", F.ceil(F.col("_items") / F.lit(block_items)).cast("int")
-    )
-    block = F.pmod(F.xxhash64(F.col(item)), F.col("_blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    left = big.select(*keys, F.col(item).alias("item_a"), block.alias("_i"), every.alias("_j"))
-    right = big.select(*keys, F.col(item).alias("item_b"), every.alias("_i"), block.alias("_j"))
-    return (
-        left.join(right, [*keys, "_i", "_j"])
-        .filter(F.col("item_a") < F.col("item_b"))
-        .select(*keys, "item_a", "item_b")
+    first = F.col("_block") * block_items
+    leading = blocks.select(
+        *keys, "_items", first.alias("_first"), F.posexplode(F.slice("_items", first + 1, F.lit(block_items)))
     )
+    after = F.slice("_items", F.col("_first") + F.col("pos") + 2, F.size("_items"))
+    return leading.select(*keys, F.col("col").alias("item_a"), F.explode(after).alias("item_b"))
 
 
 def co_occurrence(
@@ -66,7 +35,7 @@ def co_occurrence(
     min_support: int,
     distinct_key: str | None = None,
     items: DataFrame | None = None,
-    hot_basket_items: int = HOT_BASKET_ITEMS,
+    block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """Pairs ``(item_a < item_b)`` found together in at least ``min_support`` baskets.
 
@@ -77,46 +46,29 @@ def co_occurrence(
     * ``items`` (optional, one column named ``item``) restricts the items, like
       an inner join to an item dimension would; it is applied to the rows
       before anything is shuffled.
-    * Each basket's distinct items are gathered once (a sorted ``collect_set``
-      per basket, combined map-side, one shuffle on the basket keys) and its
-      ``k(k-1)/2`` pairs are formed from that array with built-in array
-      functions, however many rows the basket had. One pass over the input;
-      no self-join (Spark would scan and shuffle the input once per side).
-    * Hot baskets: when ``items`` has at most ``hot_basket_items`` rows no
-      basket can exceed that many distinct items and nothing is measured;
-      otherwise the rows per basket are counted first (combined map-side, one
-      small job when this is called). A basket with more than
-      ``hot_basket_items`` rows does not get all its pairs formed in one task:
-      with ``k`` distinct items and ``f = ceil(k / hot_basket_items)``, item
-      ``a`` goes to left block ``h(a) mod f`` and item ``b`` to right block
-      ``h(b) mod f``, each row is copied to the ``f`` blocks of the other side,
-      and task ``(basket, i, j)`` forms the pairs between left block ``i`` and
-      right block ``j``. Every pair is formed by exactly one of the ``f * f``
-      tasks. When no basket is that large the plan has no such branch.
-    * Pair rows feed a map-side partial aggregate, so only per-task pair
-      counts are shuffled.
+    * Each basket's distinct items are gathered once: a sorted ``collect_set``,
+      combined map-side, however many rows the basket has. An array holds the
+      distinct items of one basket.
+    * A basket's leading items are cut into blocks of ``block_items``, which
+      are dealt out over tasks by basket and block; each leading item is paired
+      with the items after it, row by row. Every pair is formed once, a task
+      holds one basket's items and never its pairs, and a basket of ``k`` items
+      is the work of ``k / block_items`` rows. Ordinary baskets are one block;
+      the plan is the same for all.
+    * Pairs are counted per task first: with ``distinct_key`` per pair and key
+      value, else per pair.
     """
     keys = list(basket_keys)
     rows = baskets.select(*keys, item)
     if items is not None:
         rows = rows.join(items.select(item), item, "left_semi")
-
-    per_basket = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    # A basket lists each allowed item once, so a small item set bounds every
-    # basket without looking at the baskets; otherwise measure the largest one.
-    if items is not None and items.count() <= hot_basket_items:
-        largest = 0
-    else:
-        largest = per_basket.agg(F.max("_rows")).first()[0] or 0
-    if largest <= hot_basket_items:
-        pairs = _pairs_per_basket(rows, keys, item)
-    else:
-        hot = per_basket.filter(F.col("_rows") > hot_basket_items).select(*keys)
-        pairs = _pairs_per_basket(rows.join(hot, keys, "left_anti"), keys, item).unionByName(
-            _pairs_in_blocks(rows.join(hot, keys, "left_semi"), keys, item, hot_basket_items)
-        )
-
-    aggs = [F.count(F.lit(1)).alias("together")]
-    if distinct_key is not None:
-        aggs.append(F.count_distinct(distinct_key).alias("distinct_together"))
-    return pairs.groupBy("item_a", "item_b").agg(*aggs).filter(F.col("together") >= min_support)
+    pairs = _pairs(rows, keys, item, block_items)
+    together = F.col("together") >= min_support
+    if distinct_key is None:
+        return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("together")).filter(together)
+    per_value = pairs.groupBy("item_a", "item_b", distinct_key).agg(F.count(F.lit(1)).alias("_n"))
+    return (
+        per_value.groupBy("item_a", "item_b")
+        .agg(F.sum("_n").alias("together"), F.count(distinct_key).alias("distinct_together"))
+        .filter(together)
+    )

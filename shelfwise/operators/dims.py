@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame
 
 from shelfwise.sources.star import Star
 
-# Above this many rows a dimension is treated as too large to ship to every task.
-BROADCAST_DIMENSION_ROWS = 2_000_000
-
 
 def with_store(df: DataFrame, star: Star, *cols: str) -> DataFrame:
     return df.join(star.store.select("Store_SK", *cols), "Store_SK")
@@ -28,17 +25,3 @@ def with_store_product(
     df: DataFrame, star: Star, store_cols=("Store_ID", "Region"), product_cols=("Product_ID", "Category")
 ) -> DataFrame:
     return with_product(with_store(df, star, *store_cols), star, *product_cols)
-
-
-def dimension_is_large(star: Star, name: str = "product", rows: int = BROADCAST_DIMENSION_ROWS) -> bool:
-    """Whether a dimension has more than ``rows`` rows (counted once per star).
-
-    Rollups use it to choose their plan: with a small dimension they join the
-    fact rows to it (broadcast) and aggregate once; with a large one they
-    aggregate the fact by surrogate keys first, so the sort-merge join and the
-    second aggregation only see one row per key.
-    """
-    key = ("dimension_rows", name)
-    if key not in star.resolved:
-        star.resolved[key] = getattr(star, name).count()
-    return star.resolved[key] > rows

@@ -1,10 +1,9 @@
 """Global ranking and running totals without an unbounded single-partition window.
 
 ``SUM(x) OVER (ORDER BY x DESC)`` and ``ROW_NUMBER() OVER (ORDER BY x DESC)``
-without ``PARTITION BY`` make Spark move every row into one task. That is only
-done here behind a size check (an exact count of the rows to rank); beyond it
-the rows are range-partitioned on the sort order, each partition computes local
-row numbers and running sums, and the few per-partition totals (one row per
+without ``PARTITION BY`` make Spark move every row into one task. Here the rows
+are range-partitioned on the sort order, each partition computes local row
+numbers and running sums, and the few per-partition totals (one row per
 partition) give the offsets that turn them into global values.
 """
 
@@ -25,7 +24,6 @@ def cumulative_share(
     total_col: str = "grand_total",
     running_col: str = "running_total",
     partitions: int | None = None,
-    single_task_rows: int | None = 100_000,
 ) -> DataFrame:
     """Add ranking columns over the order ``value DESC, tie_breaker ASC``.
 
@@ -35,22 +33,17 @@ def cumulative_share(
     * ``running_col`` ``SUM(value) OVER (ORDER BY value DESC)`` with the default
       RANGE frame, so rows with equal ``value`` share one running total.
 
-    The rows to rank are counted first (one job). With at most
-    ``single_task_rows`` of them the plain global windows are used: their
-    single task is bounded by that count. Otherwise (or with
-    ``single_task_rows=None``) the distributed form runs; it checkpoints the
-    range-partitioned rows to the shared checkpoint folder.
+    The range-partitioned rows are checkpointed to the shared folder. Their
+    number of partitions is ``partitions``, or by default what adaptive
+    execution makes of the rows' size.
     """
-    spark = df.sparkSession
-    if single_task_rows is not None and df.count() <= single_task_rows:
-        return cumulative_share_single(df, value, tie_breaker, rank_col, count_col, total_col, running_col)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(value).desc(), F.col(tie_breaker).asc()]
-    scratch_root(spark)  # checkpoint() writes under the session's shared folder
+    scratch_root(df.sparkSession)  # checkpoint() writes under the session's shared folder
 
     # Partition numbers are fixed once by writing the partitioned rows, so the
     # per-partition totals below and the rows they are joined back to agree.
-    parts = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    parts = dealt.withColumn("_part", F.spark_partition_id()).checkpoint()
 
     local = Window.partitionBy("_part").orderBy(*order)
     rows = parts.withColumn("_idx", F.row_number().over(local)).withColumn(

@@ -38,8 +38,7 @@ def facts_on_days(
     partitioned by day, whole directories outside the window are skipped at
     planning time.
 
-    The calendar side is broadcast explicitly: it holds one row per day, so
-    its size is bounded by the length of the calendar, not by the data.
+    The calendar holds one row per day; the planner broadcasts it by its size.
     """
     days = calendar(star, start, end).select("Date_SK", *date_cols)
     fact = star.fact
@@ -55,4 +54,4 @@ def facts_on_days(
         fact = fact.filter(F.col("Date_SK") >= F.lit(lo))
         if end is not None:
             fact = fact.filter(F.col("Date_SK") <= F.lit(hi))
-    return fact.join(F.broadcast(days), "Date_SK")
+    return fact.join(days, "Date_SK")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import band, count_if, int_avg, lookup
 from shelfwise.operators import co_occurrence, cumulative_share, facts_on_days, with_store
-from shelfwise.operators.basket import HOT_BASKET_ITEMS
+from shelfwise.operators.basket import BLOCK_ITEMS
 from shelfwise.plans.stock import DateLike
 from shelfwise.sources.star import Star
 from shelfwise.plans.labels import ABC_CLASSES, ABC_STRATEGY, AFFINITY, BUNDLE, PERFORMANCE
@@ -23,7 +23,6 @@ def abc_classification(
     window_days: int = 90,
     a: int = 80,
     b: int = 95,
-    single_task_rows: int | None = 100_000,
 ) -> DataFrame:
     """Pareto A/B/C classes by revenue over the window (rows with sales).
 
@@ -32,7 +31,6 @@ def abc_classification(
     total. Columns: Product_SK, Total_Revenue, Total_Units_Sold,
     Avg_Inventory_Level, Revenue_Rank, Total_Products, Grand_Total_Revenue,
     Running_Revenue_Total, Revenue_Cumulative_Percent, ABC_Class.
-    ``single_task_rows``: see ``cumulative_share`` (None = always distributed).
     """
     start = F.date_sub(star.as_of(as_of), window_days)
     revenue = (
@@ -53,7 +51,6 @@ def abc_classification(
         count_col="Total_Products",
         total_col="Grand_Total_Revenue",
         running_col="Running_Revenue_Total",
-        single_task_rows=single_task_rows,
     )
     share = F.col("Running_Revenue_Total") / F.col("Grand_Total_Revenue") * 100
     pct = F.col("Revenue_Cumulative_Percent")
@@ -103,18 +100,18 @@ def product_affinity(
     strong: int = 20,
     moderate: int = 10,
     top: int = 50,
-    hot_basket_items: int = HOT_BASKET_ITEMS,
+    block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """Top product pairs sold at the same store on the same day (each store-day is a basket).
 
-    ``hot_basket_items``: store-days with more rows than this form their pairs
-    in blocks spread over several tasks (see ``co_occurrence``).
+    ``block_items``: pairs are formed for so many items of a store-day at a
+    time, spread over tasks (see ``co_occurrence``).
     """
     sold = star.fact.filter(F.col("Units_Sold") > 0).select("Date_SK", "Store_SK", "Product_SK")
     # The reference joins both products to Dim_Product (inner): unknown keys never form a pair.
     pairs = co_occurrence(
         sold, ["Date_SK", "Store_SK"], "Product_SK", min_support,
-        distinct_key="Date_SK", items=star.product.select("Product_SK"), hot_basket_items=hot_basket_items,
+        distinct_key="Date_SK", items=star.product.select("Product_SK"), block_items=block_items,
     )
     best = pairs.orderBy(F.col("together").desc(), "item_a", "item_b").limit(top)
     def role(side: str):  # the product dimension in the role of product A or B

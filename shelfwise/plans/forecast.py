@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import band, exact_mean, int_avg, mean_of_parts, moment_sums, with_rounded_sample_sd
-from shelfwise.operators import dimension_is_large, facts_on_days, with_product, with_store, with_store_product
+from shelfwise.operators import facts_on_days, with_product, with_store, with_store_product
 from shelfwise.plans.stock import DateLike
 from shelfwise.sources.star import Star
 from shelfwise.plans.labels import DAY_TYPE, TREND
@@ -81,16 +81,14 @@ def _int_avg_of_parts(total: str, count: str) -> F.Column:
     return F.call_function("div", F.sum(total), F.nullif(F.sum(count), F.lit(0)))
 
 
-def holiday_promotion_impact(star: Star, aggregate_first: bool | None = None) -> DataFrame:
+def holiday_promotion_impact(star: Star, aggregate_first: bool = True) -> DataFrame:
     """Sales, revenue and price on promotion rows vs regular rows, by category (rows with sales).
 
-    ``aggregate_first`` (default: when the product dimension is large) sums
+    ``aggregate_first`` (the default, whatever the sizes) sums
     per product key and flag before joining the product categories.
     """
     units, price = F.col("Units_Sold"), F.col("Price")
     sold = star.fact.filter(units > 0)
-    if aggregate_first is None:
-        aggregate_first = dimension_is_large(star)
     if aggregate_first:
         per_key = sold.groupBy("Product_SK", "Holiday_Promotion").agg(
             F.count(F.lit(1)).alias("_rows"), F.sum(units).alias("_u"), F.count(units).alias("_un"),
@@ -117,17 +115,15 @@ def holiday_promotion_impact(star: Star, aggregate_first: bool | None = None) ->
     )
 
 
-def forecast_mape(star: Star, aggregate_first: bool | None = None) -> DataFrame:
+def forecast_mape(star: Star, aggregate_first: bool = True) -> DataFrame:
     """Mean absolute percentage error of the demand forecast per product (rows with sales).
 
-    ``aggregate_first`` (default: when the product dimension is large) sums
+    ``aggregate_first`` (the default, whatever the sizes) sums
     the per-row errors per product key before joining the product names.
     """
     units = F.col("Units_Sold")
     sold = star.fact.filter(units > 0)
     ape = F.abs(units - F.col("Demand_Forecast")) / F.nullif(units, F.lit(0))
-    if aggregate_first is None:
-        aggregate_first = dimension_is_large(star)
     if aggregate_first:
         per_key = sold.groupBy("Product_SK").agg(F.sum(ape).alias("_e"), F.count(ape).alias("_en"))
         rows = with_product(per_key, star, "Product_ID", "Category")
@@ -143,15 +139,13 @@ def forecast_mape(star: Star, aggregate_first: bool | None = None) -> DataFrame:
     )
 
 
-def forecast_unit_variance(star: Star, aggregate_first: bool | None = None) -> DataFrame:
+def forecast_unit_variance(star: Star, aggregate_first: bool = True) -> DataFrame:
     """Forecast minus actual units by category and region; positive means over-forecast.
 
-    ``aggregate_first`` (default: when the product dimension is large) sums
+    ``aggregate_first`` (the default, whatever the sizes) sums
     per region and product key before joining the product categories.
     """
     units, forecast = F.col("Units_Sold"), F.col("Demand_Forecast")
-    if aggregate_first is None:
-        aggregate_first = dimension_is_large(star)
     if aggregate_first:
         per_key = (
             with_store(star.fact, star, "Region")
@@ -172,17 +166,15 @@ def forecast_unit_variance(star: Star, aggregate_first: bool | None = None) -> D
     )
 
 
-def discount_impact(star: Star, aggregate_first: bool | None = None) -> DataFrame:
+def discount_impact(star: Star, aggregate_first: bool = True) -> DataFrame:
     """Mean units with and without discount (integer means) and mean discount, by category.
 
-    ``aggregate_first`` (default: when the product dimension is large) sums
+    ``aggregate_first`` (the default, whatever the sizes) sums
     per product key before joining the product categories.
     """
     discount, units = F.col("Discount"), F.col("Units_Sold")
     with_disc, without_disc = F.when(discount > 0, units), F.when(discount == 0, units)
     disc = F.when(discount > 0, discount)
-    if aggregate_first is None:
-        aggregate_first = dimension_is_large(star)
     if aggregate_first:
         per_key = star.fact.groupBy("Product_SK").agg(
             F.sum(with_disc).alias("_ws"), F.count(with_disc).alias("_wn"),

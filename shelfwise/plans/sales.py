@@ -6,19 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import mean_of_parts
-from shelfwise.operators import dimension_is_large, with_product, with_store, with_store_product
+from shelfwise.operators import with_product, with_store, with_store_product
 from shelfwise.sources.star import Star
 
 
-def sales_velocity(star: Star, week: int = 7, month: int = 30, aggregate_first: bool | None = None) -> DataFrame:
+def sales_velocity(star: Star, week: int = 7, month: int = 30, aggregate_first: bool = True) -> DataFrame:
     """Mean daily units per product (all rows, zero sales included), scaled to a week and a month.
 
-    ``aggregate_first`` (default: when the product dimension is large) sums
+    ``aggregate_first`` (the default, whatever the sizes) sums
     the fact per product key before joining the product names.
     """
     units = F.col("Units_Sold")
-    if aggregate_first is None:
-        aggregate_first = dimension_is_large(star)
     if aggregate_first:
         per_key = star.fact.groupBy("Product_SK").agg(F.sum(units).alias("_s"), F.count(units).alias("_n"))
         mean_expr = mean_of_parts("_s", "_n", "decimal(20,2)", "decimal(14,6)")
@@ -38,15 +36,13 @@ def sales_velocity(star: Star, week: int = 7, month: int = 30, aggregate_first:
     )
 
 
-def revenue_by_region_category(star: Star, aggregate_first: bool | None = None) -> DataFrame:
+def revenue_by_region_category(star: Star, aggregate_first: bool = True) -> DataFrame:
     """Units sold and revenue (units x price) by region and category.
 
-    ``aggregate_first`` (default: when the product dimension is large) sums
+    ``aggregate_first`` (the default, whatever the sizes) sums
     per region and product key before joining the product categories.
     """
     units, revenue = F.col("Units_Sold"), F.col("Units_Sold") * F.col("Price")
-    if aggregate_first is None:
-        aggregate_first = dimension_is_large(star)
     if aggregate_first:
         per_key = (
             with_store(star.fact, star, "Region")

@@ -73,7 +73,7 @@ def low_days_of_supply(star: Star, threshold: int = 7, no_sales: int = 9999) ->
     """
     units = F.col("Units_Sold")
     selling = F.when(units > 0, units)
-    dated = star.fact.join(F.broadcast(star.date.select("Date_SK", "Date")), "Date_SK", "left")
+    dated = star.fact.join(star.date.select("Date_SK", "Date"), "Date_SK", "left")
     per_pair = dated.groupBy("Store_SK", "Product_SK").agg(
         F.max_by("Inventory_Level", day_order()).alias("Inventory_Level"),
         F.sum(selling).alias("_sold"),

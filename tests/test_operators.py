@@ -38,25 +38,23 @@ def test_cumulative_share_matches_single_window_with_ties(spark):
     rng = random.Random(7)
     rows = [(i, Decimal(rng.choice([5, 5, 5, 3, 10, 20, 20, 1]) * rng.randint(1, 3))) for i in range(600)]
     df = spark.createDataFrame(rows, "sk long, value decimal(12,2)")
-    dist = cumulative_share(df, "value", "sk", partitions=7, single_task_rows=None)
+    dist = cumulative_share(df, "value", "sk", partitions=7)
     single = cumulative_share_single(df, "value", "sk")
-    checked = cumulative_share(df, "value", "sk", partitions=7, single_task_rows=100)  # 600 rows: distributed
-    small = cumulative_share(df, "value", "sk", single_task_rows=1000)  # under the bound: one window
+    sized = cumulative_share(df, "value", "sk")  # as many partitions as adaptive execution makes
     cols = ["sk", "value", "rank", "total_count", "grand_total", "running_total"]
     expected = _sorted(single.select(*cols))
     assert _sorted(dist.select(*cols)) == expected
-    assert _sorted(checked.select(*cols)) == expected
-    assert _sorted(small.select(*cols)) == expected
+    assert _sorted(sized.select(*cols)) == expected
 
 
-@pytest.mark.parametrize("hot", [4096, 3, 1])
-def test_co_occurrence_matches_brute_force(spark, hot):
+@pytest.mark.parametrize("block", [4096, 3, 1])
+def test_co_occurrence_matches_brute_force(spark, block):
     rng = random.Random(11)
     rows = sorted({(d, s, rng.randint(1, 9)) for d in range(30) for s in range(3) for _ in range(rng.randint(0, 5))})
     rows += rows[:10]  # repeated basket lines count once
     df = spark.createDataFrame(rows, "day int, store int, item int")
     got = {(r.item_a, r.item_b): (r.together, r.distinct_together)
-           for r in co_occurrence(df, ["day", "store"], "item", 4, distinct_key="day", hot_basket_items=hot).collect()}
+           for r in co_occurrence(df, ["day", "store"], "item", 4, distinct_key="day", block_items=block).collect()}
     baskets = defaultdict(set)
     for d, s, i in rows:
         baskets[(d, s)].add(i)
@@ -93,7 +91,7 @@ def test_affinity_block_path_gives_the_same_top_pairs(spark):
 
     star = load_star(spark, f"{TESTDATA}/sf0.01")
     default = plans.product_affinity(star).collect()
-    blocks = plans.product_affinity(star, hot_basket_items=1).collect()
+    blocks = plans.product_affinity(star, block_items=1).collect()
     assert [tuple(r) for r in default] == [tuple(r) for r in blocks] and len(default) == 50
 
 
@@ -148,3 +146,12 @@ def test_exact_sd_rounding_and_ceiling_match_exact_arithmetic(spark):
         while c - 1 - Fraction(7 * s, n) >= 0 and (c - 1 - Fraction(7 * s, n)) ** 2 >= 4 * var:
             c -= 1
         assert got[g] == (r, c), (values, got[g], (r, c), isqrt_floor(var))
+
+
+def test_one_basket_with_most_rows_is_dealt_out_in_blocks(spark):
+    items = list(range(300))
+    rows = [(1, i) for i in items for _ in range(3)] + [(d, i) for d in range(2, 8) for i in items[:4]]
+    df = spark.createDataFrame(rows, "day int, item int")
+    got = {(r.item_a, r.item_b): r.together for r in co_occurrence(df, ["day"], "item", 1, block_items=16).collect()}
+    assert len(got) == 300 * 299 // 2
+    assert got[(0, 3)] == 7 and got[(0, 4)] == 1

@@ -74,4 +74,6 @@ def test_basket_pairs_read_the_fact_once_without_broadcasts():
 @pytest.mark.parametrize("key", sorted(ANALYSES))
 def test_each_analysis_scans_the_fact_once(star, key):
     text = plan_text(ANALYSES[key](star, **entry_mod.PARAMS.get(key, {})))
-    assert len(re.findall(r"^Location: InMemoryFileIndex \[[^\]]*/fact\]", text, re.M)) == 1
+    # q20-q22 rank checkpointed revenue rows: their one scan ran in the checkpoint's job.
+    scans = 0 if key[:3] in ("q20", "q21", "q22") else 1
+    assert len(re.findall(r"^Location: InMemoryFileIndex \[[^\]]*/fact\]", text, re.M)) == scans
