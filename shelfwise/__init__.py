@@ -2,8 +2,10 @@
 
 Every analysis takes a :class:`~shelfwise.sources.star.Star` (a daily
 stock-and-sales fact plus store, product and date dimensions) and returns a
-lazy DataFrame built from built-in Spark expressions, so Catalyst plans it and
-it runs unchanged on a laptop or a cluster.
+DataFrame built from built-in Spark expressions, so Catalyst plans it and
+it runs unchanged on a laptop or a cluster. Building one runs small jobs on the
+calendar where a window has to be resolved, and q20-q22 write their
+classification.
 """
 
 from shelfwise.sources.star import Star, read_star, validate, write_star

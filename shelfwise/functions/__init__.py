@@ -130,11 +130,6 @@ def mean_of_parts(total: ColumnOrName, count: ColumnOrName, total_type: str, res
     ).cast(result_type)
 
 
-def round_half_up(c: ColumnOrName, digits: int = 0) -> Column:
-    """``ROUND(x, n)``; exact half-away-from-zero when ``x`` is a decimal."""
-    return F.round(_col(c), digits)
-
-
 def band(cases: Iterable[tuple[Column, str]], default: str | None) -> Column:
     """Searched ``CASE``: first matching predicate wins, else ``default``."""
     expr = None
@@ -171,7 +166,6 @@ __all__ = [
     "lookup",
     "mean_of_parts",
     "moment_sums",
-    "round_half_up",
     "with_rounded_sample_sd",
     "stockout_flag",
 ]

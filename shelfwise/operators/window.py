@@ -43,14 +43,12 @@ def facts_on_days(
     days = calendar(star, start, end).select("Date_SK", *date_cols)
     fact = star.fact
     if start is not None or end is not None:
-        key = ("date_sk_range", str(start), str(end))
-        cacheable = "current_" not in key[1] + key[2]  # a window built on a literal day
-        if cacheable and key in star.resolved:
-            lo, hi = star.resolved[key]
-        else:
-            lo, hi = days.agg(F.min("Date_SK"), F.max("Date_SK")).first()
-            if cacheable:
-                star.resolved[key] = (lo, hi)
+        # Remembered under the days that the bounds stand for now: an expression such as now() moves on.
+        bounds = [F.lit(None) if bound is None else bound.cast("date") for bound in (start, end)]
+        key = ("date_sk_range", *star.spark.sql("SELECT 1").select(*bounds).first())
+        if key not in star.resolved:
+            star.resolved[key] = tuple(days.agg(F.min("Date_SK"), F.max("Date_SK")).first())
+        lo, hi = star.resolved[key]
         fact = fact.filter(F.col("Date_SK") >= F.lit(lo))
         if end is not None:
             fact = fact.filter(F.col("Date_SK") <= F.lit(hi))

@@ -6,6 +6,7 @@ from shelfwise.plans.advanced import (
     abc_product_report,
     abc_reports,
     abc_summary,
+    abc_table,
     product_affinity,
     regional_efficiency,
 )
@@ -35,7 +36,7 @@ from shelfwise.plans.stock import (
 )
 from shelfwise.plans.supplier import supplier_scorecard
 
-# Analyses that take only a Star (Q21/Q22 take the Q20 result; see abc_reports).
+# Analyses that take only a Star (Q20-Q22 share one written classification; see abc_table).
 ANALYSES = {
     "q01_stock_status_current": stock_status_current,
     "q02_stock_by_region_category": stock_by_region_category,
@@ -56,9 +57,9 @@ ANALYSES = {
     "q17_forecast_mape": forecast_mape,
     "q18_forecast_unit_variance": forecast_unit_variance,
     "q19_discount_impact": discount_impact,
-    "q20_abc_classification": abc_classification,
-    "q21_abc_product_report": lambda star, **kw: abc_product_report(abc_classification(star, **kw), star),
-    "q22_abc_summary": lambda star, **kw: abc_summary(abc_classification(star, **kw)),
+    "q20_abc_classification": abc_table,
+    "q21_abc_product_report": lambda star, **kw: abc_product_report(abc_table(star, **kw), star),
+    "q22_abc_summary": lambda star, **kw: abc_summary(abc_table(star, **kw)),
     "q23_product_affinity": product_affinity,
     "q24_regional_efficiency": regional_efficiency,
     "q25_action_plan": action_plan,
@@ -71,6 +72,7 @@ __all__ = [
     "abc_product_report",
     "abc_reports",
     "abc_summary",
+    "abc_table",
     "action_plan",
     "days_on_hand",
     "demand_trend_forecast",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from shelfwise.functions import band, count_if, int_avg, lookup
 from shelfwise.operators import co_occurrence, cumulative_share, facts_on_days, with_store
 from shelfwise.operators.basket import BLOCK_ITEMS
 from shelfwise.plans.stock import DateLike
+from shelfwise.session import scratch_root
 from shelfwise.sources.star import Star
 from shelfwise.plans.labels import ABC_CLASSES, ABC_STRATEGY, AFFINITY, BUNDLE, PERFORMANCE
 
@@ -88,9 +89,24 @@ def abc_summary(abc: DataFrame) -> DataFrame:
     )
 
 
+def abc_table(star: Star, **kwargs) -> DataFrame:
+    """The classification as a written table in the shared scratch folder, made once per star and arguments.
+
+    It takes the place of the original's temp table: both reports read it, and
+    a lost executor reads the files again.
+    """
+    key = ("abc", *sorted((name, str(value)) for name, value in kwargs.items()))
+    if key not in star.resolved:
+        path = f"{scratch_root(star.spark)}/shelfwise-abc/{uuid.uuid4().hex}"
+        abc = abc_classification(star, **kwargs)
+        abc.write.parquet(path)
+        star.resolved[key] = star.spark.read.schema(abc.schema).parquet(path)
+    return star.resolved[key]
+
+
 def abc_reports(star: Star, **kwargs) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classification kept once (like the reference's temp table) and both reports over it."""
-    abc = abc_classification(star, **kwargs).persist(StorageLevel.MEMORY_AND_DISK)
+    """The classification, kept once, and both reports over it."""
+    abc = abc_table(star, **kwargs)
     return abc, abc_product_report(abc, star), abc_summary(abc)
 
 
@@ -142,17 +158,32 @@ def product_affinity(
 
 
 def regional_efficiency(star: Star, as_of: DateLike = None, window_days: int = 30) -> DataFrame:
-    """Regional KPIs over the window: turnover, stockout rate, revenue per store, rating and ranks."""
+    """Regional KPIs over the window: turnover, stockout rate, revenue per store, rating and ranks.
+
+    The window's rows are combined per store and product first, so that the
+    two distinct counts see one row per pair.
+    """
     start = F.date_sub(star.as_of(as_of), window_days)
-    rows = with_store(facts_on_days(star, start), star, "Store_ID", "Region")
+    per_pair = (
+        facts_on_days(star, start)
+        .groupBy("Store_SK", "Product_SK")
+        .agg(
+            F.sum("Inventory_Level").alias("_stock"),
+            F.sum("Units_Sold").alias("_units"),
+            F.sum(F.col("Units_Sold") * F.col("Price")).alias("_sales"),
+            count_if(F.col("Inventory_Level") == 0).alias("_empty"),
+            F.count(F.lit(1)).alias("_rows"),
+        )
+    )
+    rows = with_store(per_pair, star, "Store_ID", "Region")
     metrics = rows.groupBy("Region").agg(
         F.count_distinct("Store_ID").alias("Number_of_Stores"),
         F.count_distinct("Product_SK").alias("Unique_Products"),
-        F.sum(F.col("Inventory_Level")).alias("Total_Inventory_Units"),
-        F.sum(F.col("Units_Sold")).alias("Total_Units_Sold"),
-        F.sum(F.col("Units_Sold") * F.col("Price")).alias("_revenue"),
-        count_if(F.col("Inventory_Level") == 0).alias("_stockouts"),
-        F.count(F.lit(1)).alias("_records"),
+        F.sum("_stock").alias("Total_Inventory_Units"),
+        F.sum("_units").alias("Total_Units_Sold"),
+        F.sum("_sales").cast("decimal(31,2)").alias("_revenue"),
+        F.sum("_empty").alias("_stockouts"),
+        F.sum("_rows").alias("_records"),
     )
     stores = F.col("Number_of_Stores")
     inventory = F.col("Total_Inventory_Units")

@@ -56,19 +56,17 @@ def inventory_turnover(
     )
 
 
-def days_on_hand(star: Star, unique_grain: bool | None = None) -> DataFrame:
+def days_on_hand(star: Star) -> DataFrame:
     """Stock-weighted days of inventory on hand by region and category, whole history.
 
     The number of days per product x store is ``COUNT(DISTINCT Date_SK)``,
     which makes Spark shuffle one row per (product, store, day), i.e. the whole
-    fact. When the grain is known to be unique (``unique_grain``, default: the
-    star's own flag, set for stars built by a group-by on the grain or declared
-    after :func:`~shelfwise.sources.star.validate`) rows are counted instead:
+    fact. When the grain is known to be unique (``Star.unique_grain``: set for
+    stars built by a group-by on the grain, or counted by
+    :func:`~shelfwise.sources.star.checked_grain`) rows are counted instead:
     the same number, with the aggregation combined map-side.
     """
-    if unique_grain is None:
-        unique_grain = star.unique_grain
-    days = F.count("Date_SK") if unique_grain else F.count_distinct("Date_SK")
+    days = F.count("Date_SK") if star.unique_grain else F.count_distinct("Date_SK")
     per_pair = (
         star.fact.groupBy("Product_SK", "Store_SK")
         .agg(

@@ -39,7 +39,9 @@ def reorder_point(
     )
     exact = F.col("_exact_mean")
     stats = with_ceil_mean_plus_sd(stats.filter(exact > 0), "_u", "_reorder", lead_days, z)
-    stats = with_ceil_mean_plus_sd(stats, "_u", "_max_stock", max_days, 0)
+    # Sold units are positive in total here, so the ceiling is an integer division.
+    total, n = F.col("_u_s") * max_days, F.col("_u_n")
+    stats = stats.withColumn("_max_stock", F.call_function("div", total + n - 1, n))
     rows = with_store_product(stats, star)
     fast, steady, slow = VELOCITY
     velocity = band([(exact > high, fast), (exact > medium, steady)], slow)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions import band, int_avg
+from shelfwise.functions import band
 from shelfwise.operators import facts_on_days, latest_per_key, with_product, with_store, with_store_product
 from shelfwise.operators.latest import day_order
 from shelfwise.sources.star import Star
@@ -30,17 +30,33 @@ def stock_status_current(star: Star, as_of: DateLike = None, critical: int = 10,
 
 
 def stock_by_region_category(star: Star, as_of: DateLike = None) -> DataFrame:
-    """SKU count and total / mean / min / max stock by region and category on the reference day."""
+    """SKU count and total / mean / min / max stock by region and category on the reference day.
+
+    Rows are combined per region and product before the product join.
+    """
     day = star.as_of(as_of)
-    rows = with_store_product(facts_on_days(star, day, day), star, ("Region",), ("Category",))
+    level = F.col("Inventory_Level")
+    per_product = (
+        with_store(facts_on_days(star, day, day), star, "Region")
+        .groupBy("Region", "Product_SK")
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.sum(level).alias("_stock"),
+            F.count(level).alias("_levels"),
+            F.min(level).alias("_min"),
+            F.max(level).alias("_max"),
+        )
+    )
+    stock = F.sum("_stock")
     return (
-        rows.groupBy("Region", "Category")
+        with_product(per_product, star, "Category")
+        .groupBy("Region", "Category")
         .agg(
-            F.count(F.lit(1)).alias("Total_SKUs"),
-            F.sum(F.col("Inventory_Level")).alias("Total_Stock_Units"),
-            int_avg(F.col("Inventory_Level")).alias("Avg_Stock_Per_SKU"),
-            F.min(F.col("Inventory_Level")).alias("Min_Stock"),
-            F.max(F.col("Inventory_Level")).alias("Max_Stock"),
+            F.sum("_rows").alias("Total_SKUs"),
+            stock.alias("Total_Stock_Units"),
+            F.call_function("div", stock, F.nullif(F.sum("_levels"), F.lit(0))).alias("Avg_Stock_Per_SKU"),
+            F.min("_min").alias("Min_Stock"),
+            F.max("_max").alias("Max_Stock"),
         )
         .orderBy(F.col("Region"), F.col("Total_Stock_Units").desc(), F.col("Category"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +24,7 @@ class Star:
     product: DataFrame
     date: DataFrame
     # True when the fact is known to hold one row per (Date_SK, Store_SK, Product_SK),
-    # e.g. built by a group-by on the grain or checked with ``validate``.
+    # because it was built by a group-by on the grain or counted by ``checked_grain``.
     unique_grain: bool = False
 
     @property
@@ -58,17 +58,22 @@ class Star:
         return {"fact": self.fact, "store": self.store, "product": self.product, "date": self.date}
 
 
-def read_star(spark: SparkSession, path: str, unique_grain: bool = False) -> Star:
+def read_star(spark: SparkSession, path: str) -> Star:
     """Read a star written by :func:`write_star` (explicit schemas, no inference).
 
-    ``unique_grain=True`` declares that the fact holds one row per grain key
-    (for instance after :func:`validate` reported no duplicates).
+    Nothing is assumed about the fact's grain; see :func:`checked_grain`.
     """
     frames = {  # a partition column is read back last; keep the declared order
         name: spark.read.schema(struct).parquet(f"{path}/{name}").select(*struct.fieldNames())
         for name, struct in schema.TABLES.items()
     }
-    return Star(**frames, unique_grain=unique_grain)
+    return Star(**frames)
+
+
+def checked_grain(star: Star) -> Star:
+    """The star with ``unique_grain`` set by counting: one shuffle of the fact's keys, worth it for several analyses."""
+    repeated = star.fact.groupBy(*GRAIN).count().filter(F.col("count") > 1)
+    return replace(star, unique_grain=repeated.isEmpty())
 
 
 def write_star(
@@ -87,14 +92,15 @@ def write_star(
     (or day and store) is split evenly over several files.
     ``partition_by="Date_SK"`` additionally writes one directory per day, which
     lets Spark prune whole directories at scale. ``fact_files`` is the number of
-    range partitions (default: the shuffle partitions); each of them is cut
+    range partitions (default: what adaptive execution makes of the fact's size,
+    at most the shuffle partitions); each of them is cut
     into files of at most ``max_rows_per_file`` rows, so file sizes stay
     bounded however large the fact is.
     """
     spark = star.spark
-    n = fact_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fact = star.fact.select(*schema.FACT.fieldNames())
-    fact = fact.repartitionByRange(n, *GRAIN).sortWithinPartitions(*GRAIN)
+    dealt = fact.repartitionByRange(fact_files, *GRAIN) if fact_files else fact.repartitionByRange(*GRAIN)
+    fact = dealt.sortWithinPartitions(*GRAIN)
     writer = fact.write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file)
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -109,27 +115,28 @@ def write_star(
         jobs += [pool.submit(write_dimension, name) for name in ("store", "product", "date")]
         for job in jobs:
             job.result()
-    return read_star(spark, path, unique_grain=star.unique_grain)
+    return replace(read_star(spark, path), unique_grain=star.unique_grain)
 
 
 def validate(star: Star) -> DataFrame:
     """Integrity report: one row per check with the number of violations.
 
     Checks: duplicate grain rows in the fact, duplicate surrogate keys in each
-    dimension, and fact keys without a dimension row (orphans). All counts are
-    distributed aggregates; nothing is collected.
+    dimension, and fact keys without a dimension row (orphans). All counts come
+    from one count per grain key, so the fact is read once; nothing is collected.
     """
+    per_key = star.fact.groupBy(*GRAIN).count()
+    tests = {"fact_grain_duplicates": F.col("count") > 1}
     checks = []
-
-    dup_grain = star.fact.groupBy(*GRAIN).count().filter(F.col("count") > 1)
-    checks.append(dup_grain.select(F.lit("fact_grain_duplicates").alias("check"), F.col("count")))
-
     for name, key in (("store", "Store_SK"), ("product", "Product_SK"), ("date", "Date_SK")):
         dim = getattr(star, name)
         dups = dim.groupBy(key).count().filter(F.col("count") > 1)
         checks.append(dups.select(F.lit(f"{name}_key_duplicates").alias("check"), F.col("count")))
-        orphans = star.fact.select(key).join(dim.select(key), key, "left_anti")
-        checks.append(orphans.select(F.lit(f"fact_orphan_{key}").alias("check"), F.lit(1).alias("count")))
+        known = dim.select(key).distinct().withColumn(f"_has_{name}", F.lit(True))
+        per_key = per_key.join(known, key, "left")
+        tests[f"fact_orphan_{key}"] = F.col(f"_has_{name}").isNull()
+    sums = per_key.agg(*[F.sum(F.when(test, F.col("count"))).alias(check) for check, test in tests.items()])
+    checks.append(sums.unpivot([], list(tests), "check", "count"))
 
     found = checks[0]
     for extra in checks[1:]:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwise import load_star, plans
+from shelfwise.sources import checked_grain, validate
 from tests.conftest import TESTDATA
 
 
@@ -68,6 +70,16 @@ def test_regional_stock_per_store_is_integer_division(spark):
 
 def test_days_on_hand_unique_grain_shortcut(star):
     assert star.unique_grain  # derived by a group-by on the grain
-    exact = sorted(tuple(r) for r in plans.days_on_hand(star, unique_grain=False).collect())
+    counted = checked_grain(replace(star, unique_grain=False))
+    assert counted.unique_grain
+    exact = sorted(tuple(r) for r in plans.days_on_hand(replace(star, unique_grain=False)).collect())
     fast = sorted(tuple(r) for r in plans.days_on_hand(star).collect())
     assert exact == fast
+
+
+def test_repeated_grain_rows_are_found_and_days_counted_once(star):
+    twice = replace(star, fact=star.fact.unionAll(star.fact), unique_grain=False)
+    assert not checked_grain(twice).unique_grain
+    report = {r.check: r.violations for r in validate(twice).collect()}
+    assert report["fact_grain_duplicates"] == twice.fact.count()
+    assert all(n == 0 for check, n in report.items() if check != "fact_grain_duplicates")
