@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from decimal import Decimal
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,8 +106,8 @@ def abc_table(star: Star, **kwargs) -> DataFrame:
 
 
 def abc_reports(star: Star, **kwargs) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The classification, kept once, and both reports over it."""
-    abc = abc_table(star, **kwargs)
+    """The classification, kept once, and both reports over it. The caller may ``unpersist`` the first."""
+    abc = abc_table(star, **kwargs).persist(StorageLevel.MEMORY_AND_DISK)
     return abc, abc_product_report(abc, star), abc_summary(abc)
 
 

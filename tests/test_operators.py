@@ -106,6 +106,15 @@ def test_abc_reports_share_one_classification(spark):
     abc.unpersist()
 
 
+def test_abc_queries_read_one_written_classification(spark):
+    from shelfwise import ANALYSES, load_star
+
+    star = load_star(spark, f"{TESTDATA}/sf0.001")
+    keys = ("q20_abc_classification", "q21_abc_product_report", "q22_abc_summary")
+    files = [{f for f in ANALYSES[key](star).inputFiles() if "shelfwise-abc" in f} for key in keys]
+    assert files[0] and files[0] == files[1] == files[2]
+
+
 def test_day_order_is_lexicographic(spark):
     import datetime as dt
 
