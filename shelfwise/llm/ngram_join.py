@@ -58,6 +58,7 @@ from shelfwise.llm.components import connected_components
 GROWTH = 1.5  # largest size of a level over that of the level below
 COARSE = 64  # groups of the points in the trees; pairs that pass are bounded once more on their fine points
 LEAF = 64  # points per leaf
+LEAF_PAIRS = 64  # pairs of leaves opened at a time
 CHUNK = 128  # documents verified beside one centre in one go
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -234,11 +235,11 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bounded(threshold: tuple[int, int]):
     """Of pairs with their points, those whose summed minima allow a link."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = zip(f["n_a"], f["point_a"], f["n_b"], f["point_b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "point_a", "n_b", "point_b")))
             ok = [reaches(shared_at_most(x, a, y, b), a, b, threshold) for a, x, b, y in rows]
-            yield f.loc[np.array(ok, dtype=bool), ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -272,8 +273,9 @@ def _trees(threshold: tuple[int, int], size: int):
     columns = [c.split()[0] for c in TREE.split(", ")]
 
     def leaf(key, docs, components, sizes, points) -> tuple:
-        packed = (x.astype("<i8").tobytes() for x in (docs, components, sizes, points))
-        return (None, None, key, int(docs[0]), *packed, int(sizes.min()), int(sizes.max()))
+        packed = (x.astype("<i8").tobytes() for x in (docs, components, sizes))
+        counts = points.astype("<u4" if points.max() >= 1 << 16 else "<u2").tobytes()
+        return (None, None, key, int(docs[0]), *packed, counts, int(sizes.min()), int(sizes.max()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, first, cut_key = None, True, None
@@ -325,30 +327,32 @@ def _join_leaves(threshold: tuple[int, int]):
     """Pairs of points of two leaves that are not connected yet and that the summed minima allow."""
 
     def open_leaf(docs, components, sizes, points):
-        docs, components, sizes, points = (np.frombuffer(x, "<i8") for x in (docs, components, sizes, points))
-        return docs, components, sizes, points.reshape(len(docs), -1)
+        docs, components, sizes = (np.frombuffer(x, "<i8") for x in (docs, components, sizes))
+        width = len(points) // (len(docs) * COARSE)
+        return docs, components, sizes, np.frombuffer(points, f"<u{width}").reshape(len(docs), COARSE).astype(np.int64)
+
+    def pairs(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        one = open_leaf(row["docs"], row["components"], row["sizes"], row["points"])
+        if row["leaf"] == row["leaf_2"]:
+            yield _pairs_within(*one, threshold)
+            return
+        docs_a, of_a, n_a, a = one
+        docs_b, of_b, n_b, b = open_leaf(row["docs_2"], row["components_2"], row["sizes_2"], row["points_2"])
+        box = np.minimum(a.max(axis=0), b.max(axis=0)).sum()
+        if not reaches(int(box), int(n_a.min()), int(n_b.min()), threshold):
+            return
+        for i in range(len(docs_a)):
+            todo = np.flatnonzero(of_b != of_a[i])
+            shared = np.minimum(b[todo], a[i]).sum(axis=1)
+            todo = todo[reaches(shared, n_a[i], n_b[todo], threshold)]
+            yield np.full(len(todo), docs_a[i]), docs_b[todo]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for row in f.itertuples(index=False):
-                one = open_leaf(row.docs, row.components, row.sizes, row.points)
-                if row.leaf == row.leaf_2:
-                    found.append(_pairs_within(*one, threshold))
-                    continue
-                docs_a, of_a, n_a, a = one
-                docs_b, of_b, n_b, b = open_leaf(row.docs_2, row.components_2, row.sizes_2, row.points_2)
-                box = np.minimum(a.max(axis=0), b.max(axis=0)).sum()
-                if not reaches(int(box), int(n_a.min()), int(n_b.min()), threshold):
-                    continue
-                for i in range(len(docs_a)):
-                    todo = np.flatnonzero(of_b != of_a[i])
-                    shared = np.minimum(b[todo], a[i]).sum(axis=1)
-                    todo = todo[reaches(shared, n_a[i], n_b[todo], threshold)]
-                    found.append((np.full(len(todo), docs_a[i]), docs_b[todo]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, LEAF_PAIRS):
+            found = [sides for row in batch.to_pylist() for sides in pairs(row)]
             if found:
                 a, b = (np.concatenate(side) for side in zip(*found))
-                yield pd.DataFrame({"a": a, "b": b})
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -402,7 +406,7 @@ def _allowed(pairs: DataFrame, points: DataFrame, column: str, threshold: tuple[
         return points.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"point_{x}"))
 
     with_points = pairs.join(of("b"), "b").join(of("a"), "a")
-    return with_points.mapInPandas(_bounded(threshold), "a long, b long").distinct()
+    return with_points.mapInArrow(_bounded(threshold), "a long, b long").distinct()
 
 
 def links(
@@ -459,7 +463,7 @@ def links(
         (F.col("n_min") == F.col("n_min_2")) & (F.col("leaf") <= F.col("leaf_2"))
     )
     sizes = (F.col("n_max") * whole >= F.col("n_min_2") * t) & (F.col("n_max_2") * whole >= F.col("n_min") * t)
-    between = leaves.join(others, "key").filter(once & sizes).mapInPandas(_join_leaves(threshold), "a long, b long")
+    between = leaves.join(others, "key").filter(once & sizes).mapInArrow(_join_leaves(threshold), "a long, b long")
     candidates = trees.filter("a is not null").select("a", "b").union(between)
     rest = keep(
         candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", scratch

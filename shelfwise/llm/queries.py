@@ -41,12 +41,32 @@ URL_RULES = (
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+# Memory settings of Python workers, unless the session has its own: freed memory goes back to the system at once.
+WORKER_MEMORY = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "2",
+    "MALLOC_MMAP_THRESHOLD_": "1048576",
+    "MALLOC_TRIM_THRESHOLD_": "1048576",
+}
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"  # rows are of any width, so a batch is bounded by bytes too
+BATCH_BYTES = 16 << 20
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, if it is not installed for them."""
+    """Prepare the session for Python workers.
+
+    They can import this package from where the driver has it, if it is not
+    installed for them, and batches of wide rows do not fill their memory.
+    """
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
+    for name, value in WORKER_MEMORY.items():
+        environment.setdefault(name, value)
+    given = spark.conf.get(BATCH, None)
+    if given is None or not given.isdigit() or int(given) > BATCH_BYTES:
+        spark.conf.set(BATCH, BATCH_BYTES)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
