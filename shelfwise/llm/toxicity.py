@@ -19,11 +19,14 @@ text (the mean over its expressions), of its three most telling expressions,
 and of the single most telling one, so that a few words in a long text are not
 averaged away. A logistic model turns these into a score.
 
-Counts cover every labelled training text and grow with the corpus. They are
-kept per hash bucket (``BUCKETS``), so the model has a fixed size however many
-words there are; at the limit, rare words share buckets and look ordinary. The
-logistic model is fitted on a bounded sample of ``CALIBRATION`` labelled rows
-that the counts do not use.
+Counts are kept by expression (a 64-bit digest) in a table that grows with the
+corpus, so an expression counts alike whatever the number of others. To score,
+each text's distinct expressions meet the table of log ratios in a join. The
+ratios of the at most ``FREQUENT`` most frequent expressions, which make up most
+of every text, are looked up on the way instead; that saves their share of the
+join and changes no result. Texts are known by two digests, so copies are scored
+once. The logistic model is fitted on a bounded sample of ``CALIBRATION``
+labelled rows that the counts do not use.
 
 Training uses labelled rows of folds 1 to 4 only (crc32 of ``doc_id`` as text,
 modulo 5): 1 to 3 for the counts, 4 for the logistic model. Labels, ids and other
@@ -39,23 +42,27 @@ whole.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import sliced
+from shelfwise.llm.common import keep, sliced, small_side
 
 PREFIX = 4
 DISCOUNT = 0.75
 BACKOFF = 10.0
-BUCKETS = 1 << 20  # of words; as many again hold word beginnings
+FREQUENT = 1 << 18  # expressions at most whose ratios every task has at hand; all others are joined
 FOLDS = 5
 CALIBRATION = 8192
 MEMO_WORDS = 200_000  # words that a task remembers; then it starts afresh
+MEMO_TEXTS = 100_000  # texts, likewise
+HELD = 1 << 20  # expressions of texts that a task adds up at a time
 STRIPPED = bytes(b for b in range(33, 127) if not chr(b).isalnum())  # ASCII punctuation
 FEATURES = 6
 
@@ -64,83 +71,200 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS))
 
 
-class _Buckets(dict):
-    """Word -> bucket of the word and of its beginning in one number; -1 for bare punctuation."""
+def _with_digests(docs: DataFrame) -> DataFrame:
+    """``docs`` and the two digests ``h1, h2`` of the text; a null text counts as an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({"h1": F.xxhash64(text), "h2": F.crc32(text.cast("binary"))})
 
-    def __missing__(self, word: bytes) -> int:
+
+class _Codes(dict):
+    """Word -> digests of the word (even) and of its beginning (odd) in 16 bytes; none for bare punctuation."""
+
+    def __missing__(self, word: bytes) -> bytes:
         import xxhash
 
         bare = word.strip(STRIPPED)
+        codes = b""
         if bare:
             start = bare.decode("utf-8", "replace")[:PREFIX].encode()
-            code = xxhash.xxh3_64_intdigest(bare) % BUCKETS << 32 | xxhash.xxh3_64_intdigest(start) % BUCKETS
-        else:
-            code = -1
-        self[word] = code
-        return code
+            codes = struct.pack("<QQ", xxhash.xxh3_64_intdigest(bare) & ~1, xxhash.xxh3_64_intdigest(start) | 1)
+        self[word] = codes
+        return codes
 
 
-def expressions(text: str | None, known: _Buckets) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the text's words, and of their beginnings (numbered after all words)."""
+def expressions(text: str | None, known: _Codes) -> np.ndarray:
+    """Codes of the text's words, and of their beginnings: two rows."""
     if len(known) > MEMO_WORDS:
         known.clear()
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    codes = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-    codes = codes[codes >= 0]
-    return codes >> 32, (codes & 0xFFFFFFFF) + BUCKETS
+    return np.frombuffer(b"".join(map(known.__getitem__, words)), "<i8").reshape(-1, 2).T
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts per bucket and class of a task's texts."""
-    totals, known = None, _Buckets()
+    """Contexts per expression and class of a task's texts, added up ``HELD`` at a time."""
+
+    def added() -> pa.RecordBatch:
+        codes, at = np.unique(np.concatenate(held), return_inverse=True)
+        lengths = [len(x) for x in held]
+        of, weight = np.repeat(toxics, lengths), np.repeat(weights, lengths)
+        sums = [np.bincount(at, weights=weight * (of == c), minlength=len(codes)) for c in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(codes), *map(pa.array, sums)], ["code", "ordinary", "toxic"])
+
+    known = _Codes()
+    held, toxics, weights, size = [], [], [], 0
     for batch in sliced(batches):
         texts = batch.column("text").to_pylist()
         for text, toxic, weight in zip(texts, batch.column("toxic").to_pylist(), batch.column("weight").to_pylist()):
-            totals = np.zeros((2, 2 * BUCKETS)) if totals is None else totals
-            for buckets in expressions(text, known):
-                totals[toxic, np.unique(buckets)] += weight
-    if totals is not None:
-        seen = np.flatnonzero(totals.any(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen, pa.int64()), pa.array(totals[0, seen]), pa.array(totals[1, seen])],
-            ["bucket", "ordinary", "toxic"],
-        )
+            codes = np.unique(expressions(text, known))
+            held.append(codes)
+            toxics.append(toxic)
+            weights.append(weight)
+            size += len(codes)
+            if size > HELD:
+                yield added()
+                held, toxics, weights, size = [], [], [], 0
+    if size:
+        yield added()
+
+
+PARTS = "h1 long, h2 long, code long, rare int, n long, total double, t1 double, t2 double, t3 double"
+
 
+def _parts(frequent):
+    """Each distinct text of a task as rows: by kind of expression one with what the frequent ones give, and
+    one for each other expression, with its number.
+    """
 
-def features(text: str | None, ratios: np.ndarray, known: _Buckets) -> list[float]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = _Codes(), set()
+        table, ratios = frequent.value
+        for batch in sliced(batches):
+            rows: list[tuple] = []  # whole texts
+            rare: list[tuple] = []  # their other expressions
+            keys = zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist())
+            for key, text in zip(keys, batch.column("text").to_pylist()):
+                if key in seen:
+                    continue
+                if len(seen) >= MEMO_TEXTS:
+                    seen.clear()
+                seen.add(key)
+                for kind, codes in enumerate(expressions(text, known)):
+                    n = len(codes)
+                    codes, times = np.unique(codes, return_counts=True)
+                    at = np.searchsorted(table, codes)
+                    at[at == len(table)] = 0
+                    hit = table[at] == codes if len(table) else np.zeros(len(codes), bool)
+                    x, of = ratios[at[hit]], times[hit]
+                    best = np.sort(np.repeat(x, np.minimum(of, 3)))[::-1][:3].tolist()
+                    # Whole texts are dealt by their digest; the flag keeps them apart from expressions.
+                    rows.append((*key, key[0] & ~1 | kind, n, float((x * of).sum()), *best, *[None] * (3 - len(best))))
+                    rare.append((*key, codes[~hit], times[~hit]))
+            if not rows:
+                continue
+            h1, h2, code, n, total, *top = (list(c) for c in zip(*rows))
+            lengths = [len(r[2]) for r in rare]
+            others = sum(lengths)
+            columns = [
+                np.concatenate([np.array(h1, np.int64), np.repeat(np.array(h1, np.int64), lengths)]),
+                np.concatenate([np.array(h2, np.int64), np.repeat(np.array(h2, np.int64), lengths)]),
+                np.concatenate([np.array(code, np.int64), *(r[2] for r in rare)]),
+                np.repeat(np.array([0, 1], np.int32), [len(rows), others]),
+                np.concatenate([np.array(n, np.int64), *(r[3] for r in rare)]),
+            ]
+            arrays = [pa.array(c) for c in columns]
+            arrays += [pa.array(c + [None] * others, pa.float64()) for c in (total, *top)]
+            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in PARTS.split(", ")])
+
+    return run
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Best, mean of the best three, and mean log-likelihood ratio; of words, then of beginnings."""
-    out: list[float] = []
-    for buckets in expressions(text, known):
-        x = ratios[buckets]
-        if len(x):
-            best = np.sort(np.partition(x, len(x) - 3)[-3:] if len(x) > 3 else x)
-            out += [float(best[-1]), float(best.mean()), float(x.mean(dtype=np.float64))]
-        else:
-            out += [0.0, 0.0, 0.0]
-    return out
+    for batch in sliced(batches):
+        found = batch.column("found")
+        ends = np.cumsum(pa.compute.list_value_length(found).to_numpy(zero_copy_only=False))
+        items = pa.Table.from_struct_array(pa.chunked_array([found.flatten()]))
+        code, rare, n, ratio, total, *top = (
+            items.column(c).to_numpy() for c in ("code", "rare", "n", "ratio", "total", "t1", "t2", "t3")
+        )
+        ratio = np.nan_to_num(ratio.astype(np.float64))  # not in the table: it says nothing
+        x = []
+        for start, end in zip(np.r_[0, ends[:-1]], ends):
+            out: list[float] = []
+            for kind in (0, 1):
+                at = start + np.flatnonzero(code[start:end] & 1 == kind)
+                whole, others = at[rare[at] == 0][0], at[rare[at] == 1]
+                if n[whole] == 0:
+                    out += [0.0, 0.0, 0.0]
+                    continue
+                known = np.array([t[whole] for t in top], dtype=np.float64)
+                best = np.sort(np.r_[known[~np.isnan(known)], np.repeat(ratio[others], np.minimum(n[others], 3))])[-3:]
+                all_of_it = total[whole] + np.sort(ratio[others] * n[others]).sum()
+                out += [float(best[-1]), float(best.mean()), float(all_of_it / n[whole])]
+            x.append(out)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("h1"), batch.column("h2"), pa.array(x, pa.list_(pa.float64()))], ["h1", "h2", "x"]
+        )
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    ratios: np.ndarray | None = field(repr=False)  # log-likelihood ratio per bucket
+    ratios: DataFrame | None = field(repr=False)  # code, ratio: log-likelihood ratios of expressions that are not frequent
+    frequent: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)  # codes in order, ratios
     centre: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     scale: np.ndarray = field(default_factory=lambda: np.ones(FEATURES))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
     bias: float = 0.0
     share: float = 0.0  # of toxic training labels: the score if there is no model
 
-    def score(self, text: str | None, known: _Buckets) -> float:
-        if self.ratios is None:
-            return self.share
-        z = (np.array(features(text, self.ratios, known)) - self.centre) / self.scale @ self.weights + self.bias
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-
-
-def _log_ratios(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    both = ordinary + toxic + 1
-    shared = BACKOFF * both / both.sum()
-    p = [np.maximum(n - DISCOUNT, 0) / n.sum() + shared for n in (ordinary, toxic)]
-    return np.log(p[1] / p[0])
+    def features(self, texts: DataFrame) -> DataFrame:
+        """``h1, h2, x`` for each distinct text of ``texts (h1, h2, text)``."""
+        shared = texts.sparkSession.sparkContext.broadcast(self.frequent)
+        parts = texts.select("h1", "h2", "text").mapInArrow(_parts(shared), PARTS)
+        table = self.ratios.select("code", F.lit(1).alias("rare"), "ratio")
+        found = F.struct("code", "rare", "n", "total", "t1", "t2", "t3", "ratio")
+        # A set: copies of a text that met in no task give the same rows.
+        gathered = parts.join(table, ["code", "rare"], "left").groupBy("h1", "h2").agg(F.collect_set(found).alias("found"))
+        return gathered.mapInArrow(_features, "h1 long, h2 long, x array<double>")
+
+    def scores(self, texts: DataFrame) -> DataFrame:
+        """``h1, h2, score`` for each distinct text of ``texts (h1, h2, text)``."""
+        z = F.lit(self.bias)
+        for i in range(FEATURES):
+            z = z + (F.col("x")[i] - float(self.centre[i])) / float(self.scale[i]) * float(self.weights[i])
+        return self.features(texts).select("h1", "h2", (1 / (1 + F.exp(-z))).alias("score"))
+
+
+def _log_ratios(counts: DataFrame) -> DataFrame | None:
+    """``code, both, ratio`` of ``counts (code, ordinary, toxic)``; None if a class has no expression."""
+    kind = F.col("code").bitwiseAND(1)
+    both = F.col("ordinary") + F.col("toxic") + 1
+    sums = [F.round(F.sum(c), 3) for c in (F.col("ordinary"), F.col("toxic"), both)]
+    of = {r[0]: r[1:] for r in counts.groupBy(kind).agg(*sums).collect()}
+    if not all(all(x) for x in of.values()) or not of:
+        return None
+
+    def total(i: int) -> Column:
+        return F.when(kind == 0, F.lit(float(of[0][i]))).otherwise(F.lit(float(of[1][i])))
+
+    shared = BACKOFF * both / total(2)
+    p = [F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / total(i) + shared for i, c in enumerate(("ordinary", "toxic"))]
+    return counts.select("code", both.alias("both"), F.log(p[1] / p[0]).alias("ratio"))
+
+
+def _split(ratios: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """The ratios of rarer expressions, and codes and ratios of the at most ``FREQUENT`` most frequent ones."""
+    power = F.floor(F.log2("both"))
+    level, size = 64, 0  # powers of two, so that the histogram is short
+    for power_of, n in sorted(map(tuple, ratios.groupBy(power).count().collect()), reverse=True):
+        size += n
+        if size > FREQUENT:
+            break
+        level = power_of
+    top = ratios.filter(power >= level).select("code", "ratio").toArrow()  # at most FREQUENT rows
+    codes, x = (top.column(c).to_numpy() for c in ("code", "ratio"))
+    order = np.argsort(codes)
+    return ratios.filter(power < level), (codes[order], x[order])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> tuple[np.ndarray, float]:
@@ -157,21 +281,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 10
     return w[:-1], float(w[-1])
 
 
-def _feature_rows(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Buckets()
-        for batch in sliced(batches):
-            rows = [features(t, model.value.ratios, known) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"]
-            )
-
-    return run
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, scratch: str | None = None) -> ToxicityModel:
     """Train on the labelled rows of ``docs (doc_id, text)``; ``labels (doc_id, toxic)``."""
-    context = docs.sparkSession.sparkContext
+    docs = _with_digests(docs.select("doc_id", "text"))
     known = (
         labels.filter("toxic is not null and doc_id is not null")
         .groupBy("doc_id")
@@ -183,40 +295,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     share = (positive or 0) / n if n else 0.0
     counted = known.filter("fold < 4").select("doc_id", "toxic")
     # Copies share one context: each of m copies weighs 1 / m. Only digests travel here.
-    digests = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.crc32(F.col("text").cast("binary")).alias("h2"))
-    labelled = digests.join(counted, "doc_id")
+    labelled = docs.select("doc_id", "h1", "h2").join(counted, "doc_id")
     copies = labelled.groupBy("h1", "h2", "toxic").agg(F.count(F.lit(1)).alias("m"))
-    null_safe = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("h1", "h2", "toxic")]
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("h1", "h2", "toxic")]
     weights = (
         labelled.alias("a")
-        .join(copies.alias("b"), null_safe)
+        .join(copies.alias("b"), same)
         .groupBy("a.doc_id", "a.toxic")
         .agg(F.avg(1 / F.col("m")).alias("weight"))
     )
-    training = docs.select("doc_id", "text").join(weights.hint("shuffle_hash"), "doc_id").select("text", "toxic", "weight")
+    training = docs.select("doc_id", "text").filter(fold() != 0).join(weights.hint("shuffle_hash"), "doc_id")
+    training = training.select("text", "toxic", "weight")
     counts = (
-        training.mapInArrow(_counts, "bucket long, ordinary double, toxic double")
-        .groupBy("bucket")
-        .agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-        .toArrow()  # at most 2 * BUCKETS rows
+        training.mapInArrow(_counts, "code long, ordinary double, toxic double")
+        .groupBy("code")  # sums of 1 / m in any order
+        .agg(F.round(F.sum("ordinary"), 6).alias("ordinary"), F.round(F.sum("toxic"), 6).alias("toxic"))
     )
-    table = np.zeros((2, 2 * BUCKETS))
-    at = counts.column("bucket").to_numpy()
-    for c, name in enumerate(("ordinary", "toxic")):
-        table[c, at] = np.round(counts.column(name).to_numpy(), 6)  # sums of 1 / m in any order
-    if not all(table.any(axis=1)):
+    ratios = _log_ratios(keep(counts, "toxicity-counts", scratch))
+    if ratios is None:
         return ToxicityModel(None, share=share)
-    ratios = np.concatenate([
-        _log_ratios(table[0, part], table[1, part]) for part in (slice(0, BUCKETS), slice(BUCKETS, None))
-    ]).astype(np.float32)
+    model = ToxicityModel(*_split(ratios), share=share)
 
     sample = known.filter("fold = 4").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
-    shared = context.broadcast(ToxicityModel(ratios))
+    texts = docs.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id")  # at most CALIBRATION labels
     rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id")  # at most CALIBRATION rows
-        .select("text", "toxic")
-        .mapInArrow(_feature_rows(shared), "toxic int, x array<double>")
+        texts.select("h1", "h2", "toxic")
+        .join(model.features(texts), ["h1", "h2"])
+        .select("x", "toxic")
         .orderBy("x", "toxic")
         .limit(CALIBRATION)
         .collect()
@@ -227,43 +332,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     x = np.array([r["x"] for r in rows])
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     w, bias = _logistic((x - centre) / scale, y)
-    return ToxicityModel(ratios, centre, scale, w, bias, share)
-
-
-def _score_rows(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Buckets()
-        for batch in sliced(batches):
-            scores = [model.value.score(t, known) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "__score"]
-            )
-
-    return run
-
-
-def with_score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` with all columns and ``__score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    # Arrow names columns by position here, so that input columns may have any names.
-    names = docs.columns
-    plain = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(names)])
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return plain.mapInArrow(_score_rows(shared), f"{fields}, __score double").toDF(*names, "__score")
+    return replace(model, centre=centre, scale=scale, weights=w, bias=bias)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, scratch: str | None = None) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs (doc_id, text)``."""
-    docs = docs.select("doc_id", "text")
-    return with_score(docs, fit(docs, labels)).select(
+    docs = _with_digests(docs.select("doc_id", "text"))
+    model = fit(docs, labels, scratch)
+    if model.ratios is None:
+        scored = docs.withColumn("score", F.lit(float(model.share)))
+    else:
+        scored = docs.select("doc_id", "h1", "h2").join(model.scores(docs), ["h1", "h2"], "left")
+    return scored.select(
         "doc_id",
         F.coalesce(fold() == 0, F.lit(False)).alias("held_out"),
-        F.col("__score").alias("score"),
-        F.when(F.col("__score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"),
+        "score",
+        F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"),
     )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, scratch: str | None = None) -> DataFrame:
     """``docs`` without the documents that score at least ``threshold``, with all columns."""
-    scored = with_score(docs, fit(docs.select("doc_id", "text"), labels))
-    return scored.filter(F.col("__score") < threshold).drop("__score")
+    plain = _with_digests(docs.select("doc_id", "text"))
+    model = fit(plain, labels, scratch)
+    if model.ratios is None:
+        return docs if model.share < threshold else docs.limit(0)
+    rejected = model.scores(plain).filter(F.col("score") >= threshold)
+    rejected = small_side(keep(rejected.select("h1", "h2"), "toxic", scratch))
+    # Named so that input columns may have any names.
+    named = rejected.toDF("__h1", "__h2")
+    text = F.coalesce(docs["text"], F.lit(""))
+    same = (F.xxhash64(text) == named["__h1"]) & (F.crc32(text.cast("binary")) == named["__h2"])
+    return docs.join(named, same, "left_anti")

@@ -352,6 +352,51 @@ def test_toxicity_awkward(awkward, spark):
     assert toxicity.toxicity(awkward.limit(0), odd).count() == 0
 
 
+def colliding():
+    """Two words of four letters, so also two beginnings, whose hashes agree in their last 20 bits."""
+    import itertools
+    import string
+
+    import xxhash
+
+    seen = {}
+    for letters in itertools.product(string.ascii_lowercase, repeat=4):
+        word = "".join(letters)
+        other = seen.setdefault(xxhash.xxh3_64_intdigest(word.encode()) % (1 << 20), word)
+        if other != word:
+            return other, word
+
+
+def marked(spark, toxic_word, clean_word, n=300):
+    """Every third document is toxic; a single word tells the two kinds apart."""
+    rng = random.Random(3)
+    docs = [
+        (i, " ".join([*(f"w{rng.randrange(60)}" for _ in range(12)), clean_word if i % 3 else toxic_word])) for i in range(n)
+    ]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(n)]
+    return (
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+    )
+
+
+def test_toxicity_counts_by_the_whole_word(spark):
+    docs, labels = marked(spark, *colliding())
+    rows = toxicity.toxicity(docs, labels).filter("held_out").collect()
+    assert rows and all(r["predicted"] == (r["doc_id"] % 3 == 0) for r in rows)
+
+
+def test_toxicity_joined_ratios_are_those_at_hand(spark, monkeypatch):
+    docs, labels = marked(spark, "vile", "kind")
+    docs = docs.union(docs.limit(20)).union(docs.limit(1).selectExpr("doc_id + 1000", "''"))
+    want = sorted((r["doc_id"], r["score"]) for r in toxicity.toxicity(docs, labels).collect())
+    for frequent in (0, 20):
+        monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+        got = sorted((r["doc_id"], r["score"]) for r in toxicity.toxicity(docs, labels).collect())
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert np.allclose([x for _, x in got], [x for _, x in want], rtol=0, atol=1e-9)
+
+
 # -- 8: urls ----------------------------------------------------------------------------------
 
 
