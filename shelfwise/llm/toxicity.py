@@ -26,11 +26,10 @@ ratios of the at most ``FREQUENT`` most frequent expressions, which make up most
 of every text, are looked up on the way instead; that saves their share of the
 join and changes no result. Texts are known by two digests, so copies are scored
 once. The logistic model is fitted on a bounded sample of ``CALIBRATION``
-labelled rows that the counts do not use.
+labelled documents of fold 4; the counts cover every other labelled training text.
 
 Training uses labelled rows of folds 1 to 4 only (crc32 of ``doc_id`` as text,
-modulo 5): 1 to 3 for the counts, 4 for the logistic model. Labels, ids and other
-columns are never inputs of a score.
+modulo 5). Labels, ids and other columns are never inputs of a score.
 
 Defined results: a null or empty text scores as one without expressions;
 repeated rows score alike; of several labels of a document the toxic one
@@ -293,7 +292,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: str | None = None) -> Toxic
     )
     n, positive = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     share = (positive or 0) / n if n else 0.0
-    counted = known.filter("fold < 4").select("doc_id", "toxic")
+    sample = known.filter("fold = 4").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
+    sample = F.broadcast(keep(sample.select("doc_id", "toxic"), "toxicity-sample", scratch))  # at most CALIBRATION rows
+    counted = known.select("doc_id", "toxic").join(sample, "doc_id", "left_anti")
     # Copies share one context: each of m copies weighs 1 / m. Only digests travel here.
     labelled = docs.select("doc_id", "h1", "h2").join(counted, "doc_id")
     copies = labelled.groupBy("h1", "h2", "toxic").agg(F.count(F.lit(1)).alias("m"))
@@ -316,8 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: str | None = None) -> Toxic
         return ToxicityModel(None, share=share)
     model = ToxicityModel(*_split(ratios), share=share)
 
-    sample = known.filter("fold = 4").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
-    texts = docs.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id")  # at most CALIBRATION labels
+    texts = docs.join(sample, "doc_id")
     rows = (
         texts.select("h1", "h2", "toxic")
         .join(model.features(texts), ["h1", "h2"])

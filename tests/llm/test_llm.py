@@ -386,6 +386,17 @@ def test_toxicity_counts_by_the_whole_word(spark):
     assert rows and all(r["predicted"] == (r["doc_id"] % 3 == 0) for r in rows)
 
 
+def test_toxicity_counts_all_that_is_not_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION", 40)
+    docs, labels = marked(spark, "vile", "good", n=600)
+    # One of the toxic words is found in fold 4 and among held-out documents only.
+    other = toxicity.fold().isin(0, 4)
+    text = queries.F.expr("replace(text, 'vile', 'evil')")
+    docs = docs.withColumn("text", queries.F.when(other, text).otherwise(docs["text"]))
+    rows = toxicity.toxicity(docs, labels).filter("held_out").collect()
+    assert rows and all(r["predicted"] == (r["doc_id"] % 3 == 0) for r in rows)
+
+
 def test_toxicity_joined_ratios_are_those_at_hand(spark, monkeypatch):
     docs, labels = marked(spark, "vile", "kind")
     docs = docs.union(docs.limit(20)).union(docs.limit(1).selectExpr("doc_id + 1000", "''"))
