@@ -25,16 +25,21 @@ each text's distinct expressions meet the table of log ratios in a join. The
 ratios of the at most ``FREQUENT`` most frequent expressions, which make up most
 of every text, are looked up on the way instead; that saves their share of the
 join and changes no result. Texts are known by two digests, so copies are scored
-once. The logistic model is fitted on a bounded sample of ``CALIBRATION``
-labelled documents of fold 4; the counts cover every other labelled training text.
+once. The logistic model is fitted on a bounded sample of labelled documents of
+fold 4, up to half of ``CALIBRATION`` of each class, and its bias corrected by
+the classes' true shares; the counts cover every other labelled training text.
+If fold 4 holds fewer than ``LEAST`` documents of a class, or no other fold holds
+one, nothing is sampled: all are counted and a score is at least one half where
+the mean log-likelihood ratios of words and of beginnings have a positive sum.
 
 Training uses labelled rows of folds 1 to 4 only (crc32 of ``doc_id`` as text,
 modulo 5). Labels, ids and other columns are never inputs of a score.
 
 Defined results: a null or empty text scores as one without expressions;
 repeated rows score alike; of several labels of a document the toxic one
-counts, null labels are none; if one class has no training text, every score is
-the share of toxic training labels (0 without labels); a null ``doc_id`` is
+counts, null labels and labels without a document are none; of a document's
+different texts one is in the sample; if one class has no training text, every
+score is the share of toxic training labels (0 without labels); a null ``doc_id`` is
 never training data nor held out; an empty table gives no rows. Texts are read
 whole.
 """
@@ -59,6 +64,8 @@ BACKOFF = 10.0
 FREQUENT = 1 << 18  # expressions at most whose ratios every task has at hand; all others are joined
 FOLDS = 5
 CALIBRATION = 8192
+LEAST = 10  # documents of each class that the logistic model needs
+NO_EVIDENCE = 1e-6  # what a sum of mean log ratios must exceed without a logistic model
 MEMO_WORDS = 200_000  # words that a task remembers; then it starts afresh
 MEMO_TEXTS = 100_000  # texts, likewise
 HELD = 1 << 20  # expressions of texts that a task adds up at a time
@@ -289,11 +296,22 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: str | None = None) -> Toxic
         .agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).cast("int").alias("toxic"))
         .withColumn("fold", fold())
         .filter("fold <> 0")
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
     )
-    n, positive = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    share = (positive or 0) / n if n else 0.0
-    sample = known.filter("fold = 4").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
-    sample = F.broadcast(keep(sample.select("doc_id", "toxic"), "toxicity-sample", scratch))  # at most CALIBRATION rows
+    known = keep(known, "toxicity-labels", scratch)
+    size = {(r[0], r[1]): r[2] for r in known.groupBy("toxic", F.col("fold") == 4).count().collect()}
+    of = [size.get((c, True), 0) + size.get((c, False), 0) for c in (0, 1)]
+    share = of[1] / sum(of) if sum(of) else 0.0
+    if not all(of):
+        return ToxicityModel(None, share=share)
+    calibrated = all(size.get((c, True), 0) >= LEAST and (c, False) in size for c in (0, 1))
+    each = CALIBRATION // 2 if calibrated else 0
+    sample = [
+        known.filter((F.col("fold") == 4) & (F.col("toxic") == c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
+        for c in (0, 1)
+    ]
+    sample = sample[0].union(sample[1]).select("doc_id", "toxic")
+    sample = F.broadcast(keep(sample, "toxicity-sample", scratch))  # at most CALIBRATION rows
     counted = known.select("doc_id", "toxic").join(sample, "doc_id", "left_anti")
     # Copies share one context: each of m copies weighs 1 / m. Only digests travel here.
     labelled = docs.select("doc_id", "h1", "h2").join(counted, "doc_id")
@@ -317,22 +335,24 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: str | None = None) -> Toxic
         return ToxicityModel(None, share=share)
     model = ToxicityModel(*_split(ratios), share=share)
 
-    texts = docs.join(sample, "doc_id")
-    rows = (
-        texts.select("h1", "h2", "toxic")
-        .join(model.features(texts), ["h1", "h2"])
-        .select("x", "toxic")
-        .orderBy("x", "toxic")
-        .limit(CALIBRATION)
-        .collect()
-    )
+    if not calibrated:
+        weights = np.zeros(FEATURES)
+        weights[[2, 5]] = 1.0  # the means
+        return replace(model, weights=weights, bias=-NO_EVIDENCE)
+
+    # One text of each document.
+    text = F.min(F.struct("h1", "h2"))
+    chosen = docs.select("doc_id", "h1", "h2").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(text.alias("text"))
+    chosen = F.broadcast(keep(chosen.select("doc_id", "toxic", "text.h1", "text.h2"), "toxicity-chosen", scratch))
+    texts = docs.join(chosen.select("doc_id", "h1", "h2"), ["doc_id", "h1", "h2"])
+    rows = model.features(texts).join(chosen, ["h1", "h2"]).select("doc_id", "x", "toxic").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["toxic"] for r in rows], dtype=np.float64)
-    if not 0 < y.sum() < len(y):
-        return ToxicityModel(None, share=share)
     x = np.array([r["x"] for r in rows])
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     w, bias = _logistic((x - centre) / scale, y)
-    return replace(model, centre=centre, scale=scale, weights=w, bias=bias)
+    bias += np.log(of[1] / of[0]) - np.log(y.sum() / (len(y) - y.sum()))
+    return replace(model, centre=centre, scale=scale, weights=w, bias=float(bias))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, scratch: str | None = None) -> DataFrame:

@@ -397,6 +397,22 @@ def test_toxicity_counts_all_that_is_not_in_the_sample(spark, monkeypatch):
     assert rows and all(r["predicted"] == (r["doc_id"] % 3 == 0) for r in rows)
 
 
+@pytest.mark.parametrize("least, wrong", [(10, 0.01), (1000, 0.1)])
+def test_toxicity_finds_a_rare_class(spark, monkeypatch, least, wrong):
+    """A uniform sample of 40 labels mostly holds no toxic one; without a logistic model the ratio's sign decides."""
+    monkeypatch.setattr(toxicity, "CALIBRATION", 40)
+    monkeypatch.setattr(toxicity, "LEAST", least, raising=False)
+    docs, labels = marked(spark, "vile", "good", n=3000)
+    clean = "doc_id % 60 <> 0 and doc_id % 3 = 0"  # one in forty is left toxic
+    docs, labels = docs.filter(f"not ({clean})"), labels.filter(f"not ({clean})")
+    # Labels without a document take no place in the sample.
+    labels = labels.union(spark.range(100_000, 150_000).selectExpr("id", "1", "0"))
+    rows = toxicity.toxicity(docs, labels).filter("held_out").collect()
+    toxic = [r["predicted"] for r in rows if r["doc_id"] % 3 == 0]
+    good = [r["predicted"] for r in rows if r["doc_id"] % 3]
+    assert toxic and min(toxic) == 1 and sum(good) <= wrong * len(good)
+
+
 def test_toxicity_joined_ratios_are_those_at_hand(spark, monkeypatch):
     docs, labels = marked(spark, "vile", "kind")
     docs = docs.union(docs.limit(20)).union(docs.limit(1).selectExpr("doc_id + 1000", "''"))
