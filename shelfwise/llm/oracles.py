@@ -148,10 +148,50 @@ FROM embeddings e JOIN reach r ON r.a = e.vec_id LEFT JOIN n ON n.x = e.vec_id
 GROUP BY e.vec_id
 """
 
+_COLLOCATIONS = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), pieces AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])) AS p
+  FROM words, range(1, 6) AS r(k) WHERE len(w) >= k
+), f AS (SELECT lang, k, p, count(*) AS f FROM runs GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM words GROUP BY lang),
+cand AS (SELECT lang, k, p, f AS a FROM f WHERE k >= 2 AND f >= 100),
+inside AS (
+  SELECT lang, p[i : i + m - 1] AS p, max(a) AS longer
+  FROM cand, range(2, 5) AS s(m), range(1, 5) AS o(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL
+), left_over AS (
+  SELECT c.* FROM cand c LEFT JOIN inside i ON c.lang = i.lang AND c.p = i.p
+  WHERE i.longer IS NULL OR 100 * i.longer < 100 * c.a
+), cuts AS (
+  SELECT c.lang, c.p, c.a, j AS cut, x.f AS l, y.f AS r, n,
+    1000 * CAST(c.a AS HUGEINT) * n // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM left_over c JOIN range(1, 5) AS q(j) ON j < k
+  JOIN f x ON x.lang = c.lang AND x.k = j AND x.p = c.p[1 : j]
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - j AND y.p = c.p[j + 1 : c.k]
+  JOIN total t ON t.lang = c.lang
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) AS nth FROM cuts
+), ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank
+  FROM best WHERE nth = 1
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+  CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_top_k": _TOP_K,
     "op2_ngram_jaccard": _NGRAM,
     "op4_mixing": _MIXING,
     "op8_url_reputation": _URLS,
     "op9_embedding_dedup": _EMBEDDINGS,
+    "op13_collocations": _COLLOCATIONS,
 }

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import (
+    bpe,
+    collocations,
     embedding_dedup,
     mixing,
     ngram_join,
@@ -24,6 +26,7 @@ from shelfwise.llm import (
     topk,
     toxicity,
     url_reputation,
+    whitening,
 )
 from shelfwise.llm.oracles import ORACLES  # noqa: F401 (registered beside the queries)
 
@@ -119,6 +122,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings"), scale=256, components=4)
+    return white.select(
+        F.col("id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation AS long)").alias("deviation"),
+        "whitened", "explained", "identity_error",
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -138,6 +164,9 @@ QUERIES: dict[str, Query] = {
         op8_url_reputation,
         op9_embedding_dedup,
         op10_pii,
+        op11_bpe,
+        op12_whitening,
+        op13_collocations,
         pipeline,
     )
 }
