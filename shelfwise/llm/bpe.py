@@ -32,7 +32,6 @@ that strip their surroundings) is refused when it is loaded.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -49,11 +48,11 @@ from shelfwise.llm.common import sliced
 
 SHORT = 48  # bytes; longer words take the heap
 CELLS = 1 << 19  # parts of the words that are worked on at a time
-MEMO_CHUNKS = 350_000  # in each of the two generations that a Python worker remembers
-MEMO_WORDS = 250_000
+MEMO_CHUNKS = 250_000  # in each of the two generations that a Python worker remembers
+MEMO_WORDS = 200_000
 SECTION = 1 << 20  # characters of a text worked on at a time
-GROUP = 1 << 22  # characters of several texts worked on at a time
-ROWS = 4096  # of a batch taken at a time
+GROUP = 1 << 21  # characters of several texts worked on at a time
+ROWS = 2048  # of a batch taken at a time
 WORDS = 200_000  # words of one text looked up at a time
 
 NO_RANK = np.iinfo(np.int32).max
@@ -69,8 +68,39 @@ def _alphabet() -> list[str]:
     return [chr(b if b in visible else next(others)) for b in range(256)]
 
 
+class TokenBytes:
+    """What decoding needs of a vocabulary file: the bytes of every id."""
+
+    def __init__(self, spec: dict):
+        ids = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec.get("added_tokens") or []}}
+        self.size = max(ids.values()) + 1
+        byte_of = {c: b for b, c in enumerate(_alphabet())}
+        content: list[bytes | None] = [None] * self.size
+        for token, i in ids.items():
+            content[i] = bytes(map(byte_of.__getitem__, token)) if byte_of.keys() >= set(token) else token.encode()
+        self.known = np.array([c is not None for c in content])
+        self.content = pa.array([c or b"" for c in content], pa.large_binary())
+
+    def decode(self, ids: pa.ListArray) -> list[str | None]:
+        """The text of each list of ids."""
+        flat = ids.flatten()
+        counts = np.array([0 if n is None else n for n in ids.value_lengths().to_pylist()], dtype=np.int64)
+        ends = np.cumsum(counts)
+        known = np.asarray(flat.is_valid())
+        numbers = np.asarray(flat.fill_null(-1), dtype=np.int64)
+        known &= (numbers >= 0) & (numbers < self.size)
+        known[known] = self.known[numbers[known]]
+        ends = np.concatenate([[0], np.cumsum(known)])[ends] if len(flat) else ends
+        tokens = self.content.take(pa.array(numbers[known]))
+        at = np.frombuffer(tokens.buffers()[1], dtype=np.int64)[: len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
+        content = memoryview(tokens.buffers()[2]) if len(tokens) and tokens.buffers()[2] else memoryview(b"")
+        bounds = at[np.concatenate([[0], ends])].tolist()
+        texts = [str(content[a:b], "utf-8", "replace") for a, b in zip(bounds, bounds[1:])]
+        return [t if valid else None for t, valid in zip(texts, ids.is_valid().to_pylist())]
+
+
 class RankTable:
-    """The arrays of a vocabulary file, and the BPE of words by them."""
+    """The merges of a vocabulary file as arrays, and the BPE of words by them."""
 
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -78,18 +108,9 @@ class RankTable:
         if model.get("type", "BPE") != "BPE" or any(model.get(name) for name in plain):
             raise ValueError("not a plain byte-level BPE model")
         vocabulary: dict[str, int] = model["vocab"]
-        ids = {**vocabulary, **{t["content"]: t["id"] for t in spec.get("added_tokens") or []}}
-        self.size = max(ids.values()) + 1
+        self.size = max(vocabulary.values()) + 1
         self.base = self.size + 1  # the id ``size`` fills rows up and has no pair
-        alphabet = _alphabet()
-        self.of_byte = np.array([vocabulary[c] for c in alphabet], dtype=np.int32)
-        byte_of = {c: b for b, c in enumerate(alphabet)}
-        content: list[bytes | None] = [None] * self.size
-        for token, i in ids.items():
-            content[i] = bytes(map(byte_of.__getitem__, token)) if byte_of.keys() >= set(token) else token.encode()
-        self.known = np.array([c is not None for c in content])
-        self.content = pa.array([c or b"" for c in content], pa.binary())
-
+        self.of_byte = np.array([vocabulary[c] for c in _alphabet()], dtype=np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         left, right = (np.array([vocabulary[p[side]] for p in pairs], dtype=np.int64) for side in (0, 1))
         self.makes = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int32)
@@ -227,8 +248,7 @@ class RankEncoder:
     """Ids of whole texts by a vocabulary file."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -243,7 +263,7 @@ class RankEncoder:
         ):
             raise ValueError(f"{path}: not a plain byte-level vocabulary")
         self.table = RankTable(spec)
-        self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.pattern = regex.compile(PATTERN)
         self.added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in added}
         longest_first = sorted(self.added, key=len, reverse=True)
@@ -366,23 +386,6 @@ class RankEncoder:
         work_off()
         return [b"".join(ids) for ids in out]
 
-    def decode(self, ids: pa.ListArray) -> list[str | None]:
-        """The text of each list of ids."""
-        flat = ids.flatten()
-        counts = np.array([0 if n is None else n for n in ids.value_lengths().to_pylist()], dtype=np.int64)
-        ends = np.cumsum(counts)
-        known = np.asarray(flat.is_valid())
-        numbers = np.asarray(flat.fill_null(-1), dtype=np.int64)
-        known &= (numbers >= 0) & (numbers < self.table.size)
-        known[known] = self.table.known[numbers[known]]
-        ends = np.concatenate([[0], np.cumsum(known)])[ends] if len(flat) else ends
-        tokens = self.table.content.cast(pa.large_binary()).take(pa.array(numbers[known]))
-        at = np.frombuffer(tokens.buffers()[1], dtype=np.int64)[: len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
-        content = memoryview(tokens.buffers()[2]) if len(tokens) and tokens.buffers()[2] else memoryview(b"")
-        bounds = at[np.concatenate([[0], ends])].tolist()
-        texts = [str(content[a:b], "utf-8", "replace") for a, b in zip(bounds, bounds[1:])]
-        return [t if valid else None for t, valid in zip(texts, ids.is_valid().to_pylist())]
-
 
 @lru_cache(maxsize=2)
 def rank_encoder(path: str) -> RankEncoder:
@@ -390,6 +393,12 @@ def rank_encoder(path: str) -> RankEncoder:
     return RankEncoder(path)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> TokenBytes:
+    with open(path, encoding="utf-8") as f:
+        return TokenBytes(json.load(f))
+
+
 def _lists(packed: list[bytes]) -> pa.ListArray:
     offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
@@ -412,7 +421,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, key: str = "doc_id") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, ROWS):
-            texts = rank_encoder(tokenizer_path).decode(batch.column(1))
+            texts = token_bytes(tokenizer_path).decode(batch.column(1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [key, "ids", "text"])
 
     kept = T.StructType([encoded.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
