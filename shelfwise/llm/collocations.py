@@ -10,17 +10,19 @@ phrase is frequent only if its parts are, so frequent phrases are found so:
    their beginning and their end (all but the last, all but the first word)
    were. Border phrases that occur nowhere have no count and are never formed.
 3. A border phrase (or word) that turns out frequent is a failure: longer
-   phrases with it were not counted. It joins the proposals, and a further pass
-   counts what that adds to the border, until a pass has no failure. Then all
-   frequent phrases have been counted, whatever the sample was.
-
-In a pass, tasks know the proposals by a bit table of bounded size (a Bloom
-filter with two hashes). A false positive only has something counted that need
-not be. What a pass counts is a fixed function of the tables used so far, and a
-phrase is counted wholly in the first pass whose table lets it through. Inside a
-task, words and phrases are numbered per chunk of text without collisions, so
-counts are of the phrases themselves; the table of counts is added up by Spark,
-with partial sums before the shuffle.
+   phrases with it were not counted. Then the border is expanded until it is
+   closed: a phrase may be frequent if it was counted and is, or if it was not
+   counted and its beginning and end may be. One more pass counts all that were
+   not counted and may be. What it counts has no border of its own that was not
+   counted, so no failure can follow it, whatever the sample was.
+
+In a pass, tasks know the proposals, and then the frequent phrases, by bit tables
+of bounded size (Bloom filters with two hashes). A false positive only has
+something counted that need not be. Which phrases the first pass counts is a
+fixed function of its table, so the second one knows it exactly, and a phrase is
+counted wholly in one of them. Inside a task, words and phrases are numbered per
+chunk of text without collisions, so counts are of the phrases themselves; the
+table of counts is added up by Spark, with partial sums before the shuffle.
 
 Scores are exact: integers of up to 38 digits, divided as integers.
 
@@ -45,20 +47,21 @@ from shelfwise.llm.common import keep, sliced
 
 LONGEST = 5
 SAMPLE = 8  # one document in so many
-CHUNK_BYTES = 4 << 20  # text of a language counted at a time
-WAITING_BYTES = 12 << 20  # text of all languages that waits to be counted
-BITS_EACH = 32  # of the table, for a proposal
+CHUNK_BYTES = 6 << 20  # text of a language counted at a time
+WAITING_BYTES = 16 << 20  # text of all languages that waits to be counted
+BITS_EACH = 32  # of a table, for a phrase
 LEAST_BITS = 1 << 20
 MOST_BITS = 1 << 29  # 64 MB; beyond it more than the border is counted, with the same result
 
-MARK = b"\xff"  # a byte that UTF-8 text never holds
+MARK = b"."  # stands for every mark that ends a piece, so no word has it
 # Fixed value: the marks that end a piece.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 CLEAN = bytes(
-    0xFF if b in ENDS else 0x20 if b == 0x09 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)
+    MARK[0] if b in ENDS else 0x20 if b == 0x09 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)
 )
 
-COUNTS = "lang string, phrase string, words int, h long, f long"
+COUNTS = "lang string, phrase string, f long"  # the phrase "" stands for all words
+HASHED = "lang string, phrase string, h long"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -102,80 +105,123 @@ def _bit_table(proposed: DataFrame) -> Proposals:
     return Proposals(bits, [(r["bucket"], bytes(r["content"])) for r in rows.toLocalIterator()])
 
 
-class _Counter:
-    """Counts of the words and phrases of texts in one language.
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode()) & 0xFFFFFFFF
+
+
+def _longer(h: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of phrases from those of their beginnings and of their last words."""
+    return _mixed(h * np.uint64(0x100000001B3) + last)
+
+
+def _phrase_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each phrase, word by word as tasks compute it."""
+    for batch in batches:
+        phrases = [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
+        seeds = [_seed(lang) for lang in batch.column("lang").to_pylist()]
+        words = [[xxhash.xxh64_intdigest(w, seed) for w in phrase] for phrase, seed in zip(phrases, seeds)]
+        h = np.array([w[0] for w in words], dtype=np.uint64)
+        for k in range(1, LONGEST):
+            has = np.array([len(w) > k for w in words], dtype=bool)
+            last = np.array([w[k] if len(w) > k else 0 for w in words], dtype=np.uint64)
+            h = np.where(has, _longer(h, last), h)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h.view(np.int64))], ["lang", "phrase", "h"])
+
+
+def _hashed(phrases: DataFrame) -> DataFrame:
+    return phrases.select("lang", "phrase").mapInArrow(_phrase_hashes, HASHED)
 
-    A phrase is open in a pass if the pass's table has it and its beginning and
-    its end are open too; the pass counts a phrase whose beginning and end are
-    open. So it is known, false positives included, what earlier passes counted.
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, a place of each, and the number of every key."""
+    encoded = pa.array(keys).dictionary_encode()
+    number = np.asarray(encoded.indices)
+    found = np.asarray(encoded.dictionary)
+    place = np.empty(len(found), dtype=np.int64)
+    place[number] = np.arange(len(keys))
+    return found, place, number
+
+
+class _Counter:
+    """Counts of the words and phrases of texts in one language, in the first pass or in a second.
+
+    In the first pass a phrase is open if the table of proposals has it and its
+    beginning and its end are open too; the pass counts a phrase whose beginning
+    and end are open. In a second pass a phrase may be frequent if the table of
+    frequent phrases has it, or if the first pass did not count it, and if its
+    beginning and its end may be; the pass counts a phrase that the first one
+    did not, and whose beginning and end may be frequent. Both are exact
+    functions of the tables, false positives included.
     """
 
-    def __init__(self, lengths: range, passes: list[Proposals]):
-        self.lengths, self.passes = lengths, passes
+    def __init__(self, lengths: range, proposed: Proposals, frequent: Proposals | None = None):
+        self.lengths, self.proposed, self.frequent = lengths, proposed, frequent
 
     def count(self, lang: str, text: bytes, skip: int = 0) -> Iterator[pa.RecordBatch]:
         """Counts in cleaned ``text``, of phrases that end behind its first ``skip`` tokens (words and marks)."""
-        tokens = text.replace(MARK, b" \xff ").split()
-        if not tokens:
-            return
-        encoded = pa.array(tokens, pa.binary()).dictionary_encode()
-        del tokens
-        words, code = encoded.dictionary, np.asarray(encoded.indices).astype(np.int64)
+        spaced = pa.array([text.replace(MARK, b" . ")], pa.binary()).view(pa.string())
+        encoded = pc.split_pattern(spaced, " ").flatten().dictionary_encode()
+        words, code = encoded.dictionary, np.asarray(encoded.indices)
+        del spaced, encoded
         names = words.to_pylist()
-        mark = names.index(MARK) if MARK in names else -1
-        seed = xxhash.xxh64_intdigest(lang.encode()) & 0xFFFFFFFF
+        code = code[code != names.index("")] if "" in names else code
+        mark = names.index(".") if "." in names else -1
+        seed = _seed(lang)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), dtype=np.uint64, count=len(names))
         del names
-        seen = np.arange(len(code)) >= skip
 
-        # Phrases of the present length: where each ends and its number; by number their hashes, texts and passes.
+        # Phrases of the present length: where each ends and its number; by number their hashes, texts, and state.
         end = np.flatnonzero(code != mark)
         number, h, texts = code[end], hashes, words
         if 1 in self.lengths:
-            n = np.bincount(number[seen[end]], minlength=len(words))
-            yield self._rows(lang, 1, texts, h, n, np.flatnonzero(n))
-            yield self._rows(lang, 0, pa.array([""]), np.zeros(1, np.uint64), n.sum(keepdims=True), np.arange(1))
-        opened = [table.has(h) for table in self.passes]
+            n = np.bincount(number[end >= skip], minlength=len(words))
+            yield self._rows(lang, texts, n, np.flatnonzero(n))
+            yield self._rows(lang, pa.array([""]), n.sum(keepdims=True), np.arange(1))
+        opened = self.proposed.has(h)
+        may = self.frequent.has(h) if self.frequent else opened
+        place = np.empty(len(code), dtype=np.int32)
         for length in range(2, self.lengths[-1] + 1):
-            # Only phrases that are open in this pass can be parts of one that it counts.
-            on = opened[-1][number]
+            # Only phrases that are open (or may be frequent) can be parts of one that is counted.
+            on = may[number]
             end, number = end[on], number[on]
-            place = np.full(len(code), -1, dtype=np.int64)
+            place[:] = -1
             place[end] = number
             # A phrase is the one that ends a word earlier, and the word at its end.
             end = end[end > 0]
             end = end[place[end - 1] >= 0]
             if not len(end):
                 return
-            found, first, number = np.unique(place[end - 1] * len(words) + code[end], return_index=True, return_inverse=True)
+            found, at, number = _numbered(place[end - 1].astype(np.int64) * len(words) + code[end])
             beginning, last = found // len(words), found % len(words)
-            rest = place[end[first]]  # without its first word it ends at the same place
-            open_parts = [o[beginning] & o[rest] for o in opened]
-            h = _mixed(h[beginning] * np.uint64(0x100000001B3) + hashes[last])
-            texts = pc.binary_join_element_wise(texts.take(pa.array(beginning)), words.take(pa.array(last)), b" ")
+            rest = place[end[at]]  # without its first word it ends at the same place
+            h = _longer(h[beginning], hashes[last])
+            texts = pc.binary_join_element_wise(texts.take(pa.array(beginning)), words.take(pa.array(last)), " ")
+            first = opened[beginning] & opened[rest]  # the first pass counts it
+            wanted = may[beginning] & may[rest]
+            if self.frequent:
+                may = wanted & (~first | self.frequent.has(h))
+                wanted &= ~first
+            opened = first & self.proposed.has(h)
+            if not self.frequent:
+                may = opened
             if length in self.lengths:
-                n = np.bincount(number[seen[end]], minlength=len(found))
-                wanted = open_parts[-1] & (n > 0)
-                for earlier in open_parts[:-1]:
-                    wanted &= ~earlier
-                yield self._rows(lang, length, texts, h, n, np.flatnonzero(wanted))
-            opened = [parts & table.has(h) for parts, table in zip(open_parts, self.passes)]
+                n = np.bincount(number[end >= skip], minlength=len(found))
+                yield self._rows(lang, texts, n, np.flatnonzero(wanted & (n > 0)))
 
     @staticmethod
-    def _rows(lang: str, length: int, phrases: pa.Array, h: np.ndarray, n: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
-        columns = [
-            pa.array([lang] * len(some), pa.string()),
-            phrases.take(pa.array(some)).cast(pa.string()),
-            pa.array(np.full(len(some), length, dtype=np.int32)),
-            pa.array(h[some].view(np.int64)),
-            pa.array(n[some].astype(np.int64)),
-        ]
+    def _rows(lang: str, phrases: pa.Array, n: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
+        langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(some), dtype=np.int8)), pa.array([lang]))
+        columns = [langs.cast(pa.string()), phrases.take(pa.array(some)), pa.array(n[some].astype(np.int64))]
         return pa.RecordBatch.from_arrays(columns, _NAMES)
 
 
 _NAMES = [c.split()[0] for c in COUNTS.split(", ")]
 
 
+def _tokens(text: bytes) -> list[bytes]:
+    return [t for t in text.replace(MARK, b" . ").split(b" ") if t]
+
+
 def _long_text(counter: _Counter, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
     """A text of more than a chunk: chunks end before a separator and repeat the last words of the one before."""
     start, carried = 0, b""
@@ -185,14 +231,14 @@ def _long_text(counter: _Counter, lang: str, text: bytes) -> Iterator[pa.RecordB
             stops = [p for p in (text.find(b" ", end), text.find(MARK, end)) if p >= 0]
             end = min(stops, default=len(text))
         chunk = carried + b" " + text[start:end]
-        yield from counter.count(lang, chunk, len(carried.split()))
-        carried = b" ".join(chunk.replace(MARK, b" \xff ").split()[1 - LONGEST :])
+        yield from counter.count(lang, chunk, len(_tokens(carried)))
+        carried = b" ".join(_tokens(chunk)[1 - LONGEST :])
         start = end
 
 
 def _tasks(lengths: range, tables: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(lengths, [t.value for t in tables])
+        counter = _Counter(lengths, *(t.value for t in tables))
         waiting: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
         total = 0
@@ -216,10 +262,10 @@ def _tasks(lengths: range, tables: list):
 
 
 def _counts(texts: DataFrame, lengths: range, tables: list, least: int) -> DataFrame:
-    """Exact counts in ``texts`` of what the pass lets through, from ``least`` on (and the number of words)."""
+    """Exact counts in ``texts`` of what the pass counts, from ``least`` on (and the number of words)."""
     partial = texts.mapInArrow(_tasks(lengths, tables), COUNTS)
-    total = partial.groupBy("lang", "phrase", "words", "h").agg(F.sum("f").alias("f"))
-    return total.filter((F.col("f") >= least) | (F.col("words") == 0))
+    total = partial.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return total.filter((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
 def frequent_phrases(
@@ -230,38 +276,33 @@ def frequent_phrases(
 
     A row with ``words`` 0 per language holds the number of its words.
     """
-    spark = docs.sparkSession
+    spread = docs.sparkSession.sparkContext.broadcast
     texts = docs.filter(F.coalesce(F.length(text_col), F.lit(0)) > 0).select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"),
         F.col(id_col).alias("id"),
     )
     sampled = texts.filter(F.pmod(F.xxhash64("id", F.length("text")), F.lit(sample)) == 0).select("lang", "text")
-    texts = texts.select("lang", "text")
-    # A phrase at the threshold is expected least / sample times in the sample; two deviations below that are proposed.
+    sampled, texts = keep(sampled, "sample", scratch), texts.select("lang", "text")
+    # A phrase at the threshold is expected least / sample times in the sample; a deviation below that is proposed.
     expected = least / sample
-    lowered = max(2, int(expected - 2 * expected**0.5))
+    lowered = max(2, int(expected - expected**0.5))
 
     # The sample, length by length: a length's proposals prune the next one.
-    empty = spark.sparkContext.broadcast(Proposals())
-    proposed = keep(_counts(sampled, range(1, 2), [empty], lowered).filter("words > 0"), "proposed", scratch)
+    words = _counts(sampled, range(1, 2), [spread(Proposals())], lowered).filter("phrase <> ''")
+    proposed = keep(_hashed(words), "proposed", scratch)
     for length in range(2, LONGEST + 1):
-        table = spark.sparkContext.broadcast(_bit_table(proposed))
-        longer = _counts(sampled, range(length, length + 1), [table], lowered).filter("words > 0")
-        proposed = proposed.union(keep(longer, "proposed", scratch))
-
-    tables, found, lengths = [], None, range(1, LONGEST + 1)
-    known = proposed.select("lang", "phrase", "h")
-    while True:
-        tables.append(spark.sparkContext.broadcast(_bit_table(known)))
-        counted = keep(_counts(texts, lengths, tables, least), "counts", scratch)
-        found = counted if found is None else found.union(counted)
-        # Frequent and not proposed: failures of the border.
-        failed = counted.filter(f"words between 1 and {LONGEST - 1}").join(known, ["lang", "phrase"], "left_anti")
-        failed = keep(failed.select("lang", "phrase", "h"), "failed", scratch)
-        if failed.isEmpty():
-            return found.select("lang", "phrase", "words", "f")
-        known = known.union(failed)
-        lengths = range(2, LONGEST + 1)
+        tables = [spread(_bit_table(proposed))]
+        longer = _counts(sampled, range(length, length + 1), tables, lowered).filter("phrase <> ''")
+        proposed = proposed.union(keep(_hashed(longer), "proposed", scratch))
+
+    tables = [spread(_bit_table(proposed))]
+    found = keep(_counts(texts, range(1, LONGEST + 1), tables, least), "counts", scratch)
+    frequent = found.filter("phrase <> ''")
+    if not frequent.join(proposed, ["lang", "phrase"], "left_anti").isEmpty():  # failures of the border
+        tables.append(spread(_bit_table(keep(_hashed(frequent), "frequent-hashes", scratch))))
+        found = found.union(keep(_counts(texts, range(2, LONGEST + 1), tables, least), "counts", scratch))
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return found.select("lang", "phrase", size.alias("words"), "f")
 
 
 def _words(phrase: Column, start: int | Column, count: int | Column) -> Column:
