@@ -47,8 +47,8 @@ from shelfwise.llm.common import keep, sliced
 
 LONGEST = 5
 SAMPLE = 8  # one document in so many
-CHUNK_BYTES = 6 << 20  # text of a language counted at a time
-WAITING_BYTES = 16 << 20  # text of all languages that waits to be counted
+CHUNK_BYTES = 4 << 20  # text of a language counted at a time
+WAITING_BYTES = 12 << 20  # text of all languages that waits to be counted
 BITS_EACH = 32  # of a table, for a phrase
 LEAST_BITS = 1 << 20
 MOST_BITS = 1 << 29  # 64 MB; beyond it more than the border is counted, with the same result
@@ -60,7 +60,8 @@ CLEAN = bytes(
     MARK[0] if b in ENDS else 0x20 if b == 0x09 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)
 )
 
-COUNTS = "lang string, phrase string, f long"  # the phrase "" stands for all words
+# One string for phrase and language makes the shuffled rows short; a phrase has no line feed, "" stands for all words.
+COUNTS = "counted string, f long"
 HASHED = "lang string, phrase string, h long"
 
 
@@ -210,9 +211,8 @@ class _Counter:
 
     @staticmethod
     def _rows(lang: str, phrases: pa.Array, n: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
-        langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(some), dtype=np.int8)), pa.array([lang]))
-        columns = [langs.cast(pa.string()), phrases.take(pa.array(some)), pa.array(n[some].astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, _NAMES)
+        counted = pc.binary_join_element_wise(phrases.take(pa.array(some)), pa.scalar(lang), "\n")
+        return pa.RecordBatch.from_arrays([counted, pa.array(n[some].astype(np.int64))], _NAMES)
 
 
 _NAMES = [c.split()[0] for c in COUNTS.split(", ")]
@@ -264,8 +264,11 @@ def _tasks(lengths: range, tables: list):
 def _counts(texts: DataFrame, lengths: range, tables: list, least: int) -> DataFrame:
     """Exact counts in ``texts`` of what the pass counts, from ``least`` on (and the number of words)."""
     partial = texts.mapInArrow(_tasks(lengths, tables), COUNTS)
-    total = partial.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return total.filter((F.col("f") >= least) | (F.col("phrase") == ""))
+    total = partial.groupBy("counted").agg(F.sum("f").alias("f"))
+    kept = total.filter((F.col("f") >= least) | F.startswith(F.col("counted"), F.lit("\n")))
+    border = F.position(F.lit("\n"), F.col("counted"))
+    lang = F.substr(F.col("counted"), border + 1)
+    return kept.select(lang.alias("lang"), F.substr(F.col("counted"), F.lit(1), border - 1).alias("phrase"), "f")
 
 
 def frequent_phrases(
@@ -283,9 +286,9 @@ def frequent_phrases(
     )
     sampled = texts.filter(F.pmod(F.xxhash64("id", F.length("text")), F.lit(sample)) == 0).select("lang", "text")
     sampled, texts = keep(sampled, "sample", scratch), texts.select("lang", "text")
-    # A phrase at the threshold is expected least / sample times in the sample; a deviation below that is proposed.
+    # A phrase at the threshold is expected least / sample times in the sample; half a deviation below is proposed.
     expected = least / sample
-    lowered = max(2, int(expected - expected**0.5))
+    lowered = max(2, int(expected - expected**0.5 / 2))
 
     # The sample, length by length: a length's proposals prune the next one.
     words = _counts(sampled, range(1, 2), [spread(Proposals())], lowered).filter("phrase <> ''")

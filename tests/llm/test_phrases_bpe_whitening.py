@@ -295,7 +295,8 @@ def test_crowded_bit_tables_and_chunks_change_nothing(monkeypatch, density):
         for _, lang, text in rows:
             for batch in collocations._long_text(counter, lang or "und", text.encode().translate(collocations.CLEAN)):
                 for r in batch.to_pylist():
-                    counts[r["lang"], tuple(r["phrase"].split(" ")) if r["phrase"] else ()] += r["f"]
+                    phrase, found_lang = r["counted"].split("\n", 1)
+                    counts[found_lang, tuple(phrase.split(" ")) if phrase else ()] += r["f"]
         return counts
 
     first = passed(collocations._Counter(range(1, 6), proposed))
