@@ -8,16 +8,20 @@ calendar where a window has to be resolved, and q20-q22 write their
 classification.
 """
 
-from shelfwise.sources.star import Star, read_star, validate, write_star
-from shelfwise.sources.tpch import derive_star, load_star
+from shelfwise.sources.staging import Stage
+from shelfwise.sources.star import Star, read_star, stage_star, validate, write_star
+from shelfwise.sources.tpch import derive_star, load_star, release_stars
 from shelfwise.plans import ANALYSES
 
 __all__ = [
     "ANALYSES",
+    "Stage",
     "Star",
     "derive_star",
     "load_star",
     "read_star",
+    "release_stars",
+    "stage_star",
     "validate",
     "write_star",
 ]

@@ -3,29 +3,67 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Items of a basket whose pairs are formed by one row of work (see co_occurrence).
+# Items that a block of a basket holds, about (see co_occurrence).
 BLOCK_ITEMS = 256
 
 
-def _pairs(rows: DataFrame, keys: list[str], item: str, block_items: int) -> DataFrame:
-    """Pairs ``item_a < item_b`` of each basket from its sorted item set, in one pass over the rows."""
-    baskets = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("_items"))
-    last_block = F.floor((F.size("_items") - 2) / block_items).cast("int")
-    blocks = (
-        baskets.filter(F.size("_items") >= 2)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), last_block)))
-        .repartition(*keys, "_block")
-    )
-    first = F.col("_block") * block_items
-    leading = blocks.select(
-        *keys, "_items", first.alias("_first"), F.posexplode(F.slice("_items", first + 1, F.lit(block_items)))
+def frequent_members(
+    baskets: DataFrame, basket_keys: Sequence[str], item: str, min_support: int, items: DataFrame | None = None
+) -> DataFrame:
+    """Distinct ``(basket, item)`` rows of the items that lie in at least ``min_support`` baskets.
+
+    A pair is in no more baskets than either of its items, so items below the
+    support are in no pair that reaches it (a-priori). The distinct rows are
+    shuffled once, by basket and item, and read twice: for the items' supports
+    and for the baskets that remain. The supports, a row per item, are joined
+    back by an inner join: Spark would push a semi join below the distinct and
+    read the rows a second time.
+    """
+    columns = [*basket_keys, item]
+    # The nulls that the joins below would leave out anyway: named here, so that both uses have the same rows.
+    known = reduce(and_, [F.col(c).isNotNull() for c in columns])
+    members = baskets.select(*columns).filter(known).distinct()
+    support = members.groupBy(item).agg(F.count(F.lit(1)).alias("_baskets")).filter(F.col("_baskets") >= min_support)
+    if items is not None:
+        support = support.join(items.select(item), item, "left_semi")
+    return members.join(support.select(item), item)
+
+
+def basket_blocks(members: DataFrame, basket_keys: Sequence[str], item: str, block_items: int) -> DataFrame:
+    """Each basket's items in pairs of blocks ``i <= j``: ``basket keys, _i, _j, _left, _right``.
+
+    A basket of ``k`` items has ``ceil(k / block_items)`` blocks and an item's
+    hash says in which it is, so a block holds about ``block_items`` items and
+    a row two blocks at most; no row and no task ever holds a whole basket.
+    Every item is sent to each pair of blocks with its own: a basket of one
+    block, the ordinary case, is one row. ``_right`` is empty where ``i = j``.
+    """
+    keys = list(basket_keys)
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter("_size >= 2")
+    sizes = sizes.select(*keys, F.ceil(F.col("_size") / block_items).cast("int").alias("_blocks"))
+    placed = members.join(sizes, keys).withColumn("_block", F.pmod(F.xxhash64(item), "_blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    met = placed.select(*keys, item, "_block", other.alias("_other")).select(
+        *keys, item, "_block", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j")
     )
-    after = F.slice("_items", F.col("_first") + F.col("pos") + 2, F.size("_items"))
-    return leading.select(*keys, F.col("col").alias("item_a"), F.explode(after).alias("item_b"))
+    left = F.collect_list(F.when(F.col("_block") == F.col("_i"), F.col(item)))
+    right = F.collect_list(F.when(F.col("_block") > F.col("_i"), F.col(item)))
+    return met.groupBy(*keys, "_i", "_j").agg(F.array_sort(left).alias("_left"), right.alias("_right"))
+
+
+def _pairs(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs ``item_a < item_b`` of each basket, each from the one pair of blocks that holds it."""
+    leading = blocks.select(*keys, "_i", "_j", "_left", "_right", F.posexplode("_left").alias("_pos", "_x"))
+    after = F.slice("_left", F.col("_pos") + 2, F.size("_left"))
+    partners = F.when(F.col("_i") == F.col("_j"), after).otherwise(F.col("_right"))
+    pairs = leading.select(*keys, "_x", F.explode(partners).alias("_y"))
+    return pairs.select(*keys, F.least("_x", "_y").alias("item_a"), F.greatest("_x", "_y").alias("item_b"))
 
 
 def co_occurrence(
@@ -44,25 +82,19 @@ def co_occurrence(
     basket key among them, e.g. distinct days).
 
     * ``items`` (optional, one column named ``item``) restricts the items, like
-      an inner join to an item dimension would; it is applied to the rows
-      before anything is shuffled.
-    * Each basket's distinct items are gathered once: a sorted ``collect_set``,
-      combined map-side, however many rows the basket has. An array holds the
-      distinct items of one basket.
-    * A basket's leading items are cut into blocks of ``block_items``, which
-      are dealt out over tasks by basket and block; each leading item is paired
-      with the items after it, row by row. Every pair is formed once, a task
-      holds one basket's items and never its pairs, and a basket of ``k`` items
-      is the work of ``k / block_items`` rows. Ordinary baskets are one block;
-      the plan is the same for all.
+      an inner join to an item dimension would. Null items and baskets with a
+      null key form no pairs, as in a join.
+    * Items below the support go first (``frequent_members``).
+    * The rest of each basket is cut into blocks by the items' hashes, and pairs
+      are formed per pair of blocks (``basket_blocks``), row by row: a hot
+      basket is spread over tasks by basket and pair of blocks. The plan is the
+      same for all baskets, and every pair of a basket is formed once.
     * Pairs are counted per task first: with ``distinct_key`` per pair and key
       value, else per pair.
     """
     keys = list(basket_keys)
-    rows = baskets.select(*keys, item)
-    if items is not None:
-        rows = rows.join(items.select(item), item, "left_semi")
-    pairs = _pairs(rows, keys, item, block_items)
+    members = frequent_members(baskets, keys, item, min_support, items)
+    pairs = _pairs(basket_blocks(members, keys, item, block_items), keys)
     together = F.col("together") >= min_support
     if distinct_key is None:
         return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("together")).filter(together)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from decimal import Decimal
 
 from pyspark import StorageLevel
@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import band, count_if, int_avg, lookup
-from shelfwise.operators import co_occurrence, cumulative_share, facts_on_days, with_store
+from shelfwise.operators import co_occurrence, cumulative_share, facts_on_days, with_distinct_counts
 from shelfwise.operators.basket import BLOCK_ITEMS
 from shelfwise.plans.stock import DateLike
-from shelfwise.session import scratch_root
 from shelfwise.sources.star import Star
 from shelfwise.plans.labels import ABC_CLASSES, ABC_STRATEGY, AFFINITY, BUNDLE, PERFORMANCE
 
@@ -90,19 +89,22 @@ def abc_summary(abc: DataFrame) -> DataFrame:
     )
 
 
-def abc_table(star: Star, **kwargs) -> DataFrame:
-    """The classification as a written table in the shared scratch folder, made once per star and arguments.
+def abc_table(star: Star, replace: bool = False, **kwargs) -> DataFrame:
+    """The classification as a staged table, written once per star and arguments.
 
     It takes the place of the original's temp table: both reports read it, and
-    a lost executor reads the files again.
+    a lost executor reads the files again. ``replace`` writes it anew in place of
+    the one before, as a second run of the original does (``DROP TABLE`` if it
+    exists, then ``SELECT INTO``); it belongs to the star and goes with
+    ``star.close()``.
     """
-    key = ("abc", *sorted((name, str(value)) for name, value in kwargs.items()))
-    if key not in star.resolved:
-        path = f"{scratch_root(star.spark)}/shelfwise-abc/{uuid.uuid4().hex}"
-        abc = abc_classification(star, **kwargs)
-        abc.write.parquet(path)
-        star.resolved[key] = star.spark.read.schema(abc.schema).parquet(path)
-    return star.resolved[key]
+    # The reference day is part of the name as the day it stands for now: now() moves on.
+    day = star.spark.sql("SELECT 1").select(star.as_of(kwargs.get("as_of")).cast("date")).first()[0]
+    given = sorted((name, value) for name, value in kwargs.items() if name != "as_of")
+    key = f"abc_{str(day).replace('-', '')}_{zlib.crc32(repr(given).encode()):08x}"
+    if replace or key not in star.staged:
+        return star.staged.replace(key, abc_classification(star, **{**kwargs, "as_of": day}))
+    return star.staged.table(key)
 
 
 def abc_reports(star: Star, **kwargs) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -121,8 +123,8 @@ def product_affinity(
 ) -> DataFrame:
     """Top product pairs sold at the same store on the same day (each store-day is a basket).
 
-    ``block_items``: pairs are formed for so many items of a store-day at a
-    time, spread over tasks (see ``co_occurrence``).
+    ``block_items``: pairs are formed between blocks of about so many items of
+    a store-day, spread over tasks (see ``co_occurrence``).
     """
     sold = star.fact.filter(F.col("Units_Sold") > 0).select("Date_SK", "Store_SK", "Product_SK")
     # The reference joins both products to Dim_Product (inner): unknown keys never form a pair.
@@ -161,8 +163,10 @@ def product_affinity(
 def regional_efficiency(star: Star, as_of: DateLike = None, window_days: int = 30) -> DataFrame:
     """Regional KPIs over the window: turnover, stockout rate, revenue per store, rating and ranks.
 
-    The window's rows are combined per store and product first, so that the
-    two distinct counts see one row per pair.
+    The window's rows are combined per store and product first; both distinct
+    counts then come from bitmaps (``with_distinct_counts``), in one pass over
+    the pairs. Stores are counted by id, as in the original: a store id that
+    several keys share is numbered by the smallest of them.
     """
     start = F.date_sub(star.as_of(as_of), window_days)
     per_pair = (
@@ -171,20 +175,26 @@ def regional_efficiency(star: Star, as_of: DateLike = None, window_days: int = 3
         .agg(
             F.sum("Inventory_Level").alias("_stock"),
             F.sum("Units_Sold").alias("_units"),
-            F.sum(F.col("Units_Sold") * F.col("Price")).alias("_sales"),
+            F.sum(F.col("Units_Sold") * F.col("Price")).cast("decimal(31,2)").alias("_sales"),
             count_if(F.col("Inventory_Level") == 0).alias("_empty"),
             F.count(F.lit(1)).alias("_rows"),
         )
     )
-    rows = with_store(per_pair, star, "Store_ID", "Region")
-    metrics = rows.groupBy("Region").agg(
-        F.count_distinct("Store_ID").alias("Number_of_Stores"),
-        F.count_distinct("Product_SK").alias("Unique_Products"),
-        F.sum("_stock").alias("Total_Inventory_Units"),
-        F.sum("_units").alias("Total_Units_Sold"),
-        F.sum("_sales").cast("decimal(31,2)").alias("_revenue"),
-        F.sum("_empty").alias("_stockouts"),
-        F.sum("_rows").alias("_records"),
+    numbers = star.store.groupBy("Store_ID").agg(F.min("Store_SK").alias("_store"))
+    stores = star.store.select("Store_SK", "Store_ID", "Region").join(numbers, "Store_ID", "left")
+    rows = per_pair.join(stores.select("Store_SK", "Region", "_store"), "Store_SK")
+    total = lambda name: (F.sum(name), F.sum)
+    metrics = with_distinct_counts(
+        rows,
+        ["Region"],
+        {"Number_of_Stores": "_store", "Unique_Products": "Product_SK"},
+        {
+            "Total_Inventory_Units": total("_stock"),
+            "Total_Units_Sold": total("_units"),
+            "_revenue": (F.sum("_sales").cast("decimal(31,2)"), F.sum),
+            "_stockouts": total("_empty"),
+            "_records": total("_rows"),
+        },
     )
     stores = F.col("Number_of_Stores")
     inventory = F.col("Total_Inventory_Units")

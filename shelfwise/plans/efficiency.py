@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import band, exact_mean, exact_ratio, int_avg
-from shelfwise.operators import facts_on_days, latest_per_key, with_product, with_store, with_store_product
+from shelfwise.operators import (
+    facts_on_days,
+    latest_per_key,
+    with_distinct_counts,
+    with_product,
+    with_store,
+    with_store_product,
+)
 from shelfwise.operators.latest import day_order
 from shelfwise.plans.stock import DateLike, _value_by_region_category
 from shelfwise.sources.star import Star
@@ -59,23 +66,24 @@ def inventory_turnover(
 def days_on_hand(star: Star) -> DataFrame:
     """Stock-weighted days of inventory on hand by region and category, whole history.
 
-    The number of days per product x store is ``COUNT(DISTINCT Date_SK)``,
-    which makes Spark shuffle one row per (product, store, day), i.e. the whole
-    fact. When the grain is known to be unique (``Star.unique_grain``: set for
-    stars built by a group-by on the grain, or counted by
-    :func:`~shelfwise.sources.star.checked_grain`) rows are counted instead:
-    the same number, with the aggregation combined map-side.
+    The number of days per product x store is ``COUNT(DISTINCT Date_SK)``. It
+    is taken from bitmaps of days (``with_distinct_counts``), so the fact's rows
+    are combined map-side whatever its grain, repeated grain rows included.
     """
-    days = F.count("Date_SK") if star.unique_grain else F.count_distinct("Date_SK")
-    per_pair = (
-        star.fact.groupBy("Product_SK", "Store_SK")
-        .agg(
-            F.avg(F.col("Inventory_Level").cast("decimal(10,2)")).alias("Avg_Stock"),
-            F.sum(F.col("Units_Sold")).alias("Total_Sold"),
-            days.alias("Num_Days"),
-        )
-        .filter(F.col("Total_Sold") > 0)
-    )
+    level = F.col("Inventory_Level").cast("decimal(10,2)")
+    per_pair = with_distinct_counts(
+        star.fact,
+        ["Product_SK", "Store_SK"],
+        {"Num_Days": "Date_SK"},
+        {
+            "_levels": (F.sum(level), F.sum),
+            "_leveled": (F.count("Inventory_Level"), F.sum),
+            "Total_Sold": (F.sum("Units_Sold"), F.sum),
+        },
+    ).filter(F.col("Total_Sold") > 0)
+    # AVG of a decimal(10,2), from its sum and count.
+    mean = F.col("_levels") / F.nullif(F.col("_leveled"), F.lit(0)).cast("decimal(20,0)")
+    per_pair = per_pair.withColumn("Avg_Stock", mean.cast("decimal(14,6)"))
     rows = with_store(with_product(per_pair, star, "Category"), star, "Region")
     days = F.sum(F.col("Avg_Stock") * F.col("Num_Days")) / F.nullif(F.sum("Total_Sold"), F.lit(0))
     return (

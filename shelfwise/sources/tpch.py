@@ -8,14 +8,12 @@ level and forecast are synthetic because the source tables hold neither.
 from __future__ import annotations
 
 import threading
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.session import scratch_root
-from shelfwise.sources.star import Star, write_star
+from shelfwise.sources.star import Star, stage_star
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -101,7 +99,7 @@ def derive_star(spark: SparkSession, sf_dir: str) -> Star:
         F.max(F.when(F.col("ship_month").isin(11, 12), 1).otherwise(0)).cast("int").alias("Holiday_Promotion"),
     )
     # The fact is a group-by on the grain, so the grain is unique by construction.
-    return Star(fact=fact, store=store, product=product, date=date, unique_grain=True)
+    return Star(fact=fact, store=store, product=product, date=date)
 
 
 _CACHE: dict[tuple[str, str], Star] = {}
@@ -109,19 +107,26 @@ _LOCK = threading.Lock()
 
 
 def load_star(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Star:
-    """Star for ``sf_dir``; by default written once per session to the shared scratch folder.
+    """Star for ``sf_dir``; by default staged once per session in the shared scratch folder.
 
-    Writing cuts the lineage (a lost executor re-reads Parquet instead of
-    re-running the fact build) and gives the planner file-size statistics, so
-    the broadcast decision for each dimension is a real size check.
+    Staging cuts the lineage (a lost executor re-reads Parquet instead of
+    re-running the fact build) and gives the planner file sizes, so the
+    broadcast decision for each dimension is a real size check. The tables go
+    with ``star.close()`` or :func:`release_stars`; a closed star is staged anew.
     """
     if not materialize:
         return derive_star(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
     with _LOCK:
         star = _CACHE.get(key)
-        if star is None:
-            path = f"{scratch_root(spark).rstrip('/')}/shelfwise-star/{uuid.uuid4().hex}"
-            star = write_star(derive_star(spark, sf_dir), path)
+        if star is None or star.stage.closed:
+            star = stage_star(derive_star(spark, sf_dir))
             _CACHE[key] = star
     return star
+
+
+def release_stars(spark: SparkSession) -> None:
+    """Close all stars that :func:`load_star` staged in this session, with what analyses staged for them."""
+    with _LOCK:
+        for key in [k for k in _CACHE if k[0] == spark.sparkContext.applicationId]:
+            _CACHE.pop(key).close()

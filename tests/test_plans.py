@@ -57,26 +57,45 @@ def test_fact_scan_reads_only_needed_columns(star):
     assert "ReadSchema: struct<Store_SK:int,Product_SK:bigint,Units_Sold:int,Price:decimal(10,2)>" in text
 
 
-def test_basket_pairs_read_the_fact_once_without_broadcasts():
-    """With broadcasting disabled (very large inputs) q23 still scans the fact once and has no self-join."""
+def _final_plan(df) -> str:
+    """The plan that ran, with the exchanges that adaptive execution used again."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.split("== Initial Plan ==")[0]
+
+
+def _fact_scans(text: str) -> int:
+    return len(re.findall(r"FileScan parquet \S*\.fact__\w+", text))
+
+
+@pytest.mark.parametrize("broadcast", [str(64 * 1024 * 1024), "-1"])
+def test_basket_pairs_read_the_fact_once(broadcast):
+    """q23 needs its distinct basket lines twice (supports, pairs): they are shuffled once and the fact is read once."""
     spark = build_session(master="local[4]", shuffle_partitions=8)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
-        star = load_star(spark, f"{TESTDATA}/sf0.001")
-        text = plan_text(ANALYSES["q23_product_affinity"](star))
-        fact_reads = [line for line in text.splitlines() if line.startswith("ReadSchema: struct<Date_SK:int,Store_SK:int")]
-        assert len(fact_reads) == 1, fact_reads
-        assert not re.search(r"^Left keys \[\d+\]: \[Date_SK", text, re.M)  # no join on the basket keys
+        star = load_star(spark, f"{TESTDATA}/sf0.01")
+        text = _final_plan(ANALYSES["q23_product_affinity"](star))
+        assert _fact_scans(text) == 1, text
+        assert "ReusedExchange" in text
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(64 * 1024 * 1024))
 
 
+def test_distinct_counts_need_no_expand(star):
+    for key in ("q09_days_on_hand", "q24_regional_efficiency", "q26_supplier_scorecard"):
+        text = plan_text(ANALYSES[key](star))
+        assert "Expand" not in text and "distinct" not in text.split("(1)")[0], key
+
+
 @pytest.mark.parametrize("key", sorted(ANALYSES))
 def test_each_analysis_scans_the_fact_once(star, key):
+    if key == "q23_product_affinity":
+        return  # a branch per use of its one shuffle before it runs: see above
     text = plan_text(ANALYSES[key](star, **entry_mod.PARAMS.get(key, {})))
     # q20-q22 read the written classification, whose one scan ran when it was made.
     scans = 0 if key[:3] in ("q20", "q21", "q22") else 1
-    assert len(re.findall(r"^Location: InMemoryFileIndex \[[^\]]*/fact\]", text, re.M)) == scans
+    assert len(re.findall(r"^Location: InMemoryFileIndex \[[^\]]*/fact__\w+\]", text, re.M)) == scans
 
 
 def test_window_rows_are_combined_before_the_product_join(spark):
@@ -89,7 +108,6 @@ def test_window_rows_are_combined_before_the_product_join(spark):
             joins = [i for i, line in enumerate(tree) if "SortMergeJoin" in line]
             aggregates = [i for i, line in enumerate(tree) if "HashAggregate" in line]
             assert joins and any(i > joins[0] for i in aggregates), key
-            expands = [i for i, line in enumerate(tree) if " Expand" in line]
-            assert all(any(a > e for a in aggregates) and e < joins[0] for e in expands), key
+            assert not any(" Expand" in line for line in tree), key
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(64 * 1024 * 1024))
