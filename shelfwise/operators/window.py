@@ -31,25 +31,36 @@ def facts_on_days(
     The join to the calendar decides membership, exactly as the reference's
     ``JOIN Dim_Date ... WHERE dd.Date >= ...``. Before it, the fact is also
     filtered on ``Date_SK`` between the smallest and (when ``end`` is given)
-    the largest key of the chosen days, read from the calendar (one small job,
-    remembered per star) when the query is built. That filter never drops a
-    matching row, and as a comparison with literals it reaches the Parquet
-    scan (``PushedFilters``): files, row groups and, when the fact is
-    partitioned by day, whole directories outside the window are skipped at
-    planning time.
+    the largest key of the chosen days, read from the calendar. The bounds are
+    literals, found by one small job that is remembered per star, or, with a
+    deferred star, scalar subqueries: then nothing runs while a query is built.
+    Either way they reach the Parquet scan as values, so files and row groups
+    outside of the window are skipped, and whole directories when the fact is
+    partitioned by day. The filter never drops a matching row.
 
     The calendar holds one row per day; the planner broadcasts it by its size.
     """
-    days = calendar(star, start, end).select("Date_SK", *date_cols)
+    days = calendar(star, start, end)
     fact = star.fact
     if start is not None or end is not None:
-        # Remembered under the days that the bounds stand for now: an expression such as now() moves on.
-        bounds = [F.lit(None) if bound is None else bound.cast("date") for bound in (start, end)]
-        key = ("date_sk_range", *star.spark.sql("SELECT 1").select(*bounds).first())
-        if key not in star.resolved:
-            star.resolved[key] = tuple(days.agg(F.min("Date_SK"), F.max("Date_SK")).first())
-        lo, hi = star.resolved[key]
-        fact = fact.filter(F.col("Date_SK") >= F.lit(lo))
+        lo, hi = _subqueries(days) if star.lazy else _literals(star, days, start, end)
+        fact = fact.filter(F.col("Date_SK") >= lo)
         if end is not None:
-            fact = fact.filter(F.col("Date_SK") <= F.lit(hi))
-    return fact.join(days, "Date_SK")
+            fact = fact.filter(F.col("Date_SK") <= hi)
+    return fact.join(days.select("Date_SK", *date_cols), "Date_SK")
+
+
+def _literals(star: Star, days: DataFrame, *bounds: Column | None) -> tuple[Column, Column]:
+    # Remembered under the days that the bounds stand for now: an expression such as now() moves on.
+    bounds = [F.lit(None) if bound is None else bound.cast("date") for bound in bounds]
+    key = ("date_sk_range", *star.spark.sql("SELECT 1").select(*bounds).first())
+    if key not in star.resolved:
+        star.resolved[key] = tuple(days.agg(F.min("Date_SK"), F.max("Date_SK")).first())
+    lo, hi = star.resolved[key]
+    return F.lit(lo), F.lit(hi)
+
+
+def _subqueries(days: DataFrame) -> tuple[Column, Column]:
+    # Not min() and max(): Spark would merge them into one subquery of two values, which scans cannot take.
+    latest = days.select("Date_SK").orderBy(F.col("Date_SK").desc()).limit(1)
+    return days.agg(F.min("Date_SK")).scalar(), latest.scalar()

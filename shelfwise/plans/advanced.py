@@ -99,7 +99,9 @@ def abc_table(star: Star, replace: bool = False, **kwargs) -> DataFrame:
     ``star.close()``.
     """
     # The reference day is part of the name as the day it stands for now: now() moves on.
-    day = star.spark.sql("SELECT 1").select(star.as_of(kwargs.get("as_of")).cast("date")).first()[0]
+    day = star.last_day
+    if kwargs.get("as_of") is not None:
+        day = star.spark.sql("SELECT 1").select(star.as_of(kwargs["as_of"]).cast("date")).first()[0]
     given = sorted((name, value) for name, value in kwargs.items() if name != "as_of")
     key = f"abc_{str(day).replace('-', '')}_{zlib.crc32(repr(given).encode()):08x}"
     if replace or key not in star.staged:

@@ -70,19 +70,18 @@ def days_on_hand(star: Star) -> DataFrame:
     is taken from bitmaps of days (``with_distinct_counts``), so the fact's rows
     are combined map-side whatever its grain, repeated grain rows included.
     """
-    level = F.col("Inventory_Level").cast("decimal(10,2)")
     per_pair = with_distinct_counts(
         star.fact,
         ["Product_SK", "Store_SK"],
         {"Num_Days": "Date_SK"},
         {
-            "_levels": (F.sum(level), F.sum),
+            "_levels": (F.sum("Inventory_Level"), F.sum),
             "_leveled": (F.count("Inventory_Level"), F.sum),
             "Total_Sold": (F.sum("Units_Sold"), F.sum),
         },
     ).filter(F.col("Total_Sold") > 0)
     # AVG of a decimal(10,2), from its sum and count.
-    mean = F.col("_levels") / F.nullif(F.col("_leveled"), F.lit(0)).cast("decimal(20,0)")
+    mean = F.col("_levels").cast("decimal(20,2)") / F.nullif(F.col("_leveled"), F.lit(0)).cast("decimal(20,0)")
     per_pair = per_pair.withColumn("Avg_Stock", mean.cast("decimal(14,6)"))
     rows = with_store(with_product(per_pair, star, "Category"), star, "Region")
     days = F.sum(F.col("Avg_Stock") * F.col("Num_Days")) / F.nullif(F.sum("Total_Sold"), F.lit(0))

@@ -28,6 +28,8 @@ class Star:
     date: DataFrame
     # The owner of the star's tables, if it was staged, and of what analyses stage for it.
     stage: Stage | None = None
+    # Whether values from the calendar stay scalar subqueries (see ``deferred``).
+    lazy: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -43,6 +45,16 @@ class Star:
         """Scalars derived from the calendar (e.g. a window's first date key), kept per star."""
         return {}
 
+    def deferred(self) -> Star:
+        """The star with its calendar's scalars left in the plans, so that building an analysis runs no job.
+
+        The reference day and the bounds of a window are then scalar subqueries,
+        which Spark computes when the query runs and hands to the scan. By
+        default they are resolved once per star by small jobs on the calendar
+        and are literals in every plan: each query then starts without them.
+        """
+        return replace(self, lazy=True)
+
     @cached_property
     def staged(self) -> Stage:
         """Where analyses stage their tables: the star's own stage, or one made on first use."""
@@ -52,7 +64,6 @@ class Star:
         """Drop the tables that belong to the star: its own, if it was staged, and what analyses staged for it."""
         if self.stage or "staged" in self.__dict__:
             self.staged.close()
-        self.resolved.clear()
 
     def __enter__(self) -> Star:
         return self
@@ -63,12 +74,11 @@ class Star:
     def as_of(self, as_of: dt.date | str | Column | None = None) -> Column:
         """The reference date of an analysis: given, or the last calendar day.
 
-        It is a literal rather than a scalar subquery, so every filter derived
-        from it is known when the query is planned (static pruning, no
-        subquery jobs inside each analysis).
+        The default is a literal, resolved once per star, or with a deferred
+        star the scalar subquery ``(SELECT MAX(Date) FROM Dim_Date)``.
         """
         if as_of is None:
-            return F.lit(self.last_day)
+            return self.date.agg(F.max("Date")).scalar() if self.lazy else F.lit(self.last_day)
         if isinstance(as_of, Column):
             return as_of
         return F.lit(as_of).cast("date")

@@ -169,7 +169,7 @@ def test_one_basket_with_most_rows_is_dealt_out_in_blocks(spark):
 
 def test_support_prunes_before_pairs_and_no_block_holds_a_basket(spark):
     """One basket of 50,000 items: only its frequent items form pairs; unpruned, its blocks stay small."""
-    from shelfwise.operators.basket import basket_blocks, frequent_members
+    from shelfwise.operators.basket import basket_blocks, distinct_members
 
     hot = spark.range(50_000).select(F.lit(0).alias("day"), F.col("id").alias("item"))
     others = spark.range(1, 6).crossJoin(spark.range(0, 50_000, 2500).withColumnRenamed("id", "item"))
@@ -178,9 +178,9 @@ def test_support_prunes_before_pairs_and_no_block_holds_a_basket(spark):
     frequent = list(range(0, 50_000, 2500))
     assert got == {pair: 6 for pair in itertools.combinations(frequent, 2)}
 
-    whole = basket_blocks(frequent_members(hot, ["day"], "item", 1), ["day"], "item", 2048)
-    sizes = whole.select(F.size("_left"), F.size("_right")).collect()
-    assert len(sizes) == 25 * 26 // 2 and max(max(s) for s in sizes) < 2400
+    whole = basket_blocks(distinct_members(hot, ["day"], "item"), ["day"], "item", 2048)
+    sizes = whole.groupBy("_i", "_j").count().collect()
+    assert len(sizes) == 25 * 26 // 2 and max(r["count"] for r in sizes) < 2 * 2400
 
 
 def test_co_occurrence_null_items_and_baskets_form_no_pairs(spark):

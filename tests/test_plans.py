@@ -46,6 +46,33 @@ def test_window_bound_is_pushed_to_the_fact_scan(star, key):
     assert "GreaterThanOrEqual(Date_SK," in text
 
 
+@pytest.mark.parametrize("key", WINDOWED)
+def test_window_bound_is_a_subquery_whose_value_reaches_the_scan(star, key):
+    """A deferred star: the bounds are computed when the query runs and handed to the Parquet scan."""
+    text = plan_text(ANALYSES[key](star.deferred()))
+    assert "GreaterThanOrEqual(Date_SK,ScalarSubquery" in text
+    day = key in ("q01_stock_status_current", "q02_stock_by_region_category")
+    assert ("LessThanOrEqual(Date_SK,ScalarSubquery" in text) == day
+
+
+@pytest.mark.parametrize("key", sorted(k for k in ANALYSES if k[:3] not in ("q20", "q21", "q22")))
+def test_building_an_analysis_runs_no_job(spark, star, key):
+    deferred, group = star.deferred(), f"build-{key}"
+    spark.sparkContext.setJobGroup(group, key)
+    try:
+        ANALYSES[key](deferred, **entry_mod.PARAMS.get(key, {}))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 0
+    finally:
+        spark.sparkContext.setJobGroup("tests", "")
+
+
+@pytest.mark.parametrize("key", sorted(ANALYSES))
+def test_a_deferred_star_gives_the_same_rows(star, key):
+    args = entry_mod.PARAMS.get(key, {})
+    eager, lazy = (sorted(map(str, ANALYSES[key](s, **args).collect())) for s in (star, star.deferred()))
+    assert eager == lazy
+
+
 def test_small_dimensions_are_broadcast(star):
     text = plan_text(ANALYSES["q14_revenue_by_region_category"](star))
     assert len(re.findall(r"^\(\d+\) BroadcastHashJoin", text, re.M)) == 2
