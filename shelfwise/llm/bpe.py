@@ -48,8 +48,8 @@ from shelfwise.llm.common import sliced
 
 SHORT = 48  # bytes; longer words take the heap
 CELLS = 1 << 19  # parts of the words that are worked on at a time
-MEMO_CHUNKS = 250_000  # in each of the two generations that a Python worker remembers
-MEMO_WORDS = 200_000
+MEMO_CHUNKS = 500_000  # in each of the two generations that a Python worker remembers
+MEMO_WORDS = 150_000
 SECTION = 1 << 20  # characters of a text worked on at a time
 GROUP = 1 << 21  # characters of several texts worked on at a time
 ROWS = 2048  # of a batch taken at a time
