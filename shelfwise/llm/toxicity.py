@@ -372,11 +372,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, scratch
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, scratch: str | None = None) -> DataFrame:
-    """``docs`` without the documents that score at least ``threshold``, with all columns."""
+    """``docs`` without the documents that score at least ``threshold``, with all columns.
+
+    Without a model (labels of one class only, or of none of the documents) no document is told from another: all stay.
+    """
     plain = _with_digests(docs.select("doc_id", "text"))
     model = fit(plain, labels, scratch)
     if model.ratios is None:
-        return docs if model.share < threshold else docs.limit(0)
+        return docs
     rejected = model.scores(plain).filter(F.col("score") >= threshold)
     rejected = small_side(keep(rejected.select("h1", "h2"), "toxic", scratch))
     # Named so that input columns may have any names.

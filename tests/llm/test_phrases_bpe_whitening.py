@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.llm import bpe, collocations, queries, whitening
+from shelfwise.llm import bpe, collocations, queries, toxicity, whitening
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -326,3 +326,12 @@ def test_collocations_awkward(spark):
     assert got == _collocations_by_hand([(r["lang"], r["text"]) for r in docs.collect()], 2, 50)
     assert collocations.collocations(docs.filter("false")).count() == 0
     assert collocations.collocations(docs.withColumn("text", F.lit(None).cast("string"))).count() == 0
+
+
+# -- 6: without a model --------------------------------------------------------------------
+
+
+def test_labels_of_one_class_reject_no_document(spark):
+    docs = spark.createDataFrame([(i, f"a clean text about number {i}") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in (1, 2, 4)], "doc_id long, quality int, toxic int")
+    assert toxicity.drop_toxic(docs, labels).count() == 30
