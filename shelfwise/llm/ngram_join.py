@@ -11,11 +11,14 @@ One tree over everything would compare every document with all others of its
 size. The roots of the forest split the points without losing a link: two sets
 that reach the threshold differ in at most ``r`` n-grams, where r follows from
 the size. The hash space is cut into more than r cells, so at least one cell
-holds the same n-grams of both. A root is such a cell with its exact content,
-and a document is entered under the roots of all its cells; linked documents
-meet under at least one. (Cells that are empty prove nothing. The number of
-cells is chosen so that more than r are filled; a document for which chance
-left fewer also enters its empty ones.)
+holds the same n-grams of both. A root is such a cell with its exact content.
+Of two linked documents at most r cells differ, so with the roots in one order
+for all documents, each document's first r + 1 have at least one that both have:
+a document is entered under those, and its own size and the largest partner's
+give r. The order is by the number of n-grams in the cell, largest first, as
+unrelated documents meet in cells that hold little but a common passage. (Cells
+that are empty prove nothing. The number of cells is chosen so that more than r
+are filled; a document for which chance left fewer also enters its empty ones.)
 
 Joining a tree:
 
@@ -24,7 +27,9 @@ Joining a tree:
    mostly connected by this, at one comparison per document and root;
 2. the points under a root are packed into leaves, in the order of their size
    and coordinates, and leaves are joined with leaves: bounding boxes first,
-   then points. Pairs that step 1 already connected need no comparison.
+   then points. Pairs that step 1 already connected need no comparison, and a
+   pair is taken under the smallest key that both have, as far as the smallest
+   keys of both, which the points carry, show it.
 
 All exact copies of a set are one point, so groups of copies cost nothing. No
 pair that could reach the threshold is left out, unless both are in one
@@ -59,6 +64,7 @@ GROWTH = 1.5  # largest size of a level over that of the level below
 COARSE = 64  # groups of the points in the trees; pairs that pass are bounded once more on their fine points
 LEAF = 64  # points per leaf
 LEAF_PAIRS = 64  # pairs of leaves opened at a time
+LOWS = 8  # smallest keys that a point carries, to see whether a pair meets under a smaller key too
 CHUNK = 128  # documents verified beside one centre in one go
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -129,25 +135,40 @@ def _levels(size: int, threshold: tuple[int, int]) -> Iterator[int]:
 
 
 def root_keys(grams: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
-    """Keys (32 bits) of the roots of a set. A chance meeting of keys only costs a comparison."""
+    """Keys (64 bits: chance meetings, which grow with the square of the corpus, stay out) of the roots of a set."""
     out = []
-    if largest_difference(len(grams), len(grams) * threshold[1] // threshold[0], threshold) == 0:
-        return np.empty(0, dtype=np.int32)  # too small for any difference
-    for number in _levels(len(grams), threshold):
-        _, _, r, cells = _level(number, threshold)
-        if r == 0:  # only equal sets can be linked here
+    t, whole = threshold
+    size = len(grams)
+    if largest_difference(size, size * whole // t, threshold) == 0:
+        return np.empty(0, dtype=np.int64)  # too small for any difference
+    for number in _levels(size, threshold):
+        _, top, r, cells = _level(number, threshold)
+        most = largest_difference(size, min(top, size * whole // t), threshold)
+        if r == 0 or most == 0:  # only equal sets can be linked here
             continue
         cell = ((grams >> np.uint64(20)) % np.uint64(cells)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
-        filled, starts = np.unique(cell[order], return_index=True)
+        filled, starts, held = np.unique(cell[order], return_index=True, return_counts=True)
         content = np.add.reduceat(_mix(grams[order]), starts)
-        if len(filled) <= r:
+        enough = len(filled) > most
+        if not enough:
             missing = np.setdiff1d(np.arange(cells), filled)
             filled = np.concatenate([filled, missing])
             content = np.concatenate([content, np.zeros(len(missing), dtype=np.uint64)])
         place = np.array([number + 1], dtype=np.uint64) * _ODD[2] + filled.astype(np.uint64) * _ODD[0]
-        out.append((_mix(content + place) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-    return np.concatenate(out) if out else np.empty(0, dtype=np.int32)
+        keys = _mix(content + place)
+        if enough:
+            keys = keys[np.lexsort((keys, -held))[: most + 1]]
+        out.append(keys.view(np.int64))
+    return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
+
+
+def lowest(keys: np.ndarray) -> bytes:
+    """The smallest keys of a document, filled up with the largest number there is."""
+    out = np.full(LOWS, np.iinfo(np.int64).max, dtype="<i8")
+    low = np.sort(keys)[:LOWS]
+    out[: len(low)] = low
+    return out.tobytes()
 
 
 # -- points --------------------------------------------------------------------
@@ -193,6 +214,7 @@ def _describe(words: int, threshold: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sets = [ngram_set(t, words) for t in batch.column("text").to_pylist()]
+            keys = [root_keys(s, threshold) for s in sets]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -201,9 +223,10 @@ def _describe(words: int, threshold: tuple[int, int]):
                     pa.array(digests, pa.binary()),
                     pa.array([count_vector(s, COARSE) for s in sets], pa.binary()),
                     pa.array([count_vector(s, fine_groups(len(s))) for s in sets], pa.binary()),
-                    pa.array([root_keys(s, threshold) for s in sets], pa.list_(pa.int32())),
+                    pa.array(keys, pa.list_(pa.int64())),
+                    pa.array([lowest(k) for k in keys], pa.binary()),
                 ],
-                ["doc_id", "n", "digest", "point", "fine", "keys"],
+                ["doc_id", "n", "digest", "point", "fine", "keys", "lows"],
             )
 
     return run
@@ -229,7 +252,7 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not shared[-1]:
             held_key, held_doc = keys[-1], docs[-1]
         open_key = int(keys[-1]) if shared[-1] else None
-        yield pa.RecordBatch.from_arrays([pa.array(keys[shared], pa.int32()), pa.array(docs[shared], pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[shared], pa.int64()), pa.array(docs[shared], pa.int64())], names)
 
 
 def _bounded(threshold: tuple[int, int]):
@@ -248,18 +271,32 @@ def _bounded(threshold: tuple[int, int]):
 
 
 TREE = (
-    "a long, b long, key int, leaf long, docs binary, components binary, sizes binary, points binary, "
-    "n_min long, n_max long"
+    "a long, b long, key long, leaf long, docs binary, components binary, sizes binary, points binary, "
+    "lows binary, n_min long, n_max long"
 )
 
 
-def _pairs_within(docs, components, sizes, points, threshold) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one leaf that are not connected yet and that the summed minima allow."""
+def _first_meeting(key: int, lows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of pairs that meet under ``key``, with their lowest keys row by row: those not seen to meet under a smaller one.
+
+    A pair that is not connected yet is compared under each key that both have, so the smallest one is enough.
+    """
+    out = np.empty(len(lows), dtype=bool)
+    for i in range(0, len(lows), 4096):
+        a, b = lows[i : i + 4096], others[i : i + 4096]
+        out[i : i + 4096] = ~((a[:, :, None] == b[:, None, :]) & (a[:, :, None] < key)).any(axis=(1, 2))
+    return out
+
+
+def _pairs_within(key, docs, components, sizes, points, lows, threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one leaf that are not connected yet, that the summed minima allow and that no smaller key has."""
     i, j = np.triu_indices(len(docs), 1)
     apart = components[i] != components[j]
     i, j = i[apart], j[apart]
     shared = np.minimum(points[i], points[j]).sum(axis=1)
     ok = reaches(shared, sizes[i], sizes[j], threshold)
+    i, j = i[ok], j[ok]
+    ok = _first_meeting(key, lows[i], lows[j])
     return docs[i[ok]], docs[j[ok]]
 
 
@@ -271,11 +308,12 @@ def _trees(threshold: tuple[int, int], size: int):
     partition, becomes leaves of up to ``size`` points: the other columns.
     """
     columns = [c.split()[0] for c in TREE.split(", ")]
+    numbers = {c.split()[0] for c in TREE.split(", ") if c.endswith(" long")}
 
-    def leaf(key, docs, components, sizes, points) -> tuple:
+    def leaf(key, docs, components, sizes, points, lows) -> tuple:
         packed = (x.astype("<i8").tobytes() for x in (docs, components, sizes))
         counts = points.astype("<u4" if points.max() >= 1 << 16 else "<u2").tobytes()
-        return (None, None, key, int(docs[0]), *packed, counts, int(sizes.min()), int(sizes.max()))
+        return (None, None, key, int(docs[0]), *packed, counts, lows.tobytes(), int(sizes.min()), int(sizes.max()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, first, cut_key = None, True, None
@@ -287,6 +325,7 @@ def _trees(threshold: tuple[int, int], size: int):
             keys = rest["key"].to_numpy()
             docs, components, sizes = (rest[c].to_numpy() for c in ("doc", "component", "n"))
             points = np.stack([_open_point(p, n) for p, n in zip(rest["point"], sizes)])
+            lows = np.frombuffer(b"".join(rest["lows"]), "<i8").reshape(-1, LOWS)
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             rows: list[tuple] = []
             found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -295,14 +334,14 @@ def _trees(threshold: tuple[int, int], size: int):
                 last = e == len(keys)
                 if last and frame is not None and e - s <= size:
                     break  # it may go on in the next frame
-                part = (docs[s:e], components[s:e], sizes[s:e], points[s:e])
+                part = (docs[s:e], components[s:e], sizes[s:e], points[s:e], lows[s:e])
                 if first or last or e - s > size or keys[s] == cut_key:
                     stop = s + (e - s) // size * size if last and frame is not None else e
                     for i in range(s, stop, size):
-                        rows.append(leaf(int(keys[s]), *(x[i : min(i + size, stop)] for x in (docs, components, sizes, points))))
+                        rows.append(leaf(int(keys[s]), *(x[i : min(i + size, stop)] for x in (docs, components, sizes, points, lows))))
                     done, cut_key = stop, keys[s]
                 else:
-                    found.append(_pairs_within(*part, threshold))
+                    found.append(_pairs_within(keys[s], *part, threshold))
                     done = e
                 first = False
             rest = rest.iloc[done:]
@@ -310,9 +349,9 @@ def _trees(threshold: tuple[int, int], size: int):
                 a, b = (np.concatenate(side) for side in zip(*found))
                 rows += [(int(x), int(y), *[None] * (len(columns) - 2)) for x, y in zip(a, b)]
             if rows:
-                out = pd.DataFrame(rows, columns=columns)
-                numbers = ["a", "b", "key", "leaf", "n_min", "n_max"]
-                yield out.astype(dict.fromkeys(numbers, "Int64"))
+                # Typed one by one: beside nulls, pandas would take whole numbers for doubles and round them.
+                out = {c: list(values) for c, values in zip(columns, zip(*rows))}
+                yield pd.DataFrame({c: pd.array(v, dtype="Int64") if c in numbers else v for c, v in out.items()})
 
     return run
 
@@ -326,18 +365,22 @@ def _with_last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
 def _join_leaves(threshold: tuple[int, int]):
     """Pairs of points of two leaves that are not connected yet and that the summed minima allow."""
 
-    def open_leaf(docs, components, sizes, points):
-        docs, components, sizes = (np.frombuffer(x, "<i8") for x in (docs, components, sizes))
+    def open_leaf(docs, components, sizes, points, lows):
+        docs, components, sizes, lows = (np.frombuffer(x, "<i8") for x in (docs, components, sizes, lows))
         width = len(points) // (len(docs) * COARSE)
-        return docs, components, sizes, np.frombuffer(points, f"<u{width}").reshape(len(docs), COARSE).astype(np.int64)
+        points = np.frombuffer(points, f"<u{width}").reshape(len(docs), COARSE).astype(np.int64)
+        return docs, components, sizes, points, lows.reshape(len(docs), LOWS)
 
     def pairs(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        one = open_leaf(row["docs"], row["components"], row["sizes"], row["points"])
+        one, other = (
+            open_leaf(*(row[f"{c}{side}"] for c in ("docs", "components", "sizes", "points", "lows")))
+            for side in ("", "_2")
+        )
         if row["leaf"] == row["leaf_2"]:
-            yield _pairs_within(*one, threshold)
+            yield _pairs_within(row["key"], *one, threshold)
             return
-        docs_a, of_a, n_a, a = one
-        docs_b, of_b, n_b, b = open_leaf(row["docs_2"], row["components_2"], row["sizes_2"], row["points_2"])
+        docs_a, of_a, n_a, a, low_a = one
+        docs_b, of_b, n_b, b, low_b = other
         box = np.minimum(a.max(axis=0), b.max(axis=0)).sum()
         if not reaches(int(box), int(n_a.min()), int(n_b.min()), threshold):
             return
@@ -345,6 +388,7 @@ def _join_leaves(threshold: tuple[int, int]):
             todo = np.flatnonzero(of_b != of_a[i])
             shared = np.minimum(b[todo], a[i]).sum(axis=1)
             todo = todo[reaches(shared, n_a[i], n_b[todo], threshold)]
+            todo = todo[_first_meeting(row["key"], np.broadcast_to(low_a[i], (len(todo), LOWS)), low_b[todo])]
             yield np.full(len(todo), docs_a[i]), docs_b[todo]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,8 +467,8 @@ def links(
     # A document has many keys, so even a key that a third of the documents carry is a small part of these
     # rows; its run streams through the task.
     runs = entered.repartition("key").sortWithinPartitions("key")
-    shared = keep(runs.mapInArrow(_shared_only, "key int, doc long").distinct(), "roots", scratch)
-    points = keep(distinct_sets.select(F.col("doc_id").alias("doc"), "n", "point"), "points", scratch)
+    shared = keep(runs.mapInArrow(_shared_only, "key long, doc long").distinct(), "roots", scratch)
+    points = keep(distinct_sets.select(F.col("doc_id").alias("doc"), "n", "point", "lows"), "points", scratch)
     fine = sets.select(F.col("doc_id").alias("doc"), "n", "fine")
 
     # The centre of a root is the document with the largest sum of neighbours over its roots.
@@ -448,7 +492,7 @@ def links(
     members = known.join(open_roots.select("key"), "key", "left_semi").join(points, "doc")
     order = ["key", "n", "point", "doc"]
     trees = keep(
-        members.select("key", "doc", "component", "n", "point")
+        members.select("key", "doc", "component", "n", "point", "lows")
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .mapInPandas(_trees(threshold, LEAF), TREE),
@@ -484,7 +528,7 @@ def near_duplicates(
     |union|``; ``component_id`` is the smallest ``doc_id`` that links reach.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n long, digest binary, point binary, fine binary, keys array<int>"
+    schema = "doc_id long, n long, digest binary, point binary, fine binary, keys array<long>, lows binary"
     described = keep(docs.mapInArrow(_describe(words, threshold), schema), "sets", scratch)
     nodes = described.filter("n > 0 and doc_id is not null")
     copies = keep(nodes.groupBy("digest").agg(F.min("doc_id").alias("holder")), "copies", scratch)
