@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.llm.common import sliced
+from shelfwise.llm.tokens import byte_alphabet
 
 SHORT = 48  # bytes; longer words take the heap
 CELLS = 1 << 19  # parts of the words that are worked on at a time
@@ -61,20 +62,13 @@ NO_RANK = np.iinfo(np.int32).max
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _alphabet() -> list[str]:
-    """The character that stands for each byte: itself where it is visible in Latin-1, else the next one from U+0100."""
-    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return [chr(b if b in visible else next(others)) for b in range(256)]
-
-
 class TokenBytes:
     """What decoding needs of a vocabulary file: the bytes of every id."""
 
     def __init__(self, spec: dict):
         ids = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec.get("added_tokens") or []}}
         self.size = max(ids.values()) + 1
-        byte_of = {c: b for b, c in enumerate(_alphabet())}
+        byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         content: list[bytes | None] = [None] * self.size
         for token, i in ids.items():
             content[i] = bytes(map(byte_of.__getitem__, token)) if byte_of.keys() >= set(token) else token.encode()
@@ -110,7 +104,7 @@ class RankTable:
         vocabulary: dict[str, int] = model["vocab"]
         self.size = max(vocabulary.values()) + 1
         self.base = self.size + 1  # the id ``size`` fills rows up and has no pair
-        self.of_byte = np.array([vocabulary[c] for c in _alphabet()], dtype=np.int32)
+        self.of_byte = np.array([vocabulary[c] for c in byte_alphabet()], dtype=np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         left, right = (np.array([vocabulary[p[side]] for p in pairs], dtype=np.int64) for side in (0, 1))
         self.makes = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int32)

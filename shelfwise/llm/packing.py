@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import keep, sliced
-from shelfwise.llm.tokens import byte_bpe
+from shelfwise.llm.tokens import TEXTS, byte_bpe
 
 ROWS_PER_BLOCK = 200_000  # pieces numbered together
 
@@ -198,7 +198,7 @@ def _piece_batches(path: str, capacity: int, separator: int, with_ids: bool):
     end = np.array([separator], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, TEXTS):
             ids_of = byte_bpe(path).encode([t or "" for t in batch.column("text").to_pylist()])
             docs: list[int] = []
             rows: list[tuple] = []

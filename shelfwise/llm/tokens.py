@@ -17,14 +17,18 @@ special-token strings, a vocabulary with other rules) goes to the library whole.
 from __future__ import annotations
 
 import os
+import string
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMO_WORDS = 500_000  # words in each of the two generations that a Python worker remembers
-GROUP_CHARS = 1 << 20  # texts split into words at a time
+GROUP_CHARS = 1 << 23  # texts split into words at a time
+TEXTS = 8192  # texts given to an encoder at a time; a word that several of them have is looked up once
 SLICE = 10_000  # words given to the library at a time
 LINE = 200  # new words encoded as one text
 
@@ -41,7 +45,7 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield texts[start:]
 
 
-MARKS = ".,;:!?"
+MARKS = string.punctuation  # ASCII: never letters or digits to the pre-tokenizer
 
 
 class _WordMemo:
@@ -52,14 +56,20 @@ class _WordMemo:
         self.memo: dict = {}
         self.before: dict = {}
 
-    def unknown(self, words: list[list[str]]) -> list[str]:
-        """The distinct words that are not known; all others are in ``memo`` afterwards."""
+    def unknown(self, words: Iterable[str]) -> list[str]:
+        """Those of the distinct ``words`` that are not known; all others are in ``memo`` afterwards."""
         if len(self.memo) > self.size:
             self.before, self.memo = self.memo, {}
-        missing = set().union(*words).difference(self.memo)
-        known = missing.intersection(self.before)
-        self.memo.update((w, self.before[w]) for w in known)
-        return list(missing.difference(known))
+        missing = [w for w in words if w not in self.memo]
+        self.memo.update((w, self.before[w]) for w in missing if w in self.before)
+        return [w for w in missing if w not in self.before]
+
+
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte: itself where it is visible in Latin-1, else the next one from U+0100."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in visible else next(others)) for b in range(256)]
 
 
 class ByteBpeEncoder(_WordMemo):
@@ -84,8 +94,9 @@ class ByteBpeEncoder(_WordMemo):
             and spec.get("truncation") is None
             and spec.get("padding") is None
         )
+        self.model = self.tokenizer.model
+        self.visible = dict(enumerate(byte_alphabet()))
         self.specials = [t["content"] for t in spec.get("added_tokens") or []]
-        self.marks = {m: self._pack([m])[0] for m in MARKS}
         # Tokens that begin with a space, which the byte-level alphabet writes as U+0120.
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -98,6 +109,12 @@ class ByteBpeEncoder(_WordMemo):
             out += [_pack_ids(e.ids) for e in encodings]
         return out
 
+    def _pack_letters(self, word: str) -> bytes:
+        """Ids of letters that follow a space: one word to the pre-tokenizer, so the library's model takes it as it is."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.visible)
+        return _pack_ids([t.id for t in self.model.tokenize("\u0120" + word)])
+
     def _pack_words(self, words: list[str]) -> list[bytes]:
         """Ids of words that follow a space, many words to a text: the library's cost is mostly per text.
 
@@ -127,35 +144,67 @@ class ByteBpeEncoder(_WordMemo):
 
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of words that follow a space, or None for words that may not be taken alone."""
-        self.memo.update(dict.fromkeys(words))
-        # Letters and one mark after them are two words to the pre-tokenizer; the letters serve all marks.
-        marked = [w for w in words if w[-1:] in MARKS and w[:-1].isalpha()]
-        plain = set(words).difference(marked).union(w[:-1] for w in marked)
+        memo = self.memo
+        # Letters and marks after them are two words to the pre-tokenizer; the letters serve all marks.
+        stems = [w.rstrip(MARKS) for w in words]
+        lettered = list(map(str.isalpha, stems))
+        for stem in {s for s, letters in zip(stems, lettered) if letters}:
+            if not memo.get(stem):
+                memo[stem] = self._pack_letters(stem)
+        marks = [w[len(s) :] for w, s in zip(words, stems)]
+        runs = list({m for m, letters in zip(marks, lettered) if letters})
+        ids_of = dict(zip(runs, self._pack(runs)))
+        memo.update((w, memo[s] + ids_of[m]) for w, s, m, letters in zip(words, stems, marks, lettered) if letters)
+        plain = [w for w, letters in zip(words, lettered) if not letters]
+        memo.update(dict.fromkeys(plain))
         # A word with white space at its ends, or no characters, borders on a run of white space.
-        fit = [w for w in plain if w and not self.memo.get(w) and not w[0].isspace() and not w[-1].isspace()]
-        self.memo.update(zip(fit, self._pack_words(fit)))
-        self.memo.update((w, self.memo[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        fit = [w for w in plain if w and not w[0].isspace() and not w[-1].isspace()]
+        memo.update(zip(fit, self._pack_words(fit)))
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
-        words = [t.split(" ") for t in texts]
-        self._learn(self.unknown([w[1:] for w in words]))
-        look_up = self.memo.__getitem__
-        out: list[bytes | None] = []
-        firsts = self._pack([w[0] for w in words])
+        split = _Split(texts)
+        words = split.words
+        # The first word of a text does not follow a space: it has ids of its own, behind those of the words.
+        starts = split.bounds[:-1]
+        follows = np.ones(len(split.places), dtype=bool)
+        follows[starts] = False
+        used = np.zeros(len(words), dtype=bool)
+        used[split.places[follows]] = True
+        self._learn(self.unknown([w for w, u in zip(words, used.tolist()) if u]))
+        firsts = [words[i] for i in split.places[starts].tolist()]
+        known = [self.memo[w] if u else b"" for w, u in zip(words, used.tolist())]
+        places = split.places.copy()
+        places[starts] = len(words) + np.arange(len(texts))
+        # Words that are not to be taken alone are null here, and null stays null when their places are filled.
+        ids = pa.array(known + self._pack(firsts), pa.large_binary()).take(pa.array(places))
+        alone = np.concatenate([[0], np.cumsum(np.asarray(ids.is_valid()))])[split.bounds]
+        counts = np.diff(split.bounds)
+        fails = (np.diff(alone) < counts).tolist()
+        ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset :][split.bounds].tolist()
+        content = memoryview(ids.buffers()[2] or b"")
+        out: list[bytes] = []
         whole = []
-        for i, (text, first, parts) in enumerate(zip(texts, firsts, words)):
-            odd = any(s in text for s in self.specials) or parts[0] == "" or parts[0][-1:].isspace()
-            try:
-                out.append(None if odd and len(parts) > 1 else first + b"".join(map(look_up, parts[1:])))
-            except TypeError:  # one of its words is not to be taken alone
-                out.append(None)
-            if out[-1] is None:
+        for i, (text, first, n, a, b) in enumerate(zip(texts, firsts, counts.tolist(), ends, ends[1:])):
+            odd = n > 1 and (first == "" or first[-1].isspace() or any(s in text for s in self.specials))
+            if odd or fails[i]:
                 whole.append(i)
-        for i, ids in zip(whole, self._pack([texts[i] for i in whole])):
-            out[i] = ids
+            out.append(b"" if odd or fails[i] else bytes(content[a:b]))
+        for i, ids_of in zip(whole, self._pack([texts[i] for i in whole])):
+            out[i] = ids_of
         return out
 
 
+class _Split:
+    """Texts cut at single spaces: the distinct ``words``, their ``places`` and where each text's places begin."""
+
+    def __init__(self, texts: list[str]):
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        self.bounds = np.asarray(parts.offsets).astype(np.int64)
+        coded = parts.values.dictionary_encode()
+        self.words: list[str] = coded.dictionary.to_pylist()
+        self.places = np.asarray(coded.indices).astype(np.int64)
+
+
 def _pack_ids(ids: list[int]) -> bytes:
     packed = array("I", ids)
     if packed.itemsize != 4:
@@ -184,17 +233,15 @@ class PieceCounter(_WordMemo):
         return [n for group in _groups(texts) for n in self._count_group(group)]
 
     def _count_group(self, texts: list[str]) -> list[int]:
-        words = [t.split(" ") for t in texts]
-        new = self.unknown(words)
+        split = _Split(texts)
+        new = self.unknown(split.words)
         self.memo.update(zip(new, self._counts(new)))
-        look_up = self.memo.__getitem__
-        out, whole = [], []
-        for i, parts in enumerate(words):
-            if "" in parts:  # a space at an end, or two in a row
-                whole.append(i)
-                out.append(0)
-            else:
-                out.append(sum(map(look_up, parts)))
+        known = np.fromiter(map(self.memo.__getitem__, split.words), dtype=np.int64, count=len(split.words))
+        empty = np.fromiter((w == "" for w in split.words), dtype=bool, count=len(split.words))
+        starts = split.bounds[:-1]
+        out = np.add.reduceat(known[split.places], starts).tolist()
+        # A space at an end, or two in a row.
+        whole = np.flatnonzero(np.add.reduceat(empty[split.places].astype(np.int64), starts)).tolist()
         for i, n in zip(whole, self._counts([texts[i] for i in whole])):
             out[i] = n
         return out
