@@ -27,9 +27,10 @@ Joining a tree:
    mostly connected by this, at one comparison per document and root;
 2. the points under a root are packed into leaves, in the order of their size
    and coordinates, and leaves are joined with leaves: bounding boxes first,
-   then points. Pairs that step 1 already connected need no comparison, and a
-   pair is taken under the smallest key that both have, as far as the smallest
-   keys of both, which the points carry, show it.
+   then points, on few groups first. Pairs that step 1 already connected need no
+   comparison. A group of similar documents meets under many roots; a pair is
+   taken under the most crowded root that both are under, as far as the most
+   crowded ones of both, which the points carry, show it.
 
 All exact copies of a set are one point, so groups of copies cost nothing. No
 pair that could reach the threshold is left out, unless both are in one
@@ -54,17 +55,19 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import keep, sliced
 from shelfwise.llm.components import connected_components
 
 GROWTH = 1.5  # largest size of a level over that of the level below
-COARSE = 64  # groups of the points in the trees; pairs that pass are bounded once more on their fine points
+COARSE = 256  # groups of the points in the trees; pairs that pass are bounded once more on their fine points
+BOX = 64  # groups of the boxes of leaves, and of the first bound of a pair
 LEAF = 64  # points per leaf
 LEAF_PAIRS = 64  # pairs of leaves opened at a time
 LOWS = 8  # smallest keys that a point carries, to see whether a pair meets under a smaller key too
+CROWD = 1 << 22  # crowds of roots are told apart up to this size
 CHUNK = 128  # documents verified beside one centre in one go
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -164,7 +167,7 @@ def root_keys(grams: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
 
 
 def lowest(keys: np.ndarray) -> bytes:
-    """The smallest keys of a document, filled up with the largest number there is."""
+    """The smallest of a document's keys in the trees, filled up with the largest number there is."""
     out = np.full(LOWS, np.iinfo(np.int64).max, dtype="<i8")
     low = np.sort(keys)[:LOWS]
     out[: len(low)] = low
@@ -175,18 +178,25 @@ def lowest(keys: np.ndarray) -> bytes:
 
 
 def count_vector(grams: np.ndarray, groups: int) -> bytes:
-    """Numbers of n-grams per group; ``groups`` is a power of two."""
+    """Numbers of n-grams per group, after a byte with the width of a number; ``groups`` is a power of two."""
     counts = np.bincount((grams & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return counts.astype("<u4" if len(grams) >= 1 << 16 else "<u2").tobytes()
+    width = _width(counts)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _width(counts: np.ndarray) -> int:
+    """Bytes that hold the largest of ``counts``."""
+    most = int(counts.max())
+    return 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
 
 
 def fine_groups(size: int) -> int:
     """Groups of the fine point of a set: a power of two, about as many as n-grams."""
-    return max(COARSE, 1 << max(0, size.bit_length() - 1))
+    return max(BOX, 1 << max(0, size.bit_length() - 1))
 
 
-def _open_point(data: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(data, "<u4" if size >= 1 << 16 else "<u2").astype(np.int64)
+def _open_point(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def _fold(points: np.ndarray, groups: int) -> np.ndarray:
@@ -199,9 +209,9 @@ def _fold(points: np.ndarray, groups: int) -> np.ndarray:
 
 def shared_at_most(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
     """Bound on the common n-grams of two sets of sizes n_a and n_b from their points."""
-    x, y = _open_point(a, n_a), _open_point(b, n_b)
+    x, y = _open_point(a), _open_point(b)
     groups = min(len(x), len(y))
-    return int(np.minimum(_fold(x, groups), _fold(y, groups)).sum())
+    return min(n_a, n_b, int(np.minimum(_fold(x, groups), _fold(y, groups)).sum()))
 
 
 def reaches(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, threshold: tuple[int, int]):
@@ -224,9 +234,8 @@ def _describe(words: int, threshold: tuple[int, int]):
                     pa.array([count_vector(s, COARSE) for s in sets], pa.binary()),
                     pa.array([count_vector(s, fine_groups(len(s))) for s in sets], pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
-                    pa.array([lowest(k) for k in keys], pa.binary()),
                 ],
-                ["doc_id", "n", "digest", "point", "fine", "keys", "lows"],
+                ["doc_id", "n", "digest", "point", "fine", "keys"],
             )
 
     return run
@@ -293,10 +302,12 @@ def _pairs_within(key, docs, components, sizes, points, lows, threshold) -> tupl
     i, j = np.triu_indices(len(docs), 1)
     apart = components[i] != components[j]
     i, j = i[apart], j[apart]
-    shared = np.minimum(points[i], points[j]).sum(axis=1)
-    ok = reaches(shared, sizes[i], sizes[j], threshold)
+    few = _fold(points, BOX)
+    ok = reaches(np.minimum(few[i], few[j]).sum(axis=1), sizes[i], sizes[j], threshold)
     i, j = i[ok], j[ok]
     ok = _first_meeting(key, lows[i], lows[j])
+    i, j = i[ok], j[ok]
+    ok = reaches(np.minimum(points[i], points[j]).sum(axis=1), sizes[i], sizes[j], threshold)
     return docs[i[ok]], docs[j[ok]]
 
 
@@ -312,7 +323,7 @@ def _trees(threshold: tuple[int, int], size: int):
 
     def leaf(key, docs, components, sizes, points, lows) -> tuple:
         packed = (x.astype("<i8").tobytes() for x in (docs, components, sizes))
-        counts = points.astype("<u4" if points.max() >= 1 << 16 else "<u2").tobytes()
+        counts = points.astype(f"<u{_width(points)}").tobytes()
         return (None, None, key, int(docs[0]), *packed, counts, lows.tobytes(), int(sizes.min()), int(sizes.max()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -324,7 +335,7 @@ def _trees(threshold: tuple[int, int], size: int):
                 continue
             keys = rest["key"].to_numpy()
             docs, components, sizes = (rest[c].to_numpy() for c in ("doc", "component", "n"))
-            points = np.stack([_open_point(p, n) for p, n in zip(rest["point"], sizes)])
+            points = np.stack([_open_point(p) for p in rest["point"]])
             lows = np.frombuffer(b"".join(rest["lows"]), "<i8").reshape(-1, LOWS)
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             rows: list[tuple] = []
@@ -381,14 +392,17 @@ def _join_leaves(threshold: tuple[int, int]):
             return
         docs_a, of_a, n_a, a, low_a = one
         docs_b, of_b, n_b, b, low_b = other
-        box = np.minimum(a.max(axis=0), b.max(axis=0)).sum()
+        few_a, few_b = _fold(a, BOX), _fold(b, BOX)
+        box = np.minimum(few_a.max(axis=0), few_b.max(axis=0)).sum()
         if not reaches(int(box), int(n_a.min()), int(n_b.min()), threshold):
             return
         for i in range(len(docs_a)):
             todo = np.flatnonzero(of_b != of_a[i])
-            shared = np.minimum(b[todo], a[i]).sum(axis=1)
+            shared = np.minimum(few_b[todo], few_a[i]).sum(axis=1)
             todo = todo[reaches(shared, n_a[i], n_b[todo], threshold)]
             todo = todo[_first_meeting(row["key"], np.broadcast_to(low_a[i], (len(todo), LOWS)), low_b[todo])]
+            shared = np.minimum(b[todo], a[i]).sum(axis=1)
+            todo = todo[reaches(shared, n_a[i], n_b[todo], threshold)]
             yield np.full(len(todo), docs_a[i]), docs_b[todo]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,6 +467,18 @@ def _allowed(pairs: DataFrame, points: DataFrame, column: str, threshold: tuple[
     return with_points.mapInArrow(_bounded(threshold), "a long, b long").distinct()
 
 
+def _by_crowd(key: str, crowd: str) -> Column:
+    """Keys that sort roots by their crowd, largest first. (Should two roots get one key, they are joined as one.)"""
+    return F.pmod(F.col(key), F.lit(1 << 40)) - F.least(F.col(crowd), F.lit(CROWD)) * F.lit(1 << 40)
+
+
+def _lows(keys: str) -> Column:
+    def run(keys: pd.Series) -> pd.Series:
+        return keys.map(lowest)
+
+    return F.pandas_udf(run, "binary")(keys)
+
+
 def links(
     docs: DataFrame, sets: DataFrame, holders: DataFrame, words: int, threshold: tuple[int, int],
     scratch: str | None = None,
@@ -468,7 +494,7 @@ def links(
     # rows; its run streams through the task.
     runs = entered.repartition("key").sortWithinPartitions("key")
     shared = keep(runs.mapInArrow(_shared_only, "key long, doc long").distinct(), "roots", scratch)
-    points = keep(distinct_sets.select(F.col("doc_id").alias("doc"), "n", "point", "lows"), "points", scratch)
+    points = keep(distinct_sets.select(F.col("doc_id").alias("doc"), "n", "point"), "points", scratch)
     fine = sets.select(F.col("doc_id").alias("doc"), "n", "fine")
 
     # The centre of a root is the document with the largest sum of neighbours over its roots.
@@ -488,11 +514,19 @@ def links(
     component = connected_components(first, scratch).withColumnRenamed("node", "doc")
     known = shared.join(component, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
     # Roots whose documents are all connected are done.
-    open_roots = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    members = known.join(open_roots.select("key"), "key", "left_semi").join(points, "doc")
+    open_roots = (
+        known.groupBy("key")
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("crowd"))
+        .filter("x <> y")
+    )
+    members = keep(
+        known.join(open_roots, "key").select(_by_crowd("key", "crowd").alias("key"), "doc", "component"), "members", scratch
+    )
+    lows = members.groupBy("doc").agg(F.collect_list("key").alias("keys")).select("doc", _lows("keys").alias("lows"))
     order = ["key", "n", "point", "doc"]
     trees = keep(
-        members.select("key", "doc", "component", "n", "point", "lows")
+        members.join(points, "doc").join(lows, "doc")
+        .select("key", "doc", "component", "n", "point", "lows")
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .mapInPandas(_trees(threshold, LEAF), TREE),
@@ -528,7 +562,7 @@ def near_duplicates(
     |union|``; ``component_id`` is the smallest ``doc_id`` that links reach.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n long, digest binary, point binary, fine binary, keys array<long>, lows binary"
+    schema = "doc_id long, n long, digest binary, point binary, fine binary, keys array<long>"
     described = keep(docs.mapInArrow(_describe(words, threshold), schema), "sets", scratch)
     nodes = described.filter("n > 0 and doc_id is not null")
     copies = keep(nodes.groupBy("digest").agg(F.min("doc_id").alias("holder")), "copies", scratch)

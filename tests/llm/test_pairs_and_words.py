@@ -77,6 +77,52 @@ def test_pairs_come_once_whatever_the_number_of_common_roots():
         assert set(pairs) == allowed and len(pairs) <= 2 * len(allowed)
 
 
+def test_sets_with_a_common_passage_make_no_pairs():
+    threshold = (80, 100)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 320, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 1 << 63, 80, dtype=np.uint64)])) for _ in range(60)]
+    few = [ngram_join.count_vector(s, 64) for s in sets]
+    assert sum(  # an index of 0.67 or so, but most points of 64 groups are near enough
+        ngram_join.reaches(ngram_join.shared_at_most(x, 400, y, 400), 400, 400, threshold) for x in few for y in few
+    ) > 0.7 * len(sets) ** 2
+    low = ngram_join.lowest(np.array([1]))
+    rows = [(1, i, i, len(s), ngram_join.count_vector(s, ngram_join.COARSE), low) for i, s in enumerate(sets)]
+    rows = [(0, -1, -1, *rows[0][3:]), *rows, (2, -2, -2, *rows[0][3:])]
+    frame = pd.DataFrame(rows, columns=["key", "doc", "component", "n", "point", "lows"])
+    trees = pd.concat(ngram_join._trees(threshold, 64)(iter([frame])))
+    assert trees["leaf"].notna().sum() == 2  # the first and the last root, which may go on in other partitions
+    assert trees["a"].notna().sum() < 0.02 * len(sets) ** 2
+
+
+def test_pairs_of_a_group_come_under_its_most_crowded_roots(spark, monkeypatch):
+    written = {}
+    keep = ngram_join.keep
+
+    def kept(df, name, scratch=None):
+        out = keep(df, name, scratch)
+        written.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(ngram_join, "keep", kept)
+    base = [f"w{i}" for i in range(352)]
+    # Indices of 0.79: no links, but near enough for the points, and dozens of common roots.
+    docs = [(i, " ".join([*base, *(f"own{i}x{j}" for j in range(48))])) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = ngram_join.near_duplicates(df, 1, (80, 100)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i) for i in range(20)]
+    pairs = [tuple(r) for r in written["trees"].filter("a is not null").select("a", "b").collect()]
+    leaves = written["trees"].filter("leaf is not null").drop("a", "b").toPandas()
+    both = leaves.merge(leaves, on="key", suffixes=("", "_2")).query("leaf <= leaf_2")
+    import pyarrow as pa
+
+    for batch in ngram_join._join_leaves((80, 100))(iter([pa.RecordBatch.from_pandas(both, preserve_index=False)])):
+        pairs += list(zip(batch["a"].to_pylist(), batch["b"].to_pylist()))
+    pairs = [tuple(sorted(p)) for p in pairs]
+    assert len(set(pairs)) > 50
+    assert len(pairs) <= 1.1 * len(set(pairs))
+
+
 def test_letters_serve_all_marks_after_them():
     encoder = ByteBpeEncoder(BPE)
     given: list[str] = []
